@@ -58,3 +58,39 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+ORACLE["op3_line_dedup"] = r"""
+WITH rows_ AS (SELECT doc_id, text, coalesce('=' || source, 'null') AS site FROM documents),
+lines AS (
+  SELECT doc_id, site, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows_
+), full_ AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+common AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM full_ GROUP BY line HAVING count(DISTINCT site) >= 5),
+gone AS (
+  SELECT f.doc_id, f.pos, len(regexp_extract_all(f.line, '[^\x20\x09-\x0D]+')) AS n FROM full_ f JOIN common c ON f.line = c.line WHERE {'d': f.doc_id, 'p': f.pos} <> c.first
+), sums AS (SELECT doc_id, sum(n) AS n, count(*) AS removed FROM gone GROUP BY doc_id),
+cutting AS (
+  SELECT s.doc_id, s.removed FROM sums s JOIN rows_ r ON s.doc_id = r.doc_id WHERE s.n <= len(regexp_extract_all(r.text, '[^\x20\x09-\x0D]+')) * 0.5
+), left_ AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
+  WHERE l.doc_id IN (SELECT doc_id FROM cutting) GROUP BY l.doc_id
+)
+SELECT r.doc_id, CASE WHEN coalesce(length(r.text), 0) > 0 THEN len(string_split(r.text, chr(10))) ELSE 0 END::INT AS n_lines,
+  coalesce(c.removed, 0)::INT AS n_removed, CASE WHEN c.doc_id IS NULL THEN r.text ELSE coalesce(l.text, '') END AS text
+FROM rows_ r LEFT JOIN cutting c ON r.doc_id = c.doc_id LEFT JOIN left_ l ON r.doc_id = l.doc_id
+"""
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
