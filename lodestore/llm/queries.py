@@ -102,3 +102,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return out.select("doc_id", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
