@@ -111,3 +111,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
     return out.select("doc_id", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
