@@ -118,3 +118,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.linked(table(spark, sf_dir, "documents"), width=4)
