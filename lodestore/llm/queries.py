@@ -147,3 +147,10 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN least ON e.vec_id = least.a
 """
+
+
+@query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
