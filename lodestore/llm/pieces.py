@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from .common import cut, replace, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
-CACHED = 200_000  # words that a worker remembers
-LONGEST = 48  # characters of a word that is remembered
+CACHED = 400_000  # words that a worker remembers, twice
+LONGEST = 48  # characters of those
 NONE = -np.inf
 BLANK = "▁"
 
@@ -42,7 +43,13 @@ class Vocabulary:
     ids: dict[str, int]
     bytes_: list[int]
     unknown: float
-    memory: dict[str, bytes] = field(default_factory=dict)
+    memory: dict[str, tuple[float, bytes]] = field(default_factory=dict)
+    before: dict[str, tuple[float, bytes]] = field(default_factory=dict)  # what memory held before it was full
+
+    @cached_property
+    def starts(self) -> dict[str, float | None]:
+        """Score of every piece, and None for what only begins a longer piece."""
+        return {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
 
     @cached_property
     def longest(self) -> int:
@@ -76,52 +83,59 @@ class Vocabulary:
                     sums[j] = np.maximum(sums[j], here + s) if wide else max(sums[j], here + s)
         return sums[edge:]
 
-    def solve(self, text: str) -> tuple[float, list[int]]:
-        """Score and ids of a text; of cuttings with equal scores the one whose last piece is longest."""
-        n, score, unknown, longest = len(text), self.score, self.unknown, self.longest
-        sums, back = [0.0] + [NONE] * n, [0] * (n + 1)
-        for i in range(n):
-            here = sums[i]
-            if here == NONE:
-                continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                s = score.get(text[i:j])
-                if s is None:
-                    if j > i + 1:
-                        continue
-                    s = unknown
-                if here + s > sums[j]:
-                    sums[j], back[j] = here + s, i
-        spans, j = [], n
-        while j:
-            spans.append(text[back[j] : j])
-            j = back[j]
-        out: list[int] = []
-        for p in reversed(spans):
-            known = self.ids.get(p)
-            out += [self.bytes_[b] for b in p.encode()] if known is None else [known]
-        return sums[n], out
-
-    def word(self, unit: str) -> bytes:
-        """Score and ids of a unit, packed: 8 bytes, then 4 for each id."""
-        got = self.memory.get(unit)
+    @cached_property
+    def packed(self) -> dict[str, bytes]:
+        """The id of every piece as 4 bytes."""
+        return {p: pack("<I", i) for p, i in self.ids.items()}
+
+    def spell(self, piece: str) -> bytes:
+        """A piece's id, or those of its bytes, packed."""
+        return self.packed.get(piece) or pack(f"<{len(piece.encode())}I", *(self.bytes_[b] for b in piece.encode()))
+
+    def solve(self, text: str) -> tuple[float, bytes]:
+        """Score and packed ids of a text; of cuttings with equal scores the one whose first piece is longest."""
+        get, single, unknown = self.starts.get, self.score.get, self.unknown
+        n = len(text)
+        sums, to = [0.0] * (n + 1), [n] * n
+        for i in range(n - 1, -1, -1):
+            best, end, j = single(text[i], unknown) + sums[i + 1], i + 1, i + 2
+            while j <= n:
+                own = get(text[i:j], False)
+                if own is False:
+                    break
+                if own is not None:
+                    own += sums[j]
+                    if own >= best:
+                        best, end = own, j
+                j += 1
+            sums[i], to[i] = best, end
+        out, i, packed = [], 0, self.packed
+        while i < n:
+            piece = text[i : to[i]]
+            out.append(packed.get(piece) or self.spell(piece))
+            i = to[i]
+        return sums[0], b"".join(out)
+
+    def word(self, unit: str) -> tuple[float, bytes]:
+        """solve() of a unit; short ones are remembered for a while."""
+        got = self.before.get(unit)
         if got is None:
-            s, ids = self.solve(unit)
-            got = np.float64(s).tobytes() + np.array(ids, np.uint32).tobytes()
-            if len(unit) <= LONGEST:
-                if len(self.memory) >= CACHED:
-                    self.memory.clear()
-                self.memory[unit] = got
+            got = self.solve(unit)
+            if len(unit) > LONGEST:
+                return got
+        if len(self.memory) >= CACHED:
+            self.before, self.memory = self.memory, {}
+        self.memory[unit] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text without its leading blank, as it stands."""
-        word = self.word
-        return np.frombuffer(b"".join([word(u)[8:] for u in self.unit.findall(text)]), np.uint32)
+        """Ids of a text, as it stands."""
+        known, word = self.memory.get, self.word
+        return np.frombuffer(b"".join([(known(u) or word(u))[1] for u in self.unit.findall(text)]), np.uint32)
 
     def total(self, text: str) -> float:
-        word = self.word
-        return float(np.frombuffer(b"".join([word(u)[:8] for u in self.unit.findall(text)]), np.float64).sum())
+        known, word = self.memory.get, self.word
+        return sum([(known(u) or word(u))[0] for u in self.unit.findall(text)])
 
     def transfer(self, body: str, ahead: str) -> np.ndarray:
         """Best sums from a piece's reach over the left edge of body to a piece's reach over its right edge."""
@@ -279,7 +293,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """Adds ids array<int>, the best cutting of each text into pieces, to documents (doc_id, text, ...).
 
-    The sum of the pieces' scores is the most there is; ties go to the longer last
+    The sum of the pieces' scores is the most there is; ties go to the longer first
     piece, at a chunk's edge to the piece that reaches less far.  A blank is put in
     front of a text; a blank sign (U+2581) in a text and characters without a piece
     are spelled in bytes, so decode() gives back every text exactly.  Null and empty
