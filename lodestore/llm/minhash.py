@@ -29,8 +29,9 @@ from .common import components, cut, drop, small_batches
 
 WORDS, PERCENT = 5, 80
 COORDINATES, MATCHES = 64, 34  # at similarity 0.8 fewer collisions have a chance of about 1e-6
-TILE = 256  # members of a list that are compared at once
-QUOTA = 64  # candidates a round brings for two components in a tile, at first
+SHORT = 48  # members of a list whose pairs are simply joined
+TILE = 256  # members of a longer list that are compared at once
+QUOTA = 256  # candidates a round brings for two components in a tile, at first
 
 
 def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +95,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long")
 
 
-def _tiles(live: DataFrame, parts: DataFrame, quota: int) -> DataFrame:
-    """(src, dst, more) of classes in different components that collide often enough; more: some of their components' pairs were held back."""
+def _met(live: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, m, id, part) of prefix postings in lists whose members aren't all in one component."""
     placed = live.select("id", F.slice("shared", 1, F.size("shared") - MATCHES + 1).alias("prefix")).join(parts, F.col("id") == F.col("node"), "left")
     posts = placed.select("id", F.coalesce("component", "id").alias("part"), F.explode("prefix.key").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "m")
-    posts = posts.join(lists, "key").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+    return cut(posts.join(lists, "key"))
+
+
+def _short(live: DataFrame, posts: DataFrame) -> DataFrame:
+    """(src, dst) of classes in different components that meet in a short list and collide often enough."""
+    few = posts.where(F.col("m") <= SHORT)
+    other = few.select("key", F.col("id").alias("dst"), F.col("part").alias("of"))
+    pairs = few.select("key", F.col("id").alias("src"), "part").join(other, "key").where("src < dst and part <> of").select("src", "dst").distinct()
+    left, right = (live.select(F.col("id").alias(c), F.col("shared.key").alias(k)) for c, k in (("src", "a"), ("dst", "b")))
+    return pairs.join(left, "src").join(right, "dst").where(F.size(F.array_intersect("a", "b")) >= MATCHES).select("src", "dst")
+
+
+def _tiles(live: DataFrame, posts: DataFrame, quota: int) -> DataFrame:
+    """(src, dst, more) of classes in different components that meet in a long list and collide often enough; more: some of their components' pairs were held back."""
+    posts = posts.where(F.col("m") > SHORT).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
     posts = posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posts = posts.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
@@ -152,20 +167,23 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     met = live.select("id", F.explode("shared.leader").alias("leader")).where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = met.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("dst")).select(F.col("id").alias("src"), "dst")
     edges = cut(confirm(first, docs, width, percent))
-    quota = QUOTA
+    parts, quota = components(edges), QUOTA
+    posts = _met(live, parts)
+    pairs = _short(live, posts)
     while True:
-        parts = components(edges)
-        pairs = cut(_tiles(live, parts, quota))
+        long = cut(_tiles(live, posts, quota))
+        pairs = cut(long.select("src", "dst").distinct() if pairs is None else long.select("src", "dst").unionAll(pairs).distinct())
+        drop(posts)
         if pairs.isEmpty():
             break
-        more = not pairs.where("more").isEmpty()
-        new = confirm(pairs.select("src", "dst").distinct(), docs, width, percent)
-        grown = cut(edges.unionAll(new))
+        grown = cut(edges.unionAll(confirm(pairs, docs, width, percent)))
         drop(edges)
-        edges, quota = grown, quota * 8
-        if not more:
-            parts = components(edges)
+        edges = grown
+        parts = components(edges)
+        if long.where("more").isEmpty():
             break
+        # what was held back may have been joined meanwhile; what wasn't comes now
+        posts, pairs, quota = _met(live, parts), None, quota * 8
     placed = rows.join(classes.select("one", "two", F.col("id").alias("__class")), ["one", "two"], "left").join(parts, F.col("__class") == F.col("node"), "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("__class")), "doc_id"))
     return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
