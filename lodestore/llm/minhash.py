@@ -1,17 +1,20 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 Texts with equal word sequences are one class.  Each class posts itself under its
-(coordinate, value) pairs.  A link needs MATCHES equal coordinates, so
+(coordinate, value) pairs.  Two classes are candidates when they collide in MATCHES
+coordinates, so
 
 * a value that no other class has is dropped, and a class with fewer shared values
   than MATCHES is skipped;
-* of a class's shared values only the rarest, all but MATCHES - 1, are looked at: two
-  classes with MATCHES collisions meet under one of them (prefix);
-* first, each class is compared with the leader (smallest member) that it collides
-  with most, which joins a group of copies in linear work; after that, only lists
-  whose members are in different components are merged, in tiles of bounded size.
-
-Every candidate is confirmed on the full shingle sets.
+* collisions are first counted with leaders, the most central members of lists, a
+  few for each class; that gathers most candidates in groups by linear work;
+* of a class's shared values only the rarest, all but MATCHES - 1, are merged: two
+  classes with MATCHES collisions meet under one of them (prefix).  Lists whose
+  members are in one group already are skipped.
+
+Links are confirmed on full shingle sets: each class with its leader first, and then,
+in groups that aren't in one component yet, all classes in tiles of bounded size.
+Tiles report stars of their components, never pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +30,11 @@ from . import textnp
 from .common import components, cut, drop, small_batches
 
 WORDS, PERCENT = 5, 80
-COORDINATES, MATCHES = 64, 34  # at similarity 0.8 fewer collisions have a chance of about 1e-6
+COORDINATES, MATCHES = 64, 38  # at similarity 0.8 fewer collisions have a chance of about 4e-5
+LEADERS = 4  # of a class, that its collisions are counted with first
 SHORT = 48  # members of a list whose pairs are simply joined
-TILE = 256  # members of a longer list that are compared at once
-QUOTA = 256  # candidates a round brings for two components in a tile, at first
+TILE = 256  # members of a longer list, or of a group, that are compared at once
+COLUMNS = 8_192  # shingles that are multiplied at once
 
 
 def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,54 +98,133 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long")
 
 
-def _met(live: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, m, id, part) of prefix postings in lists whose members aren't all in one component."""
+def _grouped(rows: DataFrame, keys: list[str], work, out: str) -> DataFrame:
+    """work(table) of all rows with equal keys, a bounded number; its tables are the result."""
+    names = [c for c in rows.columns if c not in keys]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                got = work(pa.concat_tables(held).combine_chunks())
+                held.clear()
+                if got.num_rows:
+                    yield from got.to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            mark = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            at = 0
+            for i in range(1, len(mark) + 1):
+                if i == len(mark) or mark[i] != mark[at]:
+                    if mark[at] != now:
+                        yield from flush()
+                        now = mark[at]
+                    held.append(t.slice(at, i - at).select(names))
+                    at = i
+        yield from flush()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, out)
+
+
+def _stars(ids: np.ndarray, hit: np.ndarray) -> pa.Table:
+    """(src, dst): each id whose component, under a symmetric matrix of hits, has a smaller one, with the smallest."""
+    label = ids.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        low = np.minimum(label, np.where(hit, label[None], big).min(1, initial=big))
+        if (low == label).all():
+            break
+        label = low
+    on = label < ids
+    return pa.table({"src": ids[on], "dst": label[on]})
+
+
+def _gathered(live: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, m, id, part) of prefix postings in lists whose members aren't all in one group."""
     placed = live.select("id", F.slice("shared", 1, F.size("shared") - MATCHES + 1).alias("prefix")).join(parts, F.col("id") == F.col("node"), "left")
     posts = placed.select("id", F.coalesce("component", "id").alias("part"), F.explode("prefix.key").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "m")
     return cut(posts.join(lists, "key"))
 
 
+def _collided(live: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (src, dst) of classes that collide in MATCHES coordinates."""
+    left, right = (live.select(F.col("id").alias(c), F.col("shared.key").alias(k)) for c, k in (("src", "a"), ("dst", "b")))
+    return pairs.join(left, "src").join(right, "dst").where(F.size(F.array_intersect("a", "b")) >= MATCHES).select("src", "dst")
+
+
 def _short(live: DataFrame, posts: DataFrame) -> DataFrame:
-    """(src, dst) of classes in different components that meet in a short list and collide often enough."""
+    """Candidates (src, dst) of different groups that meet in a short list."""
     few = posts.where(F.col("m") <= SHORT)
     other = few.select("key", F.col("id").alias("dst"), F.col("part").alias("of"))
-    pairs = few.select("key", F.col("id").alias("src"), "part").join(other, "key").where("src < dst and part <> of").select("src", "dst").distinct()
-    left, right = (live.select(F.col("id").alias(c), F.col("shared.key").alias(k)) for c, k in (("src", "a"), ("dst", "b")))
-    return pairs.join(left, "src").join(right, "dst").where(F.size(F.array_intersect("a", "b")) >= MATCHES).select("src", "dst")
+    return _collided(live, few.select("key", F.col("id").alias("src"), "part").join(other, "key").where("src < dst and part <> of").select("src", "dst").distinct())
 
 
-def _tiles(live: DataFrame, posts: DataFrame, quota: int) -> DataFrame:
-    """(src, dst, more) of classes in different components that meet in a long list and collide often enough; more: some of their components' pairs were held back."""
+def _long(live: DataFrame, posts: DataFrame) -> DataFrame:
+    """Stars (src, dst) of the candidates that meet in a long list, tile by tile."""
     posts = posts.where(F.col("m") > SHORT).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
     posts = posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posts = posts.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
+    posts = posts.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id")
     posts = posts.join(live.select("id", F.col("shared.key").alias("keys")), "id")
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-        sides = [rows[rows["block"] == b].sort_values("id") for b in (lo, hi)]
-        values = []
-        for side in sides:
-            grid = np.full((len(side), COORDINATES), -1, np.int64)
-            for r, keys in enumerate(side["keys"]):
-                grid[r, keys >> 32] = keys
-            values.append(grid)
-        ids, part = ([side[c].to_numpy() for side in sides] for c in ("id", "part"))
-        found = []
-        for r in range(len(ids[0])):
-            same = np.count_nonzero((values[1] == values[0][r]) & (values[0][r] >= 0), axis=1)
-            hit = np.flatnonzero((same >= MATCHES) & (part[1] != part[0][r]))
-            found += [(part[0][r], part[1][c], -same[c], ids[0][r], ids[1][c]) for c in hit if lo != hi or ids[0][r] < ids[1][c]]
-        got = pd.DataFrame(found, columns=["p", "q", "same", "src", "dst"], dtype="int64")
-        low, high = np.minimum(got["p"], got["q"]), np.maximum(got["p"], got["q"])
-        got = got.assign(p=low, q=high).sort_values(["p", "q", "same", "src", "dst"])
-        rank = got.groupby(["p", "q"]).cumcount()
-        held = got.groupby(["p", "q"])["src"].transform("size") > quota
-        return got.assign(more=held)[rank < quota][["src", "dst", "more"]]
-
-    return posts.groupBy("key", "lo", "hi").applyInPandas(merge, "src long, dst long, more boolean")
+    def merge(t: pa.Table) -> pa.Table:
+        ids = t["id"].to_numpy()
+        lists = t["keys"].combine_chunks()
+        row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        keys = lists.flatten().to_numpy()
+        grid = np.full((len(ids), COORDINATES), -1, np.int64)
+        grid[row, keys >> 32] = keys
+        hit = np.array([np.count_nonzero((grid == g) & (g >= 0), axis=1) >= MATCHES for g in grid])
+        return _stars(ids, hit)
+
+    return _grouped(posts, ["key", "lo", "hi"], merge, "src long, dst long")
+
+
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of several sets of shingles are similar enough, as a symmetric matrix."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    values, column, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    twice = count[column] > 1
+    row, column = row[twice], np.unique(column[twice], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.int64)
+    for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        common += np.rint(part @ part.T).astype(np.int64)
+    return (100 * common >= percent * (sizes[:, None] + sizes[None] - common)) & (common > 0)
+
+
+def _confirmed(groups: DataFrame, parts: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Stars (src, dst) of links between classes (node, component) of candidate groups that are in different components (parts) so far."""
+    joined = groups.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), F.col("node") == F.col("id"), "left")
+    joined = joined.select(F.col("component").alias("grp"), F.col("node").alias("id"), F.coalesce("part", "node").alias("part"))
+    sizes = joined.groupBy("grp", "part").agg(F.count("*").alias("of_part"))
+    open_ = sizes.groupBy("grp").agg(F.count("*").alias("parts")).where("parts > 1").select("grp")
+    rest = sizes.where(F.col("of_part") < TILE).groupBy("grp").agg(F.sum("of_part").alias("rest"))
+    members = joined.join(open_, "grp").join(sizes, ["grp", "part"]).join(rest, "grp", "left")
+    # a component as large as a tile has blocks of its own, which needn't meet one another; the others share blocks
+    own = F.col("of_part") >= TILE
+    blocks = F.ceil(F.when(own, F.col("of_part")).otherwise(F.col("rest")) / TILE)
+    members = cut(members.select("grp", "id", F.struct(F.when(own, F.col("part")).otherwise(F.lit(-1)).alias("part"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("no")).alias("block")))
+    others = members.groupBy("grp").agg(F.collect_set("block").alias("others"))
+    tiles = members.join(others, "grp").withColumn("other", F.explode("others")).where("block.part = -1 or block = other or block.part <> other.part")
+    tiles = tiles.where("block.part = -1 or block <> other").select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id")
+    tiles = tiles.select("grp", F.col("lo.part").alias("lp"), F.col("lo.no").alias("ln"), F.col("hi.part").alias("hp"), F.col("hi.no").alias("hn"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select("id"), "id", "left_semi")
+
+    def test(t: pa.Table) -> pa.Table:
+        return _stars(t["id"].to_numpy(), similar(_sets(t["text"], width), percent))
+
+    return _grouped(tiles.join(cut(texts), "id"), ["grp", "lp", "ln", "hp", "hn"], test, "src long, dst long")
 
 
 def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -160,30 +242,27 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     known = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     posts = classes.select("id", F.explode("keys").alias("key"))
-    lists = cut(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"))
-    live = posts.join(lists, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key", "leader"))).alias("shared"))
+    lists = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = posts.join(lists, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
     live = cut(live.where(F.size("shared") >= MATCHES))
-    drop(lists)
-    met = live.select("id", F.explode("shared.leader").alias("leader")).where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("n"))
-    first = met.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("dst")).select(F.col("id").alias("src"), "dst")
-    edges = cut(confirm(first, docs, width, percent))
-    parts, quota = components(edges), QUOTA
-    posts = _met(live, parts)
-    pairs = _short(live, posts)
-    while True:
-        long = cut(_tiles(live, posts, quota))
-        pairs = cut(long.select("src", "dst").distinct() if pairs is None else long.select("src", "dst").unionAll(pairs).distinct())
-        drop(posts)
-        if pairs.isEmpty():
-            break
-        grown = cut(edges.unionAll(confirm(pairs, docs, width, percent)))
-        drop(edges)
-        edges = grown
-        parts = components(edges)
-        if long.where("more").isEmpty():
-            break
-        # what was held back may have been joined meanwhile; what wasn't comes now
-        posts, pairs, quota = _met(live, parts), None, quota * 8
+
+    # a list's leader: who shares the most with the most
+    weight = F.aggregate("shared", F.lit(0.0), lambda a, x: a + F.log(x["n"].cast("double")))
+    listed = live.select("id", weight.alias("weight"), F.explode("shared.key").alias("key"))
+    leaders = listed.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
+    met = listed.join(leaders, "key").where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", -F.col("leader"))))), 1, LEADERS).alias("best"))
+    best = cut(best.select(F.col("id").alias("src"), F.posexplode(F.transform("best", lambda b: -b["col2"])).alias("pos", "dst")))
+    close = cut(_collided(live, best.select("src", "dst")))
+    groups = components(close)
+    posts = _gathered(live, groups)
+    groups = components(close.unionAll(_short(live, posts)).unionAll(_long(live, posts)))
+    drop(posts)
+
+    first = confirm(best.where("pos = 0").select("src", "dst").join(close, ["src", "dst"], "left_semi"), docs, width, percent)
+    edges = cut(first)
+    parts = components(edges)
+    parts = components(edges.unionAll(_confirmed(groups, parts, docs, width, percent)))
     placed = rows.join(classes.select("one", "two", F.col("id").alias("__class")), ["one", "two"], "left").join(parts, F.col("__class") == F.col("node"), "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("__class")), "doc_id"))
     return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
