@@ -7,11 +7,12 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MODES = ("none", "sha1_64", "blake2b64", "xxhash64")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _blake2(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else hashlib.blake2b(t.encode(), digest_size=8).hexdigest() for t in text.to_pylist()], pa.string())
 
@@ -38,7 +39,7 @@ def hash_key(key: Column, mode: str = "none", prefix: str = "") -> Column:
 def doc_id(key: Column) -> Column:
     """The document id, as text, of a key: whole numbers in canonical form, else 63 bits of BLAKE2b."""
     hashed = F.conv(_blake2(key), 16, 10).cast("decimal(20,0)")
-    return F.when(F.trim(key).rlike(r"^[+-]?\d{1,18}$"), F.regexp_replace(F.trim(key), r"^\+", "").cast("long").cast("string")).otherwise((hashed % F.lit(1 << 63).cast("decimal(20,0)")).cast("long").cast("string"))
+    return F.when(F.trim(key).rlike(r"^[+-]?\d{1,18}$"), F.regexp_replace(F.trim(key), r"^\+", "").cast("long").cast("string")).otherwise((hashed % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long").cast("string"))
 
 
 def next_id(ids: Column) -> Column:
