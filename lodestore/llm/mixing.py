@@ -73,12 +73,13 @@ def _planned(docs: DataFrame, weights: Sequence[int], most: int, seed: int) -> D
     """Input columns plus __size, __source_size, __target, __rate and __copies."""
     sizes = cut(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     aims = targets(sizes, weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    # a row for each source: Spark broadcasts it while it is small, else splits hot sources
-    out = docs.withColumn("__size", word_count(F.col("text"))).join(aims, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    # a written row for each source, whose size Spark knows: it is broadcast while small, else hot sources are split
+    aims = cut(aims)
+    out = docs.withColumns({"__size": word_count(F.col("text")), "__draw": draw(F.col("doc_id"), F.col("text"), seed)}).join(aims, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     out = out.withColumn("__rate", rate)
-    extra = (draw(F.col("doc_id"), F.col("text"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return out.withColumn("__copies", F.floor("__rate") + extra)
+    extra = (F.col("__draw") < F.col("__rate") - F.floor("__rate")).cast("long")
+    return out.withColumn("__copies", F.floor("__rate") + extra).drop("__draw")
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
