@@ -29,7 +29,7 @@ from .common import cut, replace, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
-CACHED = 400_000  # words that a worker remembers, twice
+CACHED = 350_000  # words that a worker remembers, twice
 LONGEST = 48  # characters of those
 NONE = -np.inf
 BLANK = "▁"
@@ -43,8 +43,8 @@ class Vocabulary:
     ids: dict[str, int]
     bytes_: list[int]
     unknown: float
-    memory: dict[str, tuple[float, bytes]] = field(default_factory=dict)
-    before: dict[str, tuple[float, bytes]] = field(default_factory=dict)  # what memory held before it was full
+    memory: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)  # what memory held before it was full
 
     @cached_property
     def starts(self) -> dict[str, float | None]:
@@ -116,11 +116,11 @@ class Vocabulary:
             i = to[i]
         return sums[0], b"".join(out)
 
-    def word(self, unit: str) -> tuple[float, bytes]:
-        """solve() of a unit; short ones are remembered for a while."""
+    def word(self, unit: str) -> bytes:
+        """Packed ids of a unit; short ones are remembered for a while."""
         got = self.before.get(unit)
         if got is None:
-            got = self.solve(unit)
+            got = self.solve(unit)[1]
             if len(unit) > LONGEST:
                 return got
         if len(self.memory) >= CACHED:
@@ -131,20 +131,20 @@ class Vocabulary:
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as it stands."""
         known, word = self.memory.get, self.word
-        return np.frombuffer(b"".join([(known(u) or word(u))[1] for u in self.unit.findall(text)]), np.uint32)
-
-    def total(self, text: str) -> float:
-        known, word = self.memory.get, self.word
-        return sum([(known(u) or word(u))[0] for u in self.unit.findall(text)])
+        return np.frombuffer(b"".join([known(u) or word(u) for u in self.unit.findall(text)]), np.uint32)
 
     def transfer(self, body: str, ahead: str) -> np.ndarray:
-        """Best sums from a piece's reach over the left edge of body to a piece's reach over its right edge."""
+        """Best sums from a piece's reach over the left edge of body to a piece's reach over its right edge.
+
+        Every cutting has an edge at each start of a unit, so what lies between the
+        first and the last of them adds the same to all sums, and is left out.
+        """
         text, n = body + ahead, len(body)
         starts = [m.start() for m in self.unit.finditer(text) if 0 < m.start() <= n]
         if not starts:
             return np.stack(self.reach(text, n, True), 1)
-        first, last = starts[0], starts[-1]  # every cutting has an edge at both
-        head = self.reach(text[:first], first, True)[0] + self.total(text[first:last])
+        first, last = starts[0], starts[-1]
+        head = self.reach(text[:first], first, True)[0]
         return head[:, None] + np.array(self.reach(text[last:], n - last, False))[None, :]
 
 
