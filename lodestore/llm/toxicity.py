@@ -23,7 +23,7 @@ from . import textnp
 from .common import fold, id_crc, replace, small_batches, words
 from .labels import sampled
 
-MOST_TRAIN = 4_000  # labelled documents of each class to learn from, about
+MOST_TRAIN = 2_500  # labelled documents of each class to learn from, about
 THRESHOLD = 0.3
 ORDER = 6  # bytes, so that an n-gram fits a 64-bit integer
 DISCOUNT, TOP_DISCOUNT = 0.75, 0.75
@@ -198,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     every, first = grams(data, at[:-1], at[1:])
     keys, back = np.unique(every, return_inverse=True)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    counts = {(k, f): np.bincount(back, table[f"c{k}{f}"].to_numpy()[owner], len(keys)) for k, f in names}
+    counts = {(k, f): np.bincount(back, table[f"c{k}{f}"].to_numpy()[owner], len(keys)).astype(np.int32) for k, f in names}
+    del table, data, every, back, owner
     of = lambda k, without: sum(counts[k, f] for f in range(FOLDS) if f != without)
     cache = uuid.uuid4().hex
     folds = sc.broadcast([learn(keys, of(1, f), of(0, f)) for f in range(FOLDS)])
