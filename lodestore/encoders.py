@@ -18,6 +18,7 @@ class Encoder(ABC):
     """Turns columns of texts into columns of vectors with `dim` components."""
 
     dim: int
+    takes_vectors = False  # else payloads that are vectors already stay as they are
 
     @abstractmethod
     def items(self, data: Column) -> Column:
@@ -54,6 +55,8 @@ class HashingEncoder(Encoder):
 class PassthroughEncoder(Encoder):
     """Vectors that come as vectors: checked for their length and, if asked, normalised."""
 
+    takes_vectors = True
+
     def __init__(self, dim: int, normalize: bool = True) -> None:
         self.dim, self.normalize = dim, normalize
 

@@ -227,19 +227,24 @@ class Engine:
 
     def _encoded(self, queue: list[Request]) -> list[tuple[Request, DataFrame]]:
         """Requests with their rows (pos, id, data, metadata, vector), all encoded in one pass for each kind of payload."""
+        def kind_of(r: Request) -> str:
+            return "ids" if r.op is Op.DELETE_IDS else r.rows.schema["data"].dataType.simpleString()
+
         by_kind: dict[str, list[DataFrame]] = {}
         for seq, r in enumerate(queue):
-            by_kind.setdefault(r.rows.schema["data"].dataType.simpleString(), []).append(r.rows.select(F.lit(seq).cast("long").alias("seq"), "pos", "id", "data", "metadata"))
+            by_kind.setdefault(kind_of(r), []).append(r.rows.select(F.lit(seq).cast("long").alias("seq"), "pos", "id", "data", "metadata"))
         done: dict[str, DataFrame] = {}
         for kind, parts in by_kind.items():
             rows = parts[0]
             for p in parts[1:]:
                 rows = rows.unionByName(p)
-            vector = F.when(F.col("data").isNotNull(), self.encoder.items(F.col("data")))
-            if kind.startswith("array"):
-                vector = F.col("data").cast("array<float>") if not hasattr(self.encoder, "normalize") else vector
+            vector = F.lit(None).cast("array<float>")
+            if kind.startswith("array") and not self.encoder.takes_vectors:
+                vector = F.col("data").cast("array<float>")
+            elif kind != "ids":
+                vector = F.when(F.col("data").isNotNull(), self.encoder.items(F.col("data")))
             done[kind] = self._cut(rows.withColumn("vector", vector))
-        return [(r, done[r.rows.schema["data"].dataType.simpleString()].where(F.col("seq") == seq)) for seq, r in enumerate(queue)]
+        return [(r, done[kind_of(r)].where(F.col("seq") == seq)) for seq, r in enumerate(queue)]
 
     def _keyed(self, c: Collection, request: Request, rows: DataFrame) -> DataFrame:
         """Log rows of a mutation, with hashed keys; missing ids of inserts get automatic ones."""
