@@ -148,8 +148,8 @@ def test_errors(spark):
 def test_texts_and_documents(spark, tmp_path):
     e = Engine(spark, HashingEncoder(32))
     index = e.create_index("texts")
-    e.add_insert(index, [("t1", "hello world", {"role": "u"}), ("t2", "agent memory interface", None), {"id": "3", "data": {"b": 1, "a": 2}}])
-    e.add_search(index, ["memory interface for agents"], 3, "q")
+    e.add_insert(index, [("t1", "hello world", {"role": "u"}), ("t2", "vector store interface", None), {"id": "3", "data": {"b": 1, "a": 2}}])
+    e.add_search(index, ["interface of a vector store"], 3, "q")
     assert e.run().searches()["q"][0][0][0] == "t2"
     assert e.get_doc(index, "3")["data"] == '{"a": 2, "b": 1}' and e.doc_store_size(index) == 3 and e.get_doc(index, "9") is None
     e.save_docs(index, str(tmp_path / "docs"))
