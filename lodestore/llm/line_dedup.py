@@ -45,6 +45,13 @@ def spread(lines: DataFrame, min_sites: int, bits: int = SKETCH_BITS) -> DataFra
     return sure.select("h", "g", "first").unionAll(many.join(exact.where(F.col("exact") >= min_sites), ["h", "g"]).select("h", "g", "first"))
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines whose places aren't among those gone: what lies between two places that follow each other."""
+    marks = F.concat(F.array(F.lit(-1)), F.array_sort(gone), F.array(F.size(lines)))
+    spans = F.zip_with(F.slice(marks, 1, F.size(marks) - 1), F.slice(marks, 2, F.size(marks) - 1), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    return F.flatten(spans)
+
+
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_share: float = MOST_SHARE) -> DataFrame:
     """Documents (doc_id, text, source, ...) without boilerplate lines; adds n_lines int and n_removed int, sets n_chars if there.
 
@@ -67,8 +74,7 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_share: float = MOST_
     out = rows.join(gone, rows["__id"].eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__u")) & (F.col("__y") == F.col("__v")), "left")
     cutting = F.col("__gone").isNotNull() & (F.col("__n") <= F.regexp_count("text", F.lit(WORD)) * most_share)
     split = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(cutting, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    text = F.when(cutting, F.array_join(_without(split, F.col("__gone")), "\n")).otherwise(F.col("text"))
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(split)).otherwise(0)
     values = {"n_lines": n_lines, "n_removed": F.when(cutting, F.size("__gone")).otherwise(0)}
     out = replace(out, **values, __text=text).drop("__id", "__x", "__y", "__i", "__u", "__v", "__gone", "__n")
