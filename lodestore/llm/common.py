@@ -100,13 +100,16 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; edges lead from src down to dst."""
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+    # written, the smallest neighbours have a size that Spark knows: small, they are broadcast; large, hubs are split
+    least = cut(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")))
     large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src > dst").distinct()
     large = cut(large)
-    least = large.groupBy("src").agg(F.min("dst").alias("low"))
+    drop(least)
+    least = cut(large.groupBy("src").agg(F.min("dst").alias("low")))
     small = large.join(least, "src").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionAll(least.select("src", F.col("low").alias("dst")))
     out = cut(small.distinct())
     drop(large)
+    drop(least)
     return out
 
 
