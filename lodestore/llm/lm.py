@@ -27,7 +27,7 @@ from . import textnp
 from .common import cut, id_crc, small_batches
 
 WORD_SHARE = 1e-6  # of all training tokens: words this frequent are held by every task, 1/WORD_SHARE at most
-PAIR_SHARE = 2e-6  # bigrams this frequent become arcs, 1/PAIR_SHARE at most
+PAIR_SHARE = 5e-7  # bigrams this frequent become arcs, 1/PAIR_SHARE at most
 DISCOUNT = 0.75
 AT_ONCE = 2_000_000  # tokens counted together in a task
 END = np.uint64(0)  # the end of a text, in place of a word's hash
