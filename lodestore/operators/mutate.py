@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import numbered
+
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key, by the given columns."""
@@ -57,17 +59,14 @@ def remove(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def auto_ids(batch: DataFrame, key: Column, order: str, start: int = 1, strategy: str = "sequential") -> DataFrame:
-    """Adds ext_id: the key, or where it is null or empty a number from start on, in order, or auto- and a UUID.
-
-    Batches are what one request carries, so their missing ids are numbered in one place.
-    """
-    gone = key.isNull() | (key == "")
+    """Adds ext_id: the key, or where it is null or empty a number from start on, in order, or auto- and a UUID."""
+    gone = F.coalesce(key.isNull() | (key == ""), F.lit(True))
     if strategy == "uuid":
         return batch.withColumn("ext_id", F.when(gone, F.concat(F.lit("auto-"), F.regexp_replace(F.expr("uuid()"), "-", ""))).otherwise(key))
     if strategy != "sequential":
         raise ValueError("strategy must be 'uuid' or 'sequential'")
-    number = F.sum(gone.cast("long")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + start - 1
-    return batch.withColumn("ext_id", F.when(gone, number.cast("string")).otherwise(key))
+    new = numbered(batch.where(gone), order).withColumn("ext_id", (F.col("row") + start).cast("string"))
+    return batch.where(~gone).withColumn("ext_id", key).unionByName(new.select(*batch.columns, "ext_id"))
 
 
 def counters(op_log: DataFrame) -> DataFrame:
