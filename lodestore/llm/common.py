@@ -113,21 +113,22 @@ def _stars(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each source has one destination, which is the source of no edge."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(edges.select("dst", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (src long, dst long): rows (node, component).
 
     Component: the smallest node reachable.  Alternates large-star and small-star
-    steps until the edges stand still; each step is a min aggregate and an equi
-    join, so no component is ever gathered in one task.  Nodes without an edge to
-    another node are absent.  No edges: no rows.
+    steps until only stars are left; each step is a min aggregate and an equi join,
+    so no component is ever gathered in one task.  Nodes without an edge to another
+    node are absent.  No edges: no rows.
     """
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)")), F.lit(0))).first()
-        if tuple(mark) == seen or mark[0] == 0:
-            break
-        seen = tuple(mark)
+    while not _only_stars(now):
         after = _stars(now)
         drop(now)
         now = after

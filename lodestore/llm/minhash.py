@@ -207,15 +207,18 @@ def _confirmed(groups: DataFrame, parts: DataFrame, docs: DataFrame, width: int,
     """Stars (src, dst) of links between classes (node, component) of candidate groups that are in different components (parts) so far."""
     joined = groups.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), F.col("node") == F.col("id"), "left")
     joined = joined.select(F.col("component").alias("grp"), F.col("node").alias("id"), F.coalesce("part", "node").alias("part"))
+    # these are written, so that Spark knows how large they are: small, they are broadcast; large, large groups are split
     sizes = joined.groupBy("grp", "part").agg(F.count("*").alias("of_part"))
-    open_ = sizes.groupBy("grp").agg(F.count("*").alias("parts")).where("parts > 1").select("grp")
+    open_ = cut(sizes.groupBy("grp").agg(F.count("*").alias("parts")).where("parts > 1").select("grp"))
+    sizes = cut(sizes.join(open_, "grp"))
     rest = sizes.where(F.col("of_part") < TILE).groupBy("grp").agg(F.sum("of_part").alias("rest"))
-    members = joined.join(open_, "grp").join(sizes, ["grp", "part"]).join(rest, "grp", "left")
+    rest = cut(rest)
+    members = joined.join(sizes, ["grp", "part"]).join(rest, "grp", "left")
     # a component as large as a tile has blocks of its own, which needn't meet one another; the others share blocks
     own = F.col("of_part") >= TILE
     blocks = F.ceil(F.when(own, F.col("of_part")).otherwise(F.col("rest")) / TILE)
     members = cut(members.select("grp", "id", F.struct(F.when(own, F.col("part")).otherwise(F.lit(-1)).alias("part"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("no")).alias("block")))
-    others = members.groupBy("grp").agg(F.collect_set("block").alias("others"))
+    others = cut(members.groupBy("grp").agg(F.collect_set("block").alias("others")))
     tiles = members.join(others, "grp").withColumn("other", F.explode("others")).where("block.part = -1 or block = other or block.part <> other.part")
     tiles = tiles.where("block.part = -1 or block <> other").select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id")
     tiles = tiles.select("grp", F.col("lo.part").alias("lp"), F.col("lo.no").alias("ln"), F.col("hi.part").alias("hp"), F.col("hi.no").alias("hn"), "id")
