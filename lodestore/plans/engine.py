@@ -190,9 +190,9 @@ class Engine:
         queue, self.queue = self.queue, []
         result = RunResult(hits=self.spark.createDataFrame([], HITS))
         pending: dict[int, list[DataFrame]] = {}
-        for request, rows in self._encoded(self._coalesced(queue)):
+        for request, rows, n in self._encoded(self._coalesced(queue)):
             c = self.collections[request.index_id]
-            result.requested[request.op.value] = result.requested.get(request.op.value, 0) + rows.count()
+            result.requested[request.op.value] = result.requested.get(request.op.value, 0) + n
             if request.op in (Op.INSERT, Op.UPDATE, Op.DELETE_IDS):
                 pending.setdefault(c.index_id, []).append(self._keyed(c, request, rows))
                 continue
@@ -225,8 +225,8 @@ class Engine:
                 out.append(r)
         return out
 
-    def _encoded(self, queue: list[Request]) -> list[tuple[Request, DataFrame]]:
-        """Requests with their rows (pos, id, data, metadata, vector), all encoded in one pass for each kind of payload."""
+    def _encoded(self, queue: list[Request]) -> list[tuple[Request, DataFrame, int]]:
+        """Requests with their rows (pos, id, data, metadata, vector), all encoded in one pass for each kind of payload, and how many they are."""
         def kind_of(r: Request) -> str:
             return "ids" if r.op is Op.DELETE_IDS else r.rows.schema["data"].dataType.simpleString()
 
@@ -234,6 +234,7 @@ class Engine:
         for seq, r in enumerate(queue):
             by_kind.setdefault(kind_of(r), []).append(r.rows.select(F.lit(seq).cast("long").alias("seq"), "pos", "id", "data", "metadata"))
         done: dict[str, DataFrame] = {}
+        sizes: dict[int, int] = {}
         for kind, parts in by_kind.items():
             rows = parts[0]
             for p in parts[1:]:
@@ -244,16 +245,19 @@ class Engine:
             elif kind != "ids":
                 vector = F.when(F.col("data").isNotNull(), self.encoder.items(F.col("data")))
             done[kind] = self._cut(rows.withColumn("vector", vector))
-        return [(r, done[kind_of(r)].where(F.col("seq") == seq)) for seq, r in enumerate(queue)]
+            sizes |= {r["seq"]: r["count"] for r in done[kind].groupBy("seq").count().collect()}  # a row for each request
+        return [(r, done[kind_of(r)].where(F.col("seq") == seq), sizes.get(seq, 0)) for seq, r in enumerate(queue)]
 
     def _keyed(self, c: Collection, request: Request, rows: DataFrame) -> DataFrame:
         """Log rows of a mutation, with hashed keys; missing ids of inserts get automatic ones."""
         raw = F.col("id")
         if request.op is Op.INSERT:
-            rows = mutate.auto_ids(rows, raw, "pos", c.next_auto, self.auto_id)
-            if self.auto_id == "sequential":
-                c.next_auto = max(c.next_auto + rows.where(keys.missing(raw)).count(), rows.agg(keys.next_id(F.col("ext_id"))).first()[0])
-            raw = F.col("ext_id")
+            absent, top = rows.agg(F.count_if(keys.missing(raw)), keys.next_id(raw)).first()
+            c.next_auto = max(c.next_auto, top)  # automatic ids come after all that were given
+            if absent:
+                rows = mutate.auto_ids(rows, raw, "pos", c.next_auto, self.auto_id)
+                rows, raw = (self._cut(rows) if self.auto_id == "uuid" else rows), F.col("ext_id")
+            c.next_auto += absent
         else:
             rows = rows.where(~keys.missing(raw))
         return rows.select("seq", "pos", F.lit(request.op.value).alias("op"), keys.hash_key(raw, self.hash_mode, self.hash_prefix).alias("ext_id"), "vector", "metadata", F.col("data").cast("string").alias("payload"))
@@ -266,7 +270,6 @@ class Engine:
         log = logs[0]
         for x in logs[1:]:
             log = log.unionByName(x)
-        log = self._cut(log)
         rows = fold(c.rows, log, self.insert_if_absent)
         if c.strategy == "ivf":
             old, new = rows.where("cluster_id is not null"), rows.where("cluster_id is null").drop("cluster_id", "level")

@@ -99,6 +99,9 @@ def test_ids(spark):
     e.run()
     got = {r["ext_id"] for r in e.resolve(index).rows.collect()}
     assert {"0", "7"} <= got and len(got) == 6
+    e.add_insert(index, [("12", vec(1)), *[(None, vec(x)) for x in range(6)]])
+    e.run()
+    assert e.resolve(index).rows.count() == 13
     u = engine(spark, auto_id="uuid", hash_mode="blake2b64", hash_prefix="h")
     index = u.create_index("u")
     u.add_insert(index, [(None, vec(1)), ("k", vec(2))])
