@@ -28,8 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites; n_chars follows the text."""
-    return _as(line_dedup.dedup(docs), docs)
+    """All documents, without lines that stand on many sites; n_chars follows the text.
+
+    Only documents with near copies, by the test of drop_copies, may stay whole.
+    """
+    groups = cut(minhash.linked(docs).where("doc_id is not null").select("doc_id", "component_id").distinct())
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    return _as(line_dedup.dedup(docs, copies=groups.join(several, "component_id", "left_semi")), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

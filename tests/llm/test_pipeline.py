@@ -36,3 +36,14 @@ def test_stages_take_effect(spark, tmp_path):
 def test_run_keeps_what_the_stages_keep(spark):
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) == {"doc_id", "lang", "source", "n_ids", "ids", "round_trip"} and out.count() > 0
+
+
+def test_only_near_copies_keep_lines_of_many_sites(spark):
+    shared = "\n".join(f"boilerplate {k} that stands on many sites" for k in range(12))
+    rows = [(i, f"{shared}\n" + " ".join(f"w{i}x{j}" for j in range(60 if i < 8 else 30)), f"s{i % 8}") for i in range(10)]
+    rows += [(20 + i, shared, f"s{i}") for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    own = {i: t.split("\n")[-1] for i, t, _ in rows}
+    assert got[0] == rows[0][1] and all(got[i] == own[i] for i in range(1, 10))
+    assert all(got[20 + i] == shared for i in range(3))
