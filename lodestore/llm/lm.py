@@ -5,12 +5,15 @@ automaton stands in that word's state, else at the root.  A state has an arc for
 each of its bigrams and a failure arc, with its backoff weight, to the root, whose
 arcs are the unigrams.  A text is one traversal from left to right.
 
-Counts cover all training tokens.  Frequent words, a fixed share of all tokens each
-at least and so a bounded number, are the part of the automaton that every task
-holds.  The root's arcs of all other words stay a distributed table, which the
-texts' rare words are joined with.
-
-Words are told apart by 64-bit hashes of their bytes.
+Counts cover all training tokens, and every bigram that was counted is an arc.
+Frequent words and bigrams, a fixed share of all tokens each at least and so a
+bounded number, are the part of the automaton that every task holds.  All other
+words and arcs stay distributed tables, which the texts' words and bigrams are
+joined with.  An arc's weight is kept as what it adds to its failure arc followed by
+the root's arc, so that words and bigrams are looked up apart and summed.
+
+Words are told apart by 64-bit hashes of their bytes, the arcs in the texts by
+64-bit hashes of both words' hashes.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cut, id_crc, small_batches
+from .common import cut, drop, id_crc, small_batches
 
 WORD_SHARE = 1e-6  # of all training tokens: words this frequent are held by every task, 1/WORD_SHARE at most
-PAIR_SHARE = 5e-7  # bigrams this frequent become arcs, 1/PAIR_SHARE at most
+PAIR_SHARE = 5e-7  # bigrams this frequent are held by every task, 1/PAIR_SHARE at most
 DISCOUNT = 0.75
 AT_ONCE = 2_000_000  # tokens counted together in a task
 END = np.uint64(0)  # the end of a text, in place of a word's hash
@@ -69,9 +72,56 @@ def _counted(docs: DataFrame, keys) -> DataFrame:
     return docs.select("text").mapInArrow(part, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _before(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each token; a text begins after an end."""
+    last = np.empty_like(hashes)
+    last[1:] = hashes[:-1]
+    last[first[:-1]] = END
+    return last
+
+
+def pair_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: Spark's xxhash64 of both words' hashes."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    key = np.full(len(one), 42, np.uint64)
+    for x in (one, two):
+        key = (key + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+        key = turn(key, 27) * p1 + p4
+        key = (key ^ (key >> np.uint64(33))) * p2
+        key = (key ^ (key >> np.uint64(29))) * p3
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _paired(docs: DataFrame) -> DataFrame:
+    """(a long, b long, n long): how often each bigram occurs."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, at, counts = np.unique(pair_keys(one, two), return_index=True, return_counts=True)
+            for i in range(0, len(at), 1 << 16):
+                some = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["a", "b", "n"])
+
+        for b in batches:
+            hashes, first = tokens(b.column(0))
+            held.append((_before(hashes, first), hashes))
+            if sum(len(x) for x, _ in held) >= AT_ONCE:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(part, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Automaton:
-    """Hashes of the frequent words, sorted; their counts and backoff weights; bigrams as first * words + second, sorted, with log10 probabilities."""
+    """The held part: hashes of the frequent words, sorted, their counts and backoff weights; keys of the frequent bigrams, sorted, with what their arcs add."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -85,116 +135,115 @@ class Automaton:
     def mass(self) -> float:
         return self.total + 0.5 * (self.kinds + 1)
 
-    def states(self, hashes: np.ndarray) -> np.ndarray:
-        """The state of each word: its place among the frequent ones, else -1, the root."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+    def traverse(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: is its word held, its log10 unigram weight, its log10 weight in the traversal, its bigram's key, and is that held.
 
-    def traverse(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token its state, its log10 unigram weight, and its log10 weight in the traversal; for rare words these leave the root's arc out.
-
-        A text begins in the state of an end.  The state carried from a token to the
-        next is the token's own, so all steps of a batch are taken as arrays.
+        What isn't held is left out of the weights.  Each token's backoff weight is
+        counted with the token itself: a text's tokens and the words before them are
+        the same words, as it begins after an end and ends with one.
         """
-        state = self.states(hashes)
-        last = np.empty_like(state)
-        last[1:] = state[:-1]
-        last[first[:-1]] = self.states(np.array([END]))[0]
-        root = np.where(state >= 0, np.log10((self.counts[state] + 0.5) / self.mass), 0.0) if len(self.words) else np.zeros(len(state))
-        step = root + np.where(last >= 0, self.backoff[last], 0.0) if len(self.words) else root.copy()
-        both = np.flatnonzero((last >= 0) & (state >= 0))
-        if len(self.pairs) and len(both):
-            key = last[both] * len(self.words) + state[both]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            step[both[hit]] = self.weights[at[hit]]
-        return state, root, step
-
-
-def train(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton of documents (text), and the counts (h, c) of all their tokens."""
-    sc = docs.sparkSession.sparkContext
-    small_batches(docs.sparkSession)
-    counts = cut(_counted(docs, lambda t: tokens(t)[0]))
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # at most 1 / word_share rows, and at most 1 / pair_share below
-    often = counts.where(F.col("c") >= word_share * total).toArrow()
-    words = often["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, c = words[order], often["c"].to_numpy()[order]
-    model = Automaton(words, c, np.zeros(len(words)), np.zeros(0, np.int64), np.zeros(0), total, kinds)
-    plain = sc.broadcast(model)
-
-    def pairs(texts: pa.Array) -> np.ndarray:
-        m = plain.value
-        hashes, first = tokens(texts)
-        state = m.states(hashes)
-        last = np.empty_like(state)
-        last[1:] = state[:-1]
-        last[first[:-1]] = m.states(np.array([END]))[0]
-        return (last * len(m.words) + state)[(last >= 0) & (state >= 0)].astype(np.int64)
-
-    often = _counted(docs, pairs).where(F.col("c") >= pair_share * total).toArrow()
-    keys = often["h"].to_numpy().astype(np.int64)
+        word, known = _find(self.words, hashes)
+        root, step = np.zeros(len(hashes)), np.zeros(len(hashes))
+        root[known] = np.log10((self.counts[word[known]] + 0.5) / self.mass)
+        step[known] = root[known] + self.backoff[word[known]]
+        keys = pair_keys(_before(hashes, first), hashes)
+        arc, hit = _find(self.pairs, keys)
+        step[hit] += self.weights[arc[hit]]
+        return known, root, step, keys, hit
+
+
+def _find(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted array, and whether they are there."""
+    if not len(among):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(among, wanted), len(among) - 1)
+    return at, among[at] == wanted
+
+
+def _sorted(table: pa.Table) -> list[np.ndarray]:
+    """Columns of a table whose first are hashes, in the order of these."""
+    keys = table.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    keys, seen = keys[order], often["c"].to_numpy()[order]
-    if len(keys):
-        one, two = keys // len(words), keys % len(words)
-        p = (seen - DISCOUNT) / c[one]
-        kept = np.bincount(one, p, len(words))
-        below = np.bincount(one, (c[two] + 0.5) / model.mass, len(words))
-        model = Automaton(words, c, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - below, 1e-12)), keys, np.log10(p), total, kinds)
-    return model, counts
+    return [keys[order], *(c.to_numpy()[order] for c in table.columns[1:])]
+
 
+def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, held_words: float = WORD_SHARE, held_pairs: float = PAIR_SHARE) -> tuple[Automaton, DataFrame, DataFrame]:
+    """The held part of the automaton of documents (text), all words (h, c, backoff), and the arcs (k, weight) that aren't held.
 
-def score(docs: DataFrame, usable: Column | None = None, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+    Bigrams are arcs if they are word_share and pair_share of all tokens at least,
+    their words and they themselves: by default, all are.  held_words, held_pairs:
+    the shares from which words and arcs are held, which doesn't change a result.
+    """
+    small_batches(docs.sparkSession)
+    counts = cut(_counted(docs, lambda t: tokens(t)[0]))
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    mass = Automaton(*[np.zeros(0)] * 5, total, kinds).mass
+    pairs = cut(_paired(docs).where(F.col("n") >= pair_share * total))
+    often = counts.where(F.col("c") >= word_share * total)
+    # where there are few words these joins are broadcast; where not, Spark splits hot words
+    arcs = pairs.join(often.select(F.col("h").alias("b"), ((F.col("c") + 0.5) / mass).alias("p")), "b")
+    sums = arcs.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("p").alias("below"))
+    left = (F.col("c") - F.col("n") + DISCOUNT * F.col("kinds")) / F.col("c")
+    backoff = F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12)))
+    has = F.col("n").isNotNull() & (F.col("c") >= word_share * total)
+    states = cut(counts.join(sums, F.col("h") == F.col("a"), "left").select("h", "c", F.when(has, backoff).otherwise(0.0).alias("backoff"), has.alias("has")))
+    added = F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.log10("p") - F.col("backoff")
+    arcs = cut(arcs.join(states.where("has").select(F.col("h").alias("a"), "c", "backoff"), "a").select(F.xxhash64("a", "b").alias("k"), "n", added.alias("weight")))
+    drop(pairs)
+    # at most 1 / held_words rows, and at most 1 / held_pairs
+    words = _sorted(states.where(F.col("c") >= held_words * total).select("h", "c", "backoff").toArrow())
+    held = _sorted(arcs.where(F.col("n") >= held_pairs * total).select("k", "weight").toArrow())
+    return Automaton(*words, *held, total, kinds), states.select("h", "c", "backoff"), arcs.where(F.col("n") < held_pairs * total).select("k", "weight")
+
+
+def _lists(texts: np.ndarray, keys: np.ndarray, n: int, name: str) -> pa.ListArray:
+    """For each of n texts its different keys and how often each occurs; texts: the text of each key."""
+    order = np.lexsort((keys, texts))
+    texts, keys = texts[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(keys)))
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(texts[at], minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(times.astype(np.int64))], [name, "n"]))
+
+
+def score(docs: DataFrame, usable: Column | None = None, word_share: float = 0.0, pair_share: float = 0.0, held_words: float = WORD_SHARE, held_pairs: float = PAIR_SHARE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each document (doc_id, text, ...).
 
-    Learns from the rows that usable picks, else those not held out.  base_score:
-    log10 probability by additively smoothed unigrams; score: by the automaton.
-    Null and empty texts are one token, the end.  Repeated rows have a result each,
-    the same one.  Without training rows all tokens are unknown.  Other columns are
-    not looked at; an empty table gives an empty result.
+    Learns from the rows that usable picks, else those not held out; the shares are
+    those of train().  base_score: log10 probability by additively smoothed unigrams;
+    score: by the automaton.  Null and empty texts are one token, the end.  Repeated
+    rows have a result each, the same one.  Without training rows all tokens are
+    unknown.  Other columns are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model, counts = train(docs.where(~held_out(F.col("doc_id")) if usable is None else usable), word_share, pair_share)
+    model, states, arcs = train(docs.where(~held_out(F.col("doc_id")) if usable is None else usable), word_share, pair_share, held_words, held_pairs)
     held = spark.sparkContext.broadcast(model)
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             hashes, first = tokens(b.column("text"))
-            state, root, step = m.traverse(hashes, first)
-            rare = state < 0
-            sums = [np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]) for x in (root, step, (~rare).astype(np.int64))]
-            base, walk, known = (s[first[1:]] - s[first[:-1]] for s in sums)
-            place = np.flatnonzero(rare)
-            which = np.searchsorted(first, place, "right") - 1
-            order = np.lexsort((hashes[place], which))
-            which, left = which[order], hashes[place][order]
-            new = np.ones(len(left), bool)
-            new[1:] = (left[1:] != left[:-1]) | (which[1:] != which[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(left)))
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(which[at], minlength=b.num_rows))]).astype(np.int32)
-            rest = pa.StructArray.from_arrays([pa.array(left[at].view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
+            known, root, step, keys, hit = m.traverse(hashes, first)
+            sums = [np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]) for x in (root, step, known.astype(np.int64))]
+            base, walk, n_known = (s[first[1:]] - s[first[:-1]] for s in sums)
+            which = np.repeat(np.arange(b.num_rows), np.diff(first))
+            words, pairs = _lists(which[~known], hashes[~known], b.num_rows, "h"), _lists(which[~hit], keys[~hit], b.num_rows, "k")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("x"), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(walk), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest)],
-                ["doc_id", "x", "n_tokens", "n_known", "base", "walk", "rest"],
+                [b.column("r"), b.column("doc_id"), pa.array(np.diff(first)), pa.array(n_known), pa.array(base), pa.array(walk), words, pairs],
+                ["r", "doc_id", "n_tokens", "n_known", "base", "walk", "words", "pairs"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("x"), "text").mapInArrow(walked, f"doc_id {kind}, x long, n_tokens long, n_known long, base double, walk double, rest array<struct<h:long,n:long>>")
-    rows = cut(rows)
-    rare = rows.select("doc_id", "x", F.inline("rest"))
-    rare = rare.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "text").mapInArrow(walked, f"r long, doc_id {kind}, n_tokens long, n_known long, base double, walk double, words array<struct<h:long,n:long>>, pairs array<struct<k:long,n:long>>")
+    rows = cut(rows)  # written, a row keeps its number
+    no_id, none, zero = F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long"), F.lit(0.0)
+    rare = rows.select("r", F.inline("words")).join(states, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     weight = F.log10((F.col("c") + 0.5) / F.lit(model.mass)) * F.col("n")
-    rare = rare.select("doc_id", "x", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), weight.alias("base"), weight.alias("walk"))
-    whole = rows.select("doc_id", "x", F.lit(1).alias("rows"), "n_tokens", "n_known", "base", "walk").unionAll(rare)
-    # rows that are equal in id and text meet in one group, whose sums are as many times too large
-    sums = whole.groupBy("doc_id", "x").agg(*(F.sum(n).alias(n) for n in ("rows", "n_tokens", "n_known", "base", "walk")))
-    sums = sums.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
-    each = [(F.col(n) / F.col("rows")).cast("long").alias(n) for n in ("n_tokens", "n_known")]
-    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *each, F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("walk") / F.col("rows")).alias("score"))
+    rare = rare.select("r", no_id, none.alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), weight.alias("base"), (weight + F.coalesce("backoff", zero) * F.col("n")).alias("walk"))
+    seen = rows.select("r", F.inline("pairs")).join(arcs, "k")
+    seen = seen.select("r", no_id, none.alias("n_tokens"), none.alias("n_known"), zero.alias("base"), (F.col("weight") * F.col("n")).alias("walk"))
+    whole = rows.select("r", "doc_id", "n_tokens", "n_known", "base", "walk").unionAll(rare).unionAll(seen)
+    sums = whole.groupBy("r").agg(F.max("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n in ("n_tokens", "n_known", "base", "walk")))
+    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("walk").alias("score"))

@@ -126,3 +126,28 @@ def test_lm_of_odd_rows(spark):
     assert lm.score(docs).count() == 2 and lm.score(docs.limit(0)).count() == 0
     got = lm.score(docs, usable=F.lit(False)).collect()
     assert {r["n_known"] for r in got} == {0}
+
+
+def test_lm_keeps_bigrams_of_any_share(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(100) if i not in ids)
+    rows = [(i, "a " * 120_000) for i in ids[:40]] + [(ids[40], "b c"), (held, "b c")]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 1 < lm.PAIR_SHARE * got[held]["train_tokens"]
+    # b is the 1st word of 1 of 41 texts, c always follows b, and an end always c
+    want = math.log10((1 - lm.DISCOUNT) / 41) + 2 * math.log10(1 - lm.DISCOUNT)
+    assert got[held]["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_scores_do_not_depend_on_what_is_held(spark):
+    docs = spark.createDataFrame([*chain(7, 60), (500, None), (501, "zebra alpha"), (3, "alpha beta"), (3, "alpha beta")], "doc_id long, text string")
+    one, two = ({(r["doc_id"], r["n_tokens"]): r for r in lm.score(docs, **held).collect()} for held in ({}, {"held_words": 0.05, "held_pairs": 0.02}))
+    assert one.keys() == two.keys()
+    for k, r in one.items():
+        assert r["n_known"] == two[k]["n_known"] and [r["base_score"], r["score"]] == pytest.approx([two[k]["base_score"], two[k]["score"]], rel=1e-9)
+
+
+def test_lm_pair_keys_are_those_of_spark(spark):
+    one, two = np.array([0, 1, -5, 2**62]), np.array([7, 0, -(2**63), 3])
+    got = spark.createDataFrame(list(zip(one.tolist(), two.tolist(), strict=True)), "a long, b long").select(F.xxhash64("a", "b").alias("k")).collect()
+    assert [r["k"] for r in got] == lm.pair_keys(one.view(np.uint64), two.view(np.uint64)).view(np.int64).tolist()
