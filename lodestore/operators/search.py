@@ -161,9 +161,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str
 
 
 def search_expr(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:
-    """search() in column expressions alone, for few and small queries: each is joined with every vector."""
-    pairs = vectors.select("id", "vector").crossJoin(F.broadcast(queries.limit(QUERY_BLOCK).select("query_id", F.col("vector").alias("__q"))))
-    scored = pairs.select("query_id", "id", metrics.score(F.col("vector"), F.col("__q"), metric).alias("score"))
+    """search() in column expressions alone: each query is joined with every vector, a block of queries at a time."""
+    asked = queries.select("query_id", "vector")
+
+    def pairs(block: list) -> DataFrame:
+        some = vectors.sparkSession.createDataFrame(block, asked.schema).withColumnRenamed("vector", "__q")
+        both = vectors.select("id", "vector").crossJoin(F.broadcast(some))
+        return both.select("query_id", "id", metrics.score(F.col("vector"), F.col("__q"), metric).alias("score"))
+
+    scored = pairs([])
+    for block in _blocks(asked):
+        scored = scored.unionAll(pairs(block))
     return rank(scored.where(F.col("score").isNotNull() & ~F.isnan("score")), k).select("query_id", "rank", "id", "score")
 
 

@@ -46,6 +46,12 @@ def test_exact(rows, asked, metric):
     assert lists(search.search_expr(rows, asked, 7, metric)) == best(metric, 7)
 
 
+def test_expressions_find_for_queries_of_all_blocks(rows, asked, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    assert lists(search.search_expr(rows, asked, 7, "l2")) == best("l2", 7)
+    assert search.search_expr(rows, asked.limit(0), 7, "l2").count() == 0
+
+
 def test_limits(spark, rows, asked):
     assert search.search(rows, asked, 0).count() == 0 and search.search(rows, asked, -1).count() == 0
     assert search.search(rows.where("id < 3"), asked, 10).count() == 18
