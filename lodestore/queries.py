@@ -7,6 +7,7 @@ centroids; scores are rounded to 6 places for comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,10 +266,23 @@ def kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l0_online_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the fresh level that a first micro-batch of 200 vectors opens."""
-    batch = vectors(spark, sf_dir).where("id < 200").orderBy("id").collect()
-    homes, _, live = topology.grow_online([], [], [r["vector"] for r in batch], "l2", 1.2, cap=32)
-    return spark.createDataFrame([(r["id"], h, live[h]) for r, h in zip(batch, homes, strict=True)], "id long, cluster_id int, live int")
+    """Clusters of the fresh level that all vectors open and join, in micro-batches of 200 by id."""
+    from .queries_more import _shared
+
+    path, centroids, live, homes = _shared(spark), [], [], []
+    schema = "id long, cluster_id int"
+    spark.createDataFrame([], schema).write.parquet(path)
+    rows = vectors(spark, sf_dir).orderBy("id").toLocalIterator()
+    while batch := list(islice(rows, 200)):
+        at, centroids, live = topology.grow_online(centroids, live, [r["vector"] for r in batch], "l2", 1.2, cap=32)
+        homes += [(r["id"], h) for r, h in zip(batch, at, strict=True)]
+        if len(homes) >= 100_000:  # the driver holds no more of them
+            spark.createDataFrame(homes, schema).write.mode("append").parquet(path)
+            homes = []
+    if homes:
+        spark.createDataFrame(homes, schema).write.mode("append").parquet(path)
+    counts = spark.createDataFrame(list(enumerate(live)), "cluster_id int, live int")
+    return spark.read.schema(schema).parquet(path).join(F.broadcast(counts), "cluster_id").select("id", "cluster_id", "live")
 
 
 # -- scalar functions, keys ------------------------------------------------------

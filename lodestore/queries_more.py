@@ -291,11 +291,12 @@ def engine_multilevel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def workload_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latencies of a small workload of searches and inserts in a ratio of one to two."""
+    """Latencies of a workload that inserts all rows and searches every other one, in a ratio of one to two, in 32 batches of each."""
     from .encoders import PassthroughEncoder
     from .plans import workload
     from .plans.engine import Engine
 
-    rows = [(str(r["id"]), list(map(float, r["vector"]))) for r in vectors(spark, sf_dir).where("id < 64").orderBy("id").collect()]
+    rows = [(str(r["id"]), list(map(float, r["vector"]))) for r in vectors(spark, sf_dir).orderBy("id").collect()]
+    size = max(16, -(-len(rows) // 64))
     e = Engine(spark, PassthroughEncoder(64, normalize=False))
-    return stats.latency_summary(workload.drive(e, e.create_index("w", "ip"), rows, [v for _, v in rows[:16]], "ratio", insert_batch=32, search_batch=16, ratio=(1, 2)))
+    return stats.latency_summary(workload.drive(e, e.create_index("w", "ip"), rows, [v for _, v in rows[::2]], "ratio", insert_batch=2 * size, search_batch=size, ratio=(1, 2)))

@@ -1,8 +1,12 @@
 """Registered queries without SQL, on tables made for them."""
 
+from collections import Counter
+
 import numpy as np
 
-from lodestore import queries
+from lodestore import queries, queries_more
+from lodestore.plans import workload
+from lodestore.types import LATENCY
 
 
 def embeddings(spark, folder, ids):
@@ -16,3 +20,17 @@ def test_recall_is_over_every_hundredth_row(spark, tmp_path):
     ids = range(250, 550)
     got = {r["nprobe"]: r["recall"] for r in queries.kmeans_recall(spark, embeddings(spark, tmp_path, ids)).collect()}
     assert 0 < got[1] <= got[4] <= got[16] <= 1 and got[16] > 0.8
+
+
+def test_online_clusters_take_all_rows_in(spark, tmp_path):
+    got = queries.l0_online_cluster(spark, embeddings(spark, tmp_path, range(150, 650))).collect()
+    sizes = Counter(r["cluster_id"] for r in got)
+    assert {r["id"] for r in got} == set(range(150, 650)) and len(got) == 500
+    assert all(r["live"] == sizes[r["cluster_id"]] for r in got)
+
+
+def test_workload_drives_all_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(workload, "drive", lambda e, i, rows, asked, *a, **k: seen.extend([rows, asked]) or spark.createDataFrame([], LATENCY))
+    queries_more.workload_latency(spark, embeddings(spark, tmp_path, range(150, 250)))
+    assert [i for i, _ in seen[0]] == [str(i) for i in range(150, 250)] and len(seen[1]) == 50
