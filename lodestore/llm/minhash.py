@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
@@ -58,8 +58,14 @@ def signatures(texts: pa.Array, width: int, coordinates: int = COORDINATES) -> t
     return sizes, one, two, out
 
 
+def _text_hashes() -> list[Column]:
+    """Hashes x and y of the text; a null text is empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("x"), F.hash(text).alias("y")]
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, one, two, keys array<long>), a row for each document; keys: its coordinate-value pairs."""
+    """(doc_id, n_shingles, one, two, keys array<long>, x, y), a row for each document; keys: its coordinate-value pairs; x, y: hashes of its text."""
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,9 +75,9 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             keys = (base + found.astype(np.int64))[sizes > 0]
             at = np.concatenate([[0], np.cumsum((sizes > 0) * COORDINATES)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "n_shingles", "one", "two", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, b.column("x"), b.column("y")], ["doc_id", "n_shingles", "one", "two", "keys", "x", "y"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, one long, two long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", *_text_hashes()).mapInArrow(sign, "doc_id long, n_shingles long, one long, two long, keys array<long>, x long, y int")
 
 
 def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -241,6 +247,11 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     ids are one document with several texts.  Other columns are not looked at; an
     empty table gives an empty result.
     """
+    return _linked(docs, width, percent).drop("x", "y")
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of linked(), and hashes x and y of their texts."""
     rows = cut(signed(docs, width))
     known = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
@@ -268,10 +279,14 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     parts = components(edges.unionAll(_confirmed(groups, parts, docs, width, percent)))
     placed = rows.join(classes.select("one", "two", F.col("id").alias("__class")), ["one", "two"], "left").join(parts, F.col("__class") == F.col("node"), "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("__class")), "doc_id"))
-    return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
+    return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"), "x", "y")
 
 
 def dedup(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one whose id is its component's, with the columns of the input."""
-    gone = linked(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each group: the one whose id is its component's, with the columns of the input.
+
+    Of a repeated id only the texts that linked() doesn't keep go.
+    """
+    gone = _linked(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()
+    x, y = _text_hashes()
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (x == F.col("__x")) & (y == F.col("__y")), "left_anti")

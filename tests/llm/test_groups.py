@@ -75,6 +75,11 @@ def test_minhash_of_odd_rows(spark):
     assert sorted(str(x["doc_id"]) for x in minhash.dedup(rows).collect()) == ["1", "1", "None", "None"]
 
 
+def test_minhash_keeps_other_texts_of_a_repeated_id(spark):
+    rows = spark.createDataFrame([(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n o"), (5, None)], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["text"] or "") for x in minhash.dedup(rows).collect()) == [(3, "a b c d e f g"), (5, ""), (5, "h i j k l m n o")]
+
+
 def cloud(seed, n, dim=16):
     r = np.random.default_rng(seed)
     base = r.normal(size=(n // 4, dim))
