@@ -44,7 +44,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each text begins (one entry more than texts); null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(offsets):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -28,7 +28,7 @@ THRESHOLD = 0.3
 ORDER = 6  # bytes, so that an n-gram fits a 64-bit integer
 DISCOUNT, TOP_DISCOUNT = 0.75, 0.75
 FOLDS = 4
-LONGEST = 64  # bytes of a word that are learned
+LONGEST = 64  # bytes of a word that are counted at once; longer words in pieces
 STRONGEST = 3  # words of a document
 CACHED = 400_000  # words whose evidence a worker keeps
 PAD = 0x20
@@ -191,13 +191,21 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     sc = docs.sparkSession.sparkContext
     rows = sampled(docs, labels, label, usable, most).withColumn("fold", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int"))
     sizes = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & usable).groupBy(F.col(label).cast("int").alias("y")).agg(F.count_distinct("doc_id").alias("n")).collect()}
-    each = rows.select("y", "fold", F.explode(F.array_distinct(F.transform(words(fold(F.col("text"))), lambda w: F.substring(w, 1, LONGEST)))).alias("word"))
+    each = rows.select("y", "fold", F.explode(F.transform(F.array_distinct(words(fold(F.col("text")))), lambda w: w.cast("binary"))).alias("whole"))
+    # pieces share as many bytes as an n-gram has before its last, so each n-gram of a word is in one piece
+    size, step = F.octet_length("whole"), LONGEST - ORDER + 1
+    pieces = F.greatest(F.lit(1), F.ceil((size - ORDER + 1) / step).cast("int"))
+    each = each.select("y", "fold", "whole", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("no"))
+    each = each.select("y", "fold", F.substring("whole", F.col("no") * step + 1, F.lit(LONGEST)).alias("word"), (F.col("no") > 0).alias("inner"), (F.col("no") + 1 < F.col("pieces")).alias("open"))
     names = [(k, f) for k in (0, 1) for f in range(FOLDS)]
-    table = each.groupBy("word").agg(*(F.count(F.when((F.col("y") == k) & (F.col("fold") == f), 1)).cast("int").alias(f"c{k}{f}") for k, f in names)).toArrow()
+    table = each.groupBy("word", "inner", "open").agg(*(F.count(F.when((F.col("y") == k) & (F.col("fold") == f), 1)).cast("int").alias(f"c{k}{f}") for k, f in names)).toArrow()
     data, at = textnp.raw(table["word"])
     every, first = grams(data, at[:-1], at[1:])
+    inner, open_ = (table[n].to_numpy() for n in ("inner", "open"))
+    lengths = np.diff(first) - (ORDER - 1) * inner - open_
+    every = np.delete(every, np.concatenate([(first[:-1][inner][:, None] + np.arange(ORDER - 1)).ravel(), first[1:][open_] - 1]))
     keys, back = np.unique(every, return_inverse=True)
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    owner = np.repeat(np.arange(len(at) - 1), lengths)
     counts = {(k, f): np.bincount(back, table[f"c{k}{f}"].to_numpy()[owner], len(keys)).astype(np.int32) for k, f in names}
     del table, data, every, back, owner
     of = lambda k, without: sum(counts[k, f] for f in range(FOLDS) if f != without)

@@ -56,6 +56,24 @@ def test_classifiers_without_labels_or_documents(spark, module):
     assert module.classify(docs.where("doc_id = 2"), none).count() == 0
 
 
+def test_long_words_are_learned_whole(spark, monkeypatch):
+    r = random.Random(4)
+    long = lambda n: "".join(r.choice("abé語") for _ in range(n))
+    rows = [(i, " ".join(long(r.choice([1, 3, 7, 8, 9, 30, 100])) for _ in range(6))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+
+    def learned(longest):
+        monkeypatch.setattr(toxicity, "LONGEST", longest)
+        return toxicity.train(docs, known, F.lit(True)).evidence
+
+    whole = learned(10**6)
+    for longest in (8, 64):
+        some = learned(longest)
+        assert whole.grams.tolist() == some.grams.tolist() and whole.contexts.tolist() == some.contexts.tolist()
+        assert np.allclose(whole.gram_values, some.gram_values) and np.allclose(whole.context_values, some.context_values)
+
+
 def test_gam_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.uniform(-1, 1, (3000, 3))
