@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -12,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..encoders import Encoder
 from ..functions import keys
 from ..operators import mutate, search, topology
@@ -87,13 +87,15 @@ class Engine:
         if hash_mode not in keys.MODES:
             raise ValueError(f"unknown hash mode: {hash_mode}")
         if auto_id not in ("sequential", "uuid"):
-            raise ValueError("auto_id must be 'uuid' or 'sequential'")
+            raise ValueError(f"unknown auto id policy: {auto_id}")
         self.spark, self.encoder, self.strategy, self.nprobe = spark, encoder, strategy, nprobe
         self.hash_mode, self.hash_prefix, self.auto_id, self.insert_if_absent = hash_mode, hash_prefix, auto_id, insert_if_absent
         self.collections: dict[int, Collection] = {}
         self.names: dict[str, int] = {}
         self.queue: list[Request] = []
         self.hooks: list[Any] = []
+        self.written: list[DataFrame] = []
+        self.results: list[DataFrame] = []  # hits of runs, which stay until close()
 
     # -- catalog ---------------------------------------------------------------
 
@@ -206,10 +208,12 @@ class Engine:
                 gone = gone.withColumnRenamed("id", "ext_id")
                 c.rows = self._cut(mutate.delete(c.rows, gone).select(*c.rows.columns))
                 if c.loaded is not None:
-                    c.loaded = mutate.remove(c.loaded, gone.select(keys.doc_id(F.col("ext_id")).alias("doc_id")))
+                    c.loaded = self._cut(mutate.remove(c.loaded, gone.select(keys.doc_id(F.col("ext_id")).alias("doc_id"))))
         for c in self.collections.values():
             self._settle(c, pending)
         result.hits = self._cut(result.hits)
+        self.results.append(result.hits)
+        self._forget()
         return result
 
     @staticmethod
@@ -330,12 +334,16 @@ class Engine:
 
     def _cut(self, df: DataFrame) -> DataFrame:
         """Writes rows to the session's shared folder and reads them from there."""
-        sc = self.spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lodestore-')}")
-        path = f"{sc._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = tables.cut(df)
+        self.written.append(out)
+        return out
+
+    def _forget(self) -> None:
+        """Deletes the written tables that no collection and no result holds any more."""
+        used = {tables.path_of(t) for c in self.collections.values() for t in (c.rows, c.loaded, c.centroids)} | {tables.path_of(t) for t in self.results}
+        gone = [t for t in self.written if tables.path_of(t) not in used]
+        tables.drop(*gone)
+        self.written = [t for t in self.written if tables.path_of(t) in used]
 
     # -- documents, dumps --------------------------------------------------------
 
@@ -378,7 +386,9 @@ class Engine:
             c.centroids, c.rows = d.centroids, self._cut(rows.withColumn("level", F.lit(2)))
 
     def close(self) -> None:
-        """Runs what is queued and forgets the collections."""
+        """Runs what is queued, forgets the collections and deletes all that was written, results too."""
         self.run()
         self.collections.clear()
         self.names.clear()
+        self.results.clear()
+        self._forget()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, metrics, text
 from .operators import memories, mutate, search, stats, topology
+from .tables import new_path
 from .types import Metric
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,9 +268,7 @@ def kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def l0_online_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the fresh level that all vectors open and join, in micro-batches of 200 by id."""
-    from .queries_more import _shared
-
-    path, centroids, live, homes = _shared(spark), [], [], []
+    path, centroids, live, homes = new_path(spark, "query"), [], [], []
     schema = "id long, cluster_id int"
     spark.createDataFrame([], schema).write.parquet(path)
     rows = vectors(spark, sf_dir).orderBy("id").toLocalIterator()

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, metrics, text
 from .operators import memories, mutate, search, stats, topology
 from .queries import COSINE, FIRST, IP, L2, ORACLE, PAIRS, QUERIES, V, W, _conversations, asked, fixed_centroids, query, scaled, table, vectors
+from .tables import new_path
 from .types import VECTORS, Op
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lodestore-')}")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
-
-
 # -- builders --------------------------------------------------------------------
 
 
@@ -173,7 +162,7 @@ def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import dumps
 
     rows = vectors(spark, sf_dir).select(F.col("id").cast("string").alias("ext_id"), "vector", F.col("label").alias("cluster_id"))
-    path = _shared(spark)
+    path = new_path(spark, "query")
     dumps.write(path, rows, topology.zero_centroids(spark, 10, 64), "ip", 64)
     dumps.replace_cluster(path, 0, rows.where("cluster_id = 4").select("ext_id", "vector"))
     got = dumps.read(spark, path).vectors
@@ -188,7 +177,7 @@ def docstore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import docstore
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("data"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
-    path = _shared(spark)
+    path = new_path(spark, "query")
     docstore.write(mutate.remove(docs, docs.where("doc_id % 4 = 0").select("doc_id")), path)
     return docstore.read(spark, path).select("doc_id", "data", F.col("metadata")["lang"].alias("lang"))
 
@@ -251,7 +240,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log, offered in three parts, streamed, flushed and compacted half-way."""
     from .streaming.ingest import Ingest
 
-    s = Ingest(spark, _shared(spark), _shared(spark), max_files=4)
+    s = Ingest(spark, new_path(spark, "query"), new_path(spark, "query"), max_files=4)
     log = _log(spark, sf_dir)
     top = log.agg(F.max("seq")).first()[0] or 0
     for k in range(3):
