@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut, drop
+
 #: Java and RE2 pattern of the separators between words.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Java and RE2 pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-_made: set[str] = set()
+SLICE = 1 << 21  # bytes of text that are worked on at once
 
 
 def fold(text: Column) -> Column:
@@ -40,61 +42,59 @@ def replace(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lodestore-')}"
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a DataFrame as a table in the shared folder and reads it from there.
-
-    The written table replaces the lineage, so a lost executor never recomputes
-    what lies before it, and later jobs see one set of rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestore-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _made:
-        atexit.register(_sweep, spark)
-    _made.add(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lodestore_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the table behind a result of cut() that nothing will read again."""
-    path = getattr(df, "_lodestore_path", None)
-    if path in _made:
-        _made.discard(path)
-        _delete(df.sparkSession, path)
-
-
-def _sweep(spark: SparkSession) -> None:
-    for path in list(_made):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended; its folder goes with the cluster's
-            return
-        _made.discard(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts meet Python in batches of so few rows that a batch stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts are at most so many bytes long together, or of one row, whatever the session's batch size."""
+    for b in batches:
+        for lo, hi in cuts(b.column(column), most):
+            yield b.slice(lo, hi - lo)
+
+
+def cuts(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of runs of texts of at most so many bytes together, or of one text; of lists, the elements count."""
+    size = pa.compute.list_value_length if pa.types.is_list(texts.type) else pa.compute.binary_length
+    at = np.cumsum(size(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        before = at[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(at, before + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small written table's rows over all cores, where its files would give fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def grouped(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], out: str) -> DataFrame:
+    """work(table) of all rows with equal keys, a bounded number; its tables are the result."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                got = work(pa.concat_tables(held).combine_chunks())
+                held.clear()
+                if got.num_rows:
+                    yield from got.to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            mark = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            at = 0
+            for i in range(1, len(mark) + 1):
+                if i == len(mark) or mark[i] != mark[at]:
+                    if mark[at] != now:
+                        yield from flush()
+                        now = mark[at]
+                    held.append(t.slice(at, i - at))
+                    at = i
+        yield from flush()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, out)
 
 
 def _stars(edges: DataFrame) -> DataFrame:

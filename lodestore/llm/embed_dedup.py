@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut
 from .vectors import matrix, usable
 
 COSINE = 0.93
@@ -91,7 +91,6 @@ def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     not looked at; an empty table gives an empty result.
     """
     spark = rows.sparkSession
-    small_batches(spark, 4_096)
     base = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     good = usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     base = base.select("vec_id", "v", F.when(good, F.concat_ws("/", F.col("label").cast("string"), F.size("v").cast("string"))).alias("grp"), F.xxhash64("v").alias("h"), F.hash("v").alias("g"))
@@ -108,7 +107,7 @@ def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     held = spark.sparkContext.broadcast(learned)  # MOST_GROUPS * MOST_CELLS centroids at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b.iloc[i : i + TILE] for b in batches for i in range(0, len(b), TILE)):
             for grp, part in b.groupby("grp"):
                 c = held.value.get(grp)
                 if c is None:

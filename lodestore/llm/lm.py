@@ -1,39 +1,45 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Smoothed n-grams are the states of an automaton: after a word that has bigrams the
-automaton stands in that word's state, else at the root.  A state has an arc for
-each of its bigrams and a failure arc, with its backoff weight, to the root, whose
-arcs are the unigrams.  A text is one traversal from left to right.
-
-Counts cover all training tokens, and every bigram that was counted is an arc.
-Frequent words and bigrams, a fixed share of all tokens each at least and so a
-bounded number, are the part of the automaton that every task holds.  All other
-words and arcs stay distributed tables, which the texts' words and bigrams are
-joined with.  An arc's weight is kept as what it adds to its failure arc followed by
-the root's arc, so that words and bigrams are looked up apart and summed.
-
-Words are told apart by 64-bit hashes of their bytes, the arcs in the texts by
-64-bit hashes of both words' hashes.
+"""Language-model scoring with a weighted backoff automaton of words, word pairs and word triples.
+
+Every n-gram that was counted, of up to three words, is a state of an automaton and,
+by its last word, an arc out of the state of the words before it.  A failure arc
+leads from each state to that of the words without their first, down to the root,
+whose arcs are the words.  A text is one traversal from left to right: at each token
+the state is the longest n-gram seen that ends there, and the next word takes the
+arc of the first state down the failure arcs that has one.
+
+Smoothing is hierarchical: a state that was seen c times gives an arc that was seen
+n times (n + s * p) / (c + s), where p is what the state below gives the word and s
+is the order's strength; the failure arc weighs s / (c + s).  So weights need no more
+than counts, and the probabilities after each state sum to one.
+
+No part of the automaton is held in one place, and no n-gram is left out.  Tokens
+are packed in blocks of bounded size.  A block asks for the counts of its different
+n-grams, in lists by ranges of their hashes; the lists of one range meet in a task,
+which adds the counts of the training tokens up and answers each list.  A frequent
+n-gram occurs once in a list, however often it is in the text, so no task gets more
+of it than there are blocks.
+
+Words are told apart by 64-bit hashes of their bytes, n-grams by 63 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cut, drop, id_crc, small_batches
+from .common import cut, grouped, id_crc, sliced, spread
 
-WORD_SHARE = 1e-6  # of all training tokens: words this frequent are held by every task, 1/WORD_SHARE at most
-PAIR_SHARE = 5e-7  # bigrams this frequent are held by every task, 1/PAIR_SHARE at most
-DISCOUNT = 0.75
-AT_ONCE = 2_000_000  # tokens counted together in a task
+STRENGTHS = (300.0, 5.0)  # of states of one word and of two
+BLOCK = 1 << 19  # tokens in a block, but for what the text that fills it adds
+PART = 1 << 22  # asked n-grams that meet in a task, at most about
 END = np.uint64(0)  # the end of a text, in place of a word's hash
+CARRIED = len(STRENGTHS)  # tokens before a part of a text that its first tokens depend on
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,200 +56,226 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, first[1:], END), first + np.arange(len(first))
 
 
-def _counted(docs: DataFrame, keys) -> DataFrame:
-    """(h long, c long): how often each key occurs; keys: a function from Arrow texts to 64-bit keys."""
+def _joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams by the hashes of all but their last word, and of that."""
+    return textnp.mix(one * np.uint64(0xD1342543DE82EF95) + textnp.mix(two + np.uint64(0x9E3779B97F4A7C15)))
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for i in range(0, len(values), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(values[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["h", "c"])
+def ngrams(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each token its word, pair and triple; a text begins after an end.
 
-        for b in batches:
-            held.append(keys(b.column(0)))
-            if sum(map(len, held)) >= AT_ONCE:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    return docs.select("text").mapInArrow(part, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _before(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each token; a text begins after an end."""
-    last = np.empty_like(hashes)
-    last[1:] = hashes[:-1]
-    last[first[:-1]] = END
-    return last
-
-
-def pair_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Keys of bigrams: Spark's xxhash64 of both words' hashes."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    key = np.full(len(one), 42, np.uint64)
-    for x in (one, two):
-        key = (key + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
-        key = turn(key, 27) * p1 + p4
-        key = (key ^ (key >> np.uint64(33))) * p2
-        key = (key ^ (key >> np.uint64(29))) * p3
-        key ^= key >> np.uint64(32)
-    return key
-
-
-def _paired(docs: DataFrame) -> DataFrame:
-    """(a long, b long, n long): how often each bigram occurs."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            one, two = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            _, at, counts = np.unique(pair_keys(one, two), return_index=True, return_counts=True)
-            for i in range(0, len(at), 1 << 16):
-                some = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["a", "b", "n"])
+    The lowest bit tells words (1) from pairs and triples (0).  Where a text has no
+    triple yet, the pair stands in its place.
+    """
+    starts = first[:-1]
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[starts] = END
+    pairs = _joined(before, hashes)
+    triples = np.empty_like(pairs)
+    triples[1:] = _joined(pairs[:-1], hashes[1:])
+    triples[starts] = pairs[starts]
+    return [hashes | np.uint64(1), *(x & ~np.uint64(1) for x in (pairs, triples))]
+
+
+def packed_keys(keys: np.ndarray, low: int) -> bytes:
+    """Ascending keys, none below `low`, by their distances, in as few bytes each as the largest needs."""
+    gaps = np.diff(keys, prepend=np.uint64(low))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data: bytes, low: int) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(gaps), 8), np.uint8)
+    wide[:, : data[0]] = gaps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(low)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; those of 255 and more follow behind."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
+
+PIECES = "array<struct<r:long,doc_id:{kind},train:boolean,at:int,skip:int>>"
 
+
+def _pack(docs: DataFrame, usable: Column, block: int) -> DataFrame:
+    """(block, n, n_train, n_texts, pieces, words, codes), a row for each block.
+
+    pieces: the texts' parts, where their tokens begin, and how many of these were
+    tokens of the part before already.  words: hashes of the block's different words;
+    codes: each token's place among them, low two bytes of all and then high ones.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = f"block long, n long, n_train long, n_texts long, pieces {PIECES.format(kind=kind)}, words binary, codes binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 36  # numbers of rows and blocks of this partition
+        row = no = held = 0
+        parts: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal no, held
+            sizes = [len(p[4]) for p in parts]
+            words, codes = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
+            codes = codes.astype("<u4").view("<u2").reshape(-1, 2)
+            new = sum(n - p[3] for p, n in zip(parts, sizes, strict=True))
+            learned = sum(n - p[3] for p, n in zip(parts, sizes, strict=True) if p[2])
+            begun = sum(p[2] and p[3] == 0 for p in parts)
+            at = np.cumsum([0, *sizes[:-1]])
+            listed = [{"r": p[0], "doc_id": p[1], "train": p[2], "at": int(a), "skip": p[3]} for p, a in zip(parts, at, strict=True)]
+            done = {"block": base + no, "n": new, "n_train": learned, "n_texts": begun, "pieces": listed, "words": words.tobytes(), "codes": codes[:, 0].tobytes() + codes[:, 1].tobytes()}
+            parts.clear()
+            no, held = no + 1, 0
+            return pa.RecordBatch.from_pylist([done], schema=schema)
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(layout)
+        for b in sliced(batches, "text"):
+            hashes, first = tokens(b.column("text"))
+            ids, train = b.column("doc_id").to_pylist(), b.column("train").to_pylist()
+            for i in range(b.num_rows):
+                lo, skip = first[i], 0
+                while lo + skip < first[i + 1]:
+                    hi = min(first[i + 1], lo + skip + max(1, block - held))
+                    parts.append((base + row, ids[i], bool(train[i]), int(skip), hashes[lo:hi]))
+                    held += int(hi - lo)
+                    if held >= block:
+                        yield flush()
+                    skip = min(CARRIED, hi - first[i])
+                    lo = hi - skip
+                row += 1
+        if parts:
+            yield flush()
+
+    from pyspark.sql.types import StructType
+
+    layout = StructType.fromDDL(out)
+    return docs.select("doc_id", "text", usable.alias("train")).mapInArrow(pack, out)
+
+
+def _unpack(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], list]:
+    """Tokens of a block's row, where its texts' parts begin, whether parts are learned from and how many tokens they skip, and (r, doc_id) of parts."""
+    words = np.frombuffer(b.column("words")[i].as_buffer(), np.uint64)
+    codes = np.frombuffer(b.column("codes")[i].as_buffer(), "<u2").reshape(2, -1).astype(np.uint32)
+    hashes = words[codes[0] | (codes[1] << np.uint32(16))]
+    parts = b.column("pieces")[i].values
+    first = np.append(parts.field("at").to_numpy(zero_copy_only=False).astype(np.int64), len(hashes))
+    each = {"train": parts.field("train").to_numpy(zero_copy_only=False), "skip": parts.field("skip").to_numpy(zero_copy_only=False).astype(np.int64)}
+    return hashes, first, each, [parts.field("r"), parts.field("doc_id")]
+
+
+def _fresh(first: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Which tokens of a block aren't repeated from the part before."""
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first)) >= np.repeat(skip, np.diff(first))
+
+
+def _asked(blocks: DataFrame, bits: int) -> DataFrame:
+    """(part, block, keys, counts): the different n-grams of each block, by ranges of their hashes, and how often its training tokens have them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, first = tokens(b.column(0))
-            held.append((_before(hashes, first), hashes))
-            if sum(len(x) for x, _ in held) >= AT_ONCE:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    return docs.select("text").mapInArrow(part, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Automaton:
-    """The held part: hashes of the frequent words, sorted, their counts and backoff weights; keys of the frequent bigrams, sorted, with what their arcs add."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    backoff: np.ndarray
-    pairs: np.ndarray
-    weights: np.ndarray
-    total: int
-    kinds: int
-
-    @property
-    def mass(self) -> float:
-        return self.total + 0.5 * (self.kinds + 1)
-
-    def traverse(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: is its word held, its log10 unigram weight, its log10 weight in the traversal, its bigram's key, and is that held.
-
-        What isn't held is left out of the weights.  Each token's backoff weight is
-        counted with the token itself: a text's tokens and the words before them are
-        the same words, as it begins after an end and ends with one.
-        """
-        word, known = _find(self.words, hashes)
-        root, step = np.zeros(len(hashes)), np.zeros(len(hashes))
-        root[known] = np.log10((self.counts[word[known]] + 0.5) / self.mass)
-        step[known] = root[known] + self.backoff[word[known]]
-        keys = pair_keys(_before(hashes, first), hashes)
-        arc, hit = _find(self.pairs, keys)
-        step[hit] += self.weights[arc[hit]]
-        return known, root, step, keys, hit
-
-
-def _find(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of values in a sorted array, and whether they are there."""
-    if not len(among):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(among, wanted), len(among) - 1)
-    return at, among[at] == wanted
-
-
-def _sorted(table: pa.Table) -> list[np.ndarray]:
-    """Columns of a table whose first are hashes, in the order of these."""
-    keys = table.column(0).to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return [keys[order], *(c.to_numpy()[order] for c in table.columns[1:])]
-
-
-def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, held_words: float = WORD_SHARE, held_pairs: float = PAIR_SHARE) -> tuple[Automaton, DataFrame, DataFrame]:
-    """The held part of the automaton of documents (text), all words (h, c, backoff), and the arcs (k, weight) that aren't held.
-
-    Bigrams are arcs if they are word_share and pair_share of all tokens at least,
-    their words and they themselves: by default, all are.  held_words, held_pairs:
-    the shares from which words and arcs are held, which doesn't change a result.
+            for i in range(b.num_rows):
+                hashes, first, each, _ = _unpack(b, i)
+                keys, where = np.unique(np.concatenate(ngrams(hashes, first)), return_inverse=True)
+                counted = _fresh(first, each["skip"]) & np.repeat(each["train"], np.diff(first))
+                # where a text begins, its pair stands for its triple as well, and counts once
+                again = counted.copy()
+                again[first[:-1]] = False
+                counts = np.bincount(where[np.concatenate([counted, counted, again])], minlength=len(keys))
+                low = np.arange((1 << bits) + 1, dtype=object) << (64 - bits)
+                cuts = np.searchsorted(keys, np.array(low[1:-1], np.uint64))
+                cuts = np.concatenate([[0], cuts, [len(keys)]])
+                full = np.flatnonzero(np.diff(cuts))
+                lists = [(packed_keys(keys[cuts[p] : cuts[p + 1]], int(low[p])), packed_counts(counts[cuts[p] : cuts[p + 1]])) for p in full]
+                block = b.column("block")[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([k for k, _ in lists], pa.binary()), pa.array([c for _, c in lists], pa.binary())], ["part", "block", "keys", "counts"])
+
+    return spread(blocks).select("block", "pieces", "words", "codes").mapInArrow(ask, "part long, block long, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame, bits: int) -> DataFrame:
+    """(block, part, counts, kinds): how often all training tokens have a list's n-grams; kinds: different training words of the range, with its first list."""
+
+    def add(t: pa.Table) -> pa.Table:
+        low = t["part"][0].as_py() << (64 - bits)
+        lists = [unpacked_keys(k, low) for k in t["keys"].to_pylist()]
+        given = np.concatenate([unpacked_counts(c, len(k)) for k, c in zip(lists, t["counts"].to_pylist(), strict=True)])
+        keys, where = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.rint(np.bincount(where, given, len(keys))).astype(np.int64)
+        kinds = np.zeros(len(lists), np.int64)
+        kinds[0] = np.count_nonzero(total[(keys & np.uint64(1)) == 1])
+        at = np.cumsum([0, *map(len, lists)])
+        counts = [packed_counts(total[where[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"block": t["block"], "part": t["part"], "counts": pa.array(counts, pa.binary()), "kinds": kinds})
+
+    return grouped(asked, ["part"], add, "block long, part long, counts binary, kinds long")
+
+
+def traverse(root: np.ndarray, arcs: Sequence[np.ndarray], states: Sequence[np.ndarray], strengths: Sequence[float] = STRENGTHS) -> np.ndarray:
+    """log10 weight of each token: the root's, and for the orders above how often arc and state were seen (0: not there).
+
+    A token takes the arc of its state if there is one, else the failure arc and what
+    the state below gives it.
     """
-    small_batches(docs.sparkSession)
-    counts = cut(_counted(docs, lambda t: tokens(t)[0]))
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    mass = Automaton(*[np.zeros(0)] * 5, total, kinds).mass
-    pairs = cut(_paired(docs).where(F.col("n") >= pair_share * total))
-    often = counts.where(F.col("c") >= word_share * total)
-    # where there are few words these joins are broadcast; where not, Spark splits hot words
-    arcs = pairs.join(often.select(F.col("h").alias("b"), ((F.col("c") + 0.5) / mass).alias("p")), "b")
-    sums = arcs.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("p").alias("below"))
-    left = (F.col("c") - F.col("n") + DISCOUNT * F.col("kinds")) / F.col("c")
-    backoff = F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12)))
-    has = F.col("n").isNotNull() & (F.col("c") >= word_share * total)
-    states = cut(counts.join(sums, F.col("h") == F.col("a"), "left").select("h", "c", F.when(has, backoff).otherwise(0.0).alias("backoff"), has.alias("has")))
-    added = F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.log10("p") - F.col("backoff")
-    arcs = cut(arcs.join(states.where("has").select(F.col("h").alias("a"), "c", "backoff"), "a").select(F.xxhash64("a", "b").alias("k"), "n", added.alias("weight")))
-    drop(pairs)
-    # at most 1 / held_words rows, and at most 1 / held_pairs
-    words = _sorted(states.where(F.col("c") >= held_words * total).select("h", "c", "backoff").toArrow())
-    held = _sorted(arcs.where(F.col("n") >= held_pairs * total).select("k", "weight").toArrow())
-    return Automaton(*words, *held, total, kinds), states.select("h", "c", "backoff"), arcs.where(F.col("n") < held_pairs * total).select("k", "weight")
-
-
-def _lists(texts: np.ndarray, keys: np.ndarray, n: int, name: str) -> pa.ListArray:
-    """For each of n texts its different keys and how often each occurs; texts: the text of each key."""
-    order = np.lexsort((keys, texts))
-    texts, keys = texts[order], keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(keys)))
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(texts[at], minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(times.astype(np.int64))], [name, "n"]))
-
-
-def score(docs: DataFrame, usable: Column | None = None, word_share: float = 0.0, pair_share: float = 0.0, held_words: float = WORD_SHARE, held_pairs: float = PAIR_SHARE) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each document (doc_id, text, ...).
+    weight = np.log10(root)
+    for arc, state, s in zip(arcs, states, strengths, strict=True):
+        down = np.log10(s / (state + s)) + weight
+        weight = np.where(arc > 0, np.log10((arc + s * 10.0**weight) / (state + s)), down)
+    return weight
 
-    Learns from the rows that usable picks, else those not held out; the shares are
-    those of train().  base_score: log10 probability by additively smoothed unigrams;
-    score: by the automaton.  Null and empty texts are one token, the end.  Repeated
-    rows have a result each, the same one.  Without training rows all tokens are
-    unknown.  Other columns are not looked at; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    model, states, arcs = train(docs.where(~held_out(F.col("doc_id")) if usable is None else usable), word_share, pair_share, held_words, held_pairs)
-    held = spark.sparkContext.broadcast(model)
 
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in batches:
-            hashes, first = tokens(b.column("text"))
-            known, root, step, keys, hit = m.traverse(hashes, first)
-            sums = [np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]) for x in (root, step, known.astype(np.int64))]
-            base, walk, n_known = (s[first[1:]] - s[first[:-1]] for s in sums)
-            which = np.repeat(np.arange(b.num_rows), np.diff(first))
-            words, pairs = _lists(which[~known], hashes[~known], b.num_rows, "h"), _lists(which[~hit], keys[~hit], b.num_rows, "k")
-            yield pa.RecordBatch.from_arrays(
-                [b.column("r"), b.column("doc_id"), pa.array(np.diff(first)), pa.array(n_known), pa.array(base), pa.array(walk), words, pairs],
-                ["r", "doc_id", "n_tokens", "n_known", "base", "walk", "words", "pairs"],
-            )
+def score(docs: DataFrame, usable: Column | None = None, strengths: Sequence[float] = STRENGTHS, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each document (doc_id, text, ...).
 
+    Learns from the rows that usable picks, else those not held out.  base_score:
+    log10 probability by additively smoothed single words; score: by the automaton.
+    block, part: how much meets in a task, which doesn't change a result.  Null and
+    empty texts are one token, the end.  Repeated rows have a result each, the same
+    one.  Without training rows all tokens are unknown.  Very long texts are scored
+    in parts, each with the words before it.  Other columns are not looked at; an
+    empty table gives an empty result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "text").mapInArrow(walked, f"r long, doc_id {kind}, n_tokens long, n_known long, base double, walk double, words array<struct<h:long,n:long>>, pairs array<struct<k:long,n:long>>")
-    rows = cut(rows)  # written, a row keeps its number
-    no_id, none, zero = F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long"), F.lit(0.0)
-    rare = rows.select("r", F.inline("words")).join(states, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    weight = F.log10((F.col("c") + 0.5) / F.lit(model.mass)) * F.col("n")
-    rare = rare.select("r", no_id, none.alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), weight.alias("base"), (weight + F.coalesce("backoff", zero) * F.col("n")).alias("walk"))
-    seen = rows.select("r", F.inline("pairs")).join(arcs, "k")
-    seen = seen.select("r", no_id, none.alias("n_tokens"), none.alias("n_known"), zero.alias("base"), (F.col("weight") * F.col("n")).alias("walk"))
-    whole = rows.select("r", "doc_id", "n_tokens", "n_known", "base", "walk").unionAll(rare).unionAll(seen)
-    sums = whole.groupBy("r").agg(F.max("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n in ("n_tokens", "n_known", "base", "walk")))
-    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("walk").alias("score"))
+    blocks = cut(_pack(docs, F.coalesce(~held_out(F.col("doc_id")) if usable is None else usable, F.lit(False)), block))
+    n, total, texts = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "n_texts"))).first()
+    bits = max(1, (-(-3 * n // part) - 1).bit_length())
+    answers = cut(_answered(_asked(blocks, bits), bits))
+    kinds = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    mass = total + 0.5 * (kinds + 1)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                hashes, first, each, names = _unpack(b, i)
+                keys, where = np.unique(np.concatenate(ngrams(hashes, first)), return_inverse=True)
+                lists = b.column("answers")[i].values
+                at = np.cumsum([0, *np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64))])
+                at = at[np.concatenate([[True], np.diff(at) > 0])]
+                found = np.concatenate([unpacked_counts(c, int(m)) for c, m in zip(lists.field("counts").to_pylist(), np.diff(at), strict=True)])
+                one, two, three = found[where].reshape(3, -1)
+                starts = first[:-1]
+                three[starts] = 0  # a text's first token has no triple
+                above = [np.empty_like(one), np.empty_like(two)]
+                above[0][1:], above[1][1:] = one[:-1], two[:-1]
+                above[0][starts], above[1][starts] = texts, 0
+                root = (one + 0.5) / mass
+                fresh = _fresh(first, each["skip"])
+                which = np.repeat(np.arange(len(starts)), np.diff(first))[fresh]
+                sums = [np.bincount(which, x[fresh], len(starts)) for x in (np.log10(root), traverse(root, [two, three], above, strengths))]
+                known = np.bincount(which[one[fresh] > 0], minlength=len(starts))
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.bincount(which, minlength=len(starts))), pa.array(known), *map(pa.array, sums)], ["r", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    listed = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("answers"))
+    both = blocks.select("block", "pieces", "words", "codes").join(listed, "block")
+    rows = both.mapInArrow(walk, f"r long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    sums = rows.groupBy("r").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import components, cut, drop, small_batches
+from .common import components, cut, drop, grouped, sliced
 
 WORDS, PERCENT = 5, 80
 COORDINATES, MATCHES = 64, 38  # at similarity 0.8 fewer collisions have a chance of about 4e-5
@@ -66,11 +66,10 @@ def _text_hashes() -> list[Column]:
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, one, two, keys array<long>, x, y), a row for each document; keys: its coordinate-value pairs; x, y: hashes of its text."""
-    small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.arange(COORDINATES, dtype=np.int64) << 32
-        for b in batches:
+        for b in sliced(batches, "text"):
             sizes, one, two, found = signatures(b.column("text"), width)
             keys = (base + found.astype(np.int64))[sizes > 0]
             at = np.concatenate([[0], np.cumsum((sizes > 0) * COORDINATES)]).astype(np.int32)
@@ -94,7 +93,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "a"):
             a, c = _sets(b.column("a"), width), _sets(b.column("b"), width)
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, c, strict=True)], np.int64)
             union = np.array([len(x) + len(y) for x, y in zip(a, c, strict=True)], np.int64) - common
@@ -104,37 +103,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long")
 
 
-def _grouped(rows: DataFrame, keys: list[str], work, out: str) -> DataFrame:
-    """work(table) of all rows with equal keys, a bounded number; its tables are the result."""
-    names = [c for c in rows.columns if c not in keys]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        now = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                got = work(pa.concat_tables(held).combine_chunks())
-                held.clear()
-                if got.num_rows:
-                    yield from got.to_batches()
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            mark = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
-            at = 0
-            for i in range(1, len(mark) + 1):
-                if i == len(mark) or mark[i] != mark[at]:
-                    if mark[at] != now:
-                        yield from flush()
-                        now = mark[at]
-                    held.append(t.slice(at, i - at).select(names))
-                    at = i
-        yield from flush()
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, out)
-
-
 def _stars(ids: np.ndarray, hit: np.ndarray) -> pa.Table:
     """(src, dst): each id whose component, under a symmetric matrix of hits, has a smaller one, with the smallest."""
     label = ids.copy()
@@ -187,7 +155,7 @@ def _long(live: DataFrame, posts: DataFrame) -> DataFrame:
         hit = np.array([np.count_nonzero((grid == g) & (g >= 0), axis=1) >= MATCHES for g in grid])
         return _stars(ids, hit)
 
-    return _grouped(posts, ["key", "lo", "hi"], merge, "src long, dst long")
+    return grouped(posts, ["key", "lo", "hi"], merge, "src long, dst long")
 
 
 def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -233,7 +201,7 @@ def _confirmed(groups: DataFrame, parts: DataFrame, docs: DataFrame, width: int,
     def test(t: pa.Table) -> pa.Table:
         return _stars(t["id"].to_numpy(), similar(_sets(t["text"], width), percent))
 
-    return _grouped(tiles.join(cut(texts), "id"), ["grp", "lp", "ln", "hp", "hn"], test, "src long, dst long")
+    return grouped(tiles.join(cut(texts), "id"), ["grp", "lp", "ln", "hp", "hn"], test, "src long, dst long")
 
 
 def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cut, replace, small_batches
+from .common import cut, cuts, replace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
@@ -301,13 +301,12 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     input columns with an output's name give way; an empty table stays empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     held, token = spark.sparkContext.broadcast(load(path)), uuid.uuid4().hex  # a vocabulary of fixed size
 
     @F.arrow_udf("array<int>")
     def encoded(text: pa.Array) -> pa.Array:
         v = _worker(held, token)
-        return _lists([v.encode(" " + t).astype(np.int32) if t else np.zeros(0, np.int32) for t in text.to_pylist()])
+        return _lists([v.encode(" " + t).astype(np.int32) if t else np.zeros(0, np.int32) for a, b in cuts(text) for t in text[a:b].to_pylist()])
 
     size = F.coalesce(F.length("text"), F.lit(0))
     short = replace(docs.where(size < chunk), ids=encoded(F.col("text")))
@@ -321,11 +320,10 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """Adds decoded string, the text of ids array<int>; no ids, or null, give empty text."""
     spark = rows.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(Speller.of(load(path)))
 
     @F.arrow_udf("string")
     def spelled(ids: pa.Array) -> pa.Array:
-        return held.value.decode(ids)
+        return pa.concat_arrays([pa.array([], pa.string()), *(held.value.decode(ids[a:b]) for a, b in cuts(ids))])
 
     return replace(rows, decoded=spelled(F.col("ids")))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import id_crc, replace, small_batches
+from .common import cuts, id_crc, replace, sliced
 from .labels import sampled
 
 MOST_TRAIN = 10_000  # labelled rows of each class to learn from, about
@@ -203,12 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     that were thinned out count by as much more, so scores stay probabilities.
     Without usable rows every score is 0.5.
     """
-    small_batches(docs.sparkSession)
     rows = sampled(docs, labels, label, usable, most)
     sizes = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & usable).groupBy(F.col(label).cast("int").alias("y")).agg(F.count_distinct("doc_id").alias("n")).collect()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("doc_id"), *map(pa.array, x.T)], ["y", "doc_id", *FEATURES])
 
@@ -222,12 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
 def score(docs: DataFrame, model: Gam) -> DataFrame:
     """Adds score double (0 to 1) and predicted int to documents (text, ...); null text scores as empty text."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of fixed size
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(held.value.score(features(text)), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *(held.value.score(features(text[a:b])) for a, b in cuts(text))]), pa.float64())
 
     out = replace(docs, score=scored(F.col("text")))
     return replace(out, predicted=(F.col("score") >= THRESHOLD).cast("int"))

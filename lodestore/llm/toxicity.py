@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import fold, id_crc, replace, small_batches, words
+from .common import cuts, fold, id_crc, replace, sliced, words
 from .labels import sampled
 
 MOST_TRAIN = 2_500  # labelled documents of each class to learn from, about
@@ -187,7 +187,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     measures are fitted on documents that the model behind their measures has not
     seen.  Without usable rows every score is the same.
     """
-    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = sampled(docs, labels, label, usable, most).withColumn("fold", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int"))
     sizes = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & usable).groupBy(F.col(label).cast("int").alias("y")).agg(F.count_distinct("doc_id").alias("n")).collect()}
@@ -213,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     folds = sc.broadcast([learn(keys, of(1, f), of(0, f)) for f in range(FOLDS)])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             for f in range(FOLDS):
                 part = b.filter(pa.compute.equal(b.column("fold"), f))
                 if part.num_rows:
@@ -231,13 +230,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score double (0 to 1) and predicted int to documents (text, ...); null text scores as empty text."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it learned from
     cache = uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        x = design(measures(text, held.value.evidence, cache))
+        x = design(np.concatenate([np.zeros((0, STRONGEST + 1)), *(measures(text[a:b], held.value.evidence, cache) for a, b in cuts(text))]))
         return pa.array(1 / (1 + np.exp(-np.clip(x @ held.value.weights, -30, 30))), pa.float64())
 
     out = replace(docs, score=scored(F.col("text")))

@@ -100,34 +100,37 @@ def tokens(text):
     return [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words] + [None]
 
 
-@pytest.mark.parametrize("share", [1e-6, 0.002, 0.01])
-def test_lm_scores_are_those_of_a_plain_backoff_model(spark, share):
-    rows = chain(7, 120)
-    rows = rows + [(500, None), (501, ""), (502, "zebra zebra Alpha"), (3, rows[3][1]), (504, "unseen " * 3000)]
+@pytest.mark.parametrize(("block", "part"), [(lm.BLOCK, lm.PART), (64, 1000), (1, 50)])
+def test_lm_scores_are_those_of_a_plain_backoff_model(spark, block, part):
+    """Block and part cut texts and lists anywhere, which changes no result."""
+    rows = chain(7, 120 if block > 1 else 20)
+    rows = rows + [(500, None), (501, ""), (502, "zebra zebra Alpha"), (3, rows[3][1]), (504, "unseen " * (3000 if block > 1 else 30))]
     usable = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1}
     lists = [(i, tokens(t)) for i, t in rows]
-    c, pairs = collections.Counter(), collections.Counter()
+    c, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
     for i, ts in lists:
         if i in usable:
             c.update(ts)
             pairs.update(zip([None, *ts], ts, strict=False))
+            triples.update(zip([None, *ts], ts, ts[1:], strict=False))
     n, v = sum(c.values()), len(c)
     mass = n + 0.5 * (v + 1)
     uni = lambda w: (c[w] + 0.5) / mass
-    arcs = {p: k for p, k in pairs.items() if k >= share * n and c[p[0]] >= share * n and c[p[1]] >= share * n}
-    kept, below = collections.Counter(), collections.Counter()
-    for (a, b), k in arcs.items():
-        kept[a] += (k - lm.DISCOUNT) / c[a]
-        below[a] += uni(b)
+    s2, s3 = lm.STRENGTHS
 
     def score(ts):
         total = 0.0
-        for a, b in zip([None, *ts], ts, strict=False):
-            total += math.log10((arcs[a, b] - lm.DISCOUNT) / c[a]) if (a, b) in arcs else math.log10(uni(b) * (1 - kept[a]) / (1 - below[a]) if a in kept else uni(b))
+        for k, w in enumerate(ts):
+            a = ts[k - 1] if k else None
+            p = (pairs[a, w] + s2 * uni(w)) / (c[a] + s2)
+            if k:
+                b = ts[k - 2] if k > 1 else None
+                p = (triples[b, a, w] + s3 * p) / (pairs[b, a] + s3)
+            total += math.log10(p)
         return total
 
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
-    got = sorted(lm.score(docs, word_share=share, pair_share=share).collect(), key=lambda r: r["doc_id"])
+    got = sorted(lm.score(docs, block=block, part=part).collect(), key=lambda r: r["doc_id"])
     assert len(got) == len(rows)
     for r, (i, ts) in zip(got, sorted(lists, key=lambda x: x[0]), strict=True):
         assert r["doc_id"] == i and r["held_out"] == (i not in usable)
@@ -135,7 +138,7 @@ def test_lm_scores_are_those_of_a_plain_backoff_model(spark, share):
         assert r["base_score"] == pytest.approx(sum(math.log10(uni(w)) for w in ts), rel=1e-9)
         assert r["score"] == pytest.approx(score(ts), rel=1e-9)
     held = [r for r in got if r["held_out"] and r["doc_id"] < 500]
-    if arcs:
+    if block > 1:
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
@@ -146,26 +149,32 @@ def test_lm_of_odd_rows(spark):
     assert {r["n_known"] for r in got} == {0}
 
 
-def test_lm_keeps_bigrams_of_any_share(spark):
+def test_lm_keeps_ngrams_of_any_share(spark):
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
     held = next(i for i in range(100) if i not in ids)
     rows = [(i, "a " * 120_000) for i in ids[:40]] + [(ids[40], "b c"), (held, "b c")]
     got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert 1 < lm.PAIR_SHARE * got[held]["train_tokens"]
-    # b is the 1st word of 1 of 41 texts, c always follows b, and an end always c
-    want = math.log10((1 - lm.DISCOUNT) / 41) + 2 * math.log10(1 - lm.DISCOUNT)
+    s2, s3 = lm.STRENGTHS
+    mass = 40 * 120_000 + 41 + 3 - 1 + 0.5 * 5
+    pair = lambda n, c, p: (n + s2 * p) / (c + s2)
+    first, second, last = pair(1, 41, 1.5 / mass), pair(1, 1, 1.5 / mass), pair(1, 1, 41.5 / mass)
+    want = math.log10(first) + sum(math.log10((1 + s3 * p) / (1 + s3)) for p in (second, last))
+    assert got[held]["train_tokens"] == 40 * 120_001 + 3
     assert got[held]["score"] == pytest.approx(want, rel=1e-9)
 
 
-def test_lm_scores_do_not_depend_on_what_is_held(spark):
-    docs = spark.createDataFrame([*chain(7, 60), (500, None), (501, "zebra alpha"), (3, "alpha beta"), (3, "alpha beta")], "doc_id long, text string")
-    one, two = ({(r["doc_id"], r["n_tokens"]): r for r in lm.score(docs, **held).collect()} for held in ({}, {"held_words": 0.05, "held_pairs": 0.02}))
-    assert one.keys() == two.keys()
-    for k, r in one.items():
-        assert r["n_known"] == two[k]["n_known"] and [r["base_score"], r["score"]] == pytest.approx([two[k]["base_score"], two[k]["score"]], rel=1e-9)
+def test_lm_arcs_of_a_state_sum_to_one():
+    counts = np.array([5, 2, 0, 1])
+    root = (counts + 0.5) / (8 + 0.5 * 4)
+    arcs = [np.array([2, 0, 0, 1]), np.array([1, 0, 0, 1])]
+    weight = lm.traverse(root, arcs, [np.full(4, 3), np.full(4, 2)])
+    assert (10**weight).sum() == pytest.approx(root.sum())
 
 
-def test_lm_pair_keys_are_those_of_spark(spark):
-    one, two = np.array([0, 1, -5, 2**62]), np.array([7, 0, -(2**63), 3])
-    got = spark.createDataFrame(list(zip(one.tolist(), two.tolist(), strict=True)), "a long, b long").select(F.xxhash64("a", "b").alias("k")).collect()
-    assert [r["k"] for r in got] == lm.pair_keys(one.view(np.uint64), two.view(np.uint64)).view(np.int64).tolist()
+def test_lm_lists_come_back_whole():
+    r = np.random.default_rng(1)
+    for low in (0, 1 << 62, 3 << 62):
+        keys = np.unique(r.integers(0, 1 << 61, 500, dtype=np.uint64) + np.uint64(low))
+        assert (lm.unpacked_keys(lm.packed_keys(keys, low), low) == keys).all()
+    counts = np.array([0, 1, 254, 255, 256, 10**12])
+    assert (lm.unpacked_counts(lm.packed_counts(counts), 6) == counts).all()
