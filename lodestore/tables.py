@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, Any] = {}  # paths of tables, in the order they were made, with the settings of their file system
+_named: dict[str, tuple[SparkSession, str]] = {}  # paths of tables that the catalog knows by a name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """cut() in so many buckets by a column, so that a join on it moves the other side only."""
+    spark = df.sparkSession
+    path, name = new_path(spark), f"lodestore_{uuid.uuid4().hex}"
+    _named[path] = spark, name
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out._lodestore_path = path
+    return out
+
+
 def path_of(df: DataFrame | None) -> str | None:
     """Where the table of a result of cut() is."""
     return getattr(df, "_lodestore_path", None)
@@ -61,7 +73,10 @@ def drop_paths(paths: list[str] | None = None) -> None:
     for path in list(_made) if paths is None else paths:
         if path in _made:
             jvm, settings = _made.pop(path)
+            spark, name = _named.pop(path, (None, ""))
             try:
+                if spark is not None and paths is not None:
+                    spark.sql(f"DROP TABLE IF EXISTS {name}")
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(settings).delete(where, True)
             except Exception:  # noqa: BLE001  the JVM has ended, and a temporary folder with it
