@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut, drop
+from ..tables import cut, cut_by, drop, scratch
 
 #: Java and RE2 pattern of the separators between words.
 SEPARATORS = r"[\x20\x09-\x0D]+"

@@ -19,12 +19,15 @@ which adds the counts of the training tokens up and answers each list.  A freque
 n-gram occurs once in a list, however often it is in the text, so no task gets more
 of it than there are blocks.
 
-Words are told apart by 64-bit hashes of their bytes, n-grams by 63 bits.
+Words are told apart by 64-bit hashes of their bytes, pairs and triples by SPARE bits
+more than it takes to number them: one that was never seen is taken for another with
+a chance of about one in a million, however many there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cut, grouped, id_crc, sliced, spread
+from .common import cut, cut_by, grouped, id_crc, sliced, spread
 
 STRENGTHS = (300.0, 5.0)  # of states of one word and of two
-BLOCK = 1 << 19  # tokens in a block, but for what the text that fills it adds
+BLOCK = 1 << 21  # tokens in a block, at most
+SPARE = 20
 PART = 1 << 22  # asked n-grams that meet in a task, at most about
 END = np.uint64(0)  # the end of a text, in place of a word's hash
 CARRIED = len(STRENGTHS)  # tokens before a part of a text that its first tokens depend on
@@ -62,11 +66,7 @@ def _joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def ngrams(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each token its word, pair and triple; a text begins after an end.
-
-    The lowest bit tells words (1) from pairs and triples (0).  Where a text has no
-    triple yet, the pair stands in its place.
-    """
+    """For each token its pair and its triple; a text begins after an end, and there, where it has no triple yet, the pair stands in its place."""
     starts = first[:-1]
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
@@ -75,20 +75,22 @@ def ngrams(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     triples = np.empty_like(pairs)
     triples[1:] = _joined(pairs[:-1], hashes[1:])
     triples[starts] = pairs[starts]
-    return [hashes | np.uint64(1), *(x & ~np.uint64(1) for x in (pairs, triples))]
+    return [pairs, triples]
 
 
 def packed_keys(keys: np.ndarray, low: int) -> bytes:
-    """Ascending keys, none below `low`, by their distances, in as few bytes each as the largest needs."""
+    """Ascending keys, none below `low`, by their distances, in as few bytes each as the largest needs; the highest of these, mostly small, is compressed."""
     gaps = np.diff(keys, prepend=np.uint64(low))
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    each = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + each[:, : width - 1].tobytes() + compress(each[:, width - 1].tobytes(), 1)
 
 
-def unpacked_keys(data: bytes, low: int) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    wide = np.zeros((len(gaps), 8), np.uint8)
-    wide[:, : data[0]] = gaps
+def unpacked_keys(data: bytes, low: int, n: int) -> np.ndarray:
+    width = data[0]
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : width - 1] = np.frombuffer(data, np.uint8, n * (width - 1), 1).reshape(n, width - 1)
+    wide[:, width - 1] = np.frombuffer(decompress(data[1 + n * (width - 1) :]), np.uint8)
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(low)
 
 
@@ -110,8 +112,9 @@ def _pack(docs: DataFrame, usable: Column, block: int) -> DataFrame:
     """(block, n, n_train, n_texts, pieces, words, codes), a row for each block.
 
     pieces: the texts' parts, where their tokens begin, and how many of these were
-    tokens of the part before already.  words: hashes of the block's different words;
-    codes: each token's place among them, low two bytes of all and then high ones.
+    tokens of the part before already.  words: hashes of the block's different words,
+    the most frequent first; codes: each token's place among them, byte by byte from
+    the lowest on, compressed.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"block long, n long, n_train long, n_texts long, pieces {PIECES.format(kind=kind)}, words binary, codes binary"
@@ -124,14 +127,17 @@ def _pack(docs: DataFrame, usable: Column, block: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal no, held
             sizes = [len(p[4]) for p in parts]
-            words, codes = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
-            codes = codes.astype("<u4").view("<u2").reshape(-1, 2)
+            words, codes, times = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(words), "<u4")
+            place[order] = np.arange(len(words))
+            codes = place[codes].view(np.uint8).reshape(-1, 4).T
             new = sum(n - p[3] for p, n in zip(parts, sizes, strict=True))
             learned = sum(n - p[3] for p, n in zip(parts, sizes, strict=True) if p[2])
             begun = sum(p[2] and p[3] == 0 for p in parts)
             at = np.cumsum([0, *sizes[:-1]])
             listed = [{"r": p[0], "doc_id": p[1], "train": p[2], "at": int(a), "skip": p[3]} for p, a in zip(parts, at, strict=True)]
-            done = {"block": base + no, "n": new, "n_train": learned, "n_texts": begun, "pieces": listed, "words": words.tobytes(), "codes": codes[:, 0].tobytes() + codes[:, 1].tobytes()}
+            done = {"block": base + no, "n": new, "n_train": learned, "n_texts": begun, "pieces": listed, "words": words[order].tobytes(), "codes": compress(codes.tobytes(), 1)}
             parts.clear()
             no, held = no + 1, 0
             return pa.RecordBatch.from_pylist([done], schema=schema)
@@ -159,18 +165,20 @@ def _pack(docs: DataFrame, usable: Column, block: int) -> DataFrame:
     from pyspark.sql.types import StructType
 
     layout = StructType.fromDDL(out)
-    return docs.select("doc_id", "text", usable.alias("train")).mapInArrow(pack, out)
+    rows = docs.select("doc_id", "text", usable.alias("train"))
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, 4 * rows.rdd.getNumPartitions())
+    return cut_by(rows.mapInArrow(pack, out), "block", buckets)
 
 
-def _unpack(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], list]:
-    """Tokens of a block's row, where its texts' parts begin, whether parts are learned from and how many tokens they skip, and (r, doc_id) of parts."""
+def _unpack(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], list]:
+    """Words of a block's row, each token's place among them, where its texts' parts begin, whether parts are learned from and how many tokens they skip, and (r, doc_id) of parts."""
     words = np.frombuffer(b.column("words")[i].as_buffer(), np.uint64)
-    codes = np.frombuffer(b.column("codes")[i].as_buffer(), "<u2").reshape(2, -1).astype(np.uint32)
-    hashes = words[codes[0] | (codes[1] << np.uint32(16))]
+    codes = np.frombuffer(decompress(b.column("codes")[i].as_buffer()), np.uint8).reshape(4, -1)
+    codes = np.ascontiguousarray(codes.T).view("<u4").ravel()
     parts = b.column("pieces")[i].values
-    first = np.append(parts.field("at").to_numpy(zero_copy_only=False).astype(np.int64), len(hashes))
+    first = np.append(parts.field("at").to_numpy(zero_copy_only=False).astype(np.int64), len(codes))
     each = {"train": parts.field("train").to_numpy(zero_copy_only=False), "skip": parts.field("skip").to_numpy(zero_copy_only=False).astype(np.int64)}
-    return hashes, first, each, [parts.field("r"), parts.field("doc_id")]
+    return words, codes, first, each, [parts.field("r"), parts.field("doc_id")]
 
 
 def _fresh(first: np.ndarray, skip: np.ndarray) -> np.ndarray:
@@ -178,48 +186,62 @@ def _fresh(first: np.ndarray, skip: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first)) >= np.repeat(skip, np.diff(first))
 
 
-def _asked(blocks: DataFrame, bits: int) -> DataFrame:
-    """(part, block, keys, counts): the different n-grams of each block, by ranges of their hashes, and how often its training tokens have them."""
+def _kept(keys: np.ndarray, width: int) -> np.ndarray:
+    """Keys by their highest bits, so many."""
+    return keys & ~np.uint64((1 << (64 - width)) - 1)
+
+
+def _asked(blocks: DataFrame, bits: int, width: int) -> DataFrame:
+    """(part, block, n, keys, counts): the different words (even parts) and n-grams (odd ones) of each block, by ranges of their hashes, and how often its training tokens have them."""
+    low = [p << (64 - bits) for p in range(1 << bits)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                hashes, first, each, _ = _unpack(b, i)
-                keys, where = np.unique(np.concatenate(ngrams(hashes, first)), return_inverse=True)
+                words, codes, first, each, _ = _unpack(b, i)
                 counted = _fresh(first, each["skip"]) & np.repeat(each["train"], np.diff(first))
-                # where a text begins, its pair stands for its triple as well, and counts once
                 again = counted.copy()
-                again[first[:-1]] = False
-                counts = np.bincount(where[np.concatenate([counted, counted, again])], minlength=len(keys))
-                low = np.arange((1 << bits) + 1, dtype=object) << (64 - bits)
-                cuts = np.searchsorted(keys, np.array(low[1:-1], np.uint64))
-                cuts = np.concatenate([[0], cuts, [len(keys)]])
-                full = np.flatnonzero(np.diff(cuts))
-                lists = [(packed_keys(keys[cuts[p] : cuts[p + 1]], int(low[p])), packed_counts(counts[cuts[p] : cuts[p + 1]])) for p in full]
+                again[first[:-1]] = False  # the pair that stands for a triple counts once
+                keys, where = np.unique(_kept(np.concatenate(ngrams(words[codes], first)), width), return_inverse=True)
+                order = np.argsort(words)
+                sides = [(words[order], np.bincount(codes[counted], minlength=len(words))[order]), (keys, np.bincount(where[np.concatenate([counted, again])], minlength=len(keys)))]
                 block = b.column("block")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([k for k, _ in lists], pa.binary()), pa.array([c for _, c in lists], pa.binary())], ["part", "block", "keys", "counts"])
+                for odd, (k, c) in enumerate(sides):
+                    cuts = np.concatenate([[0], np.searchsorted(k, np.array(low[1:], np.uint64)), [len(k)]])
+                    full = np.flatnonzero(np.diff(cuts))
+                    lists = [(packed_keys(k[cuts[p] : cuts[p + 1]], low[p]), packed_counts(c[cuts[p] : cuts[p + 1]])) for p in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(2 * full + odd, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array(np.diff(cuts)[full], pa.int64()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())],
+                        ["part", "block", "n", "keys", "counts"],
+                    )
 
-    return spread(blocks).select("block", "pieces", "words", "codes").mapInArrow(ask, "part long, block long, keys binary, counts binary")
+    return spread(blocks.select("block", "pieces", "words", "codes")).mapInArrow(ask, "part long, block long, n long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame, bits: int) -> DataFrame:
-    """(block, part, counts, kinds): how often all training tokens have a list's n-grams; kinds: different training words of the range, with its first list."""
+    """(block, part, counts, kinds): how often all training tokens have a list's words or n-grams; kinds: different training words of the range, with its first list."""
 
     def add(t: pa.Table) -> pa.Table:
-        low = t["part"][0].as_py() << (64 - bits)
-        lists = [unpacked_keys(k, low) for k in t["keys"].to_pylist()]
-        given = np.concatenate([unpacked_counts(c, len(k)) for k, c in zip(lists, t["counts"].to_pylist(), strict=True)])
-        keys, where = np.unique(np.concatenate(lists), return_inverse=True)
+        part, sizes = t["part"][0].as_py(), t["n"].to_pylist()
+        low = (part >> 1) << (64 - bits)
+        given = np.concatenate([unpacked_counts(c, n) for c, n in zip(t["counts"].to_pylist(), sizes, strict=True)])
+        keys, where = np.unique(np.concatenate([unpacked_keys(k, low, n) for k, n in zip(t["keys"].to_pylist(), sizes, strict=True)]), return_inverse=True)
         total = np.rint(np.bincount(where, given, len(keys))).astype(np.int64)
-        kinds = np.zeros(len(lists), np.int64)
-        kinds[0] = np.count_nonzero(total[(keys & np.uint64(1)) == 1])
-        at = np.cumsum([0, *map(len, lists)])
+        kinds = np.zeros(len(sizes), np.int64)
+        kinds[0] = 0 if part & 1 else np.count_nonzero(total)
+        at = np.cumsum([0, *sizes])
         counts = [packed_counts(total[where[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"block": t["block"], "part": t["part"], "counts": pa.array(counts, pa.binary()), "kinds": kinds})
 
     return grouped(asked, ["part"], add, "block long, part long, counts binary, kinds long")
 
 
+def _found(keys: np.ndarray, bits: int, lists: list[bytes]) -> np.ndarray:
+    """The counts of ascending keys in the answers to their lists, which are in order."""
+    sizes = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64))
+    return np.concatenate([unpacked_counts(c, int(n)) for c, n in zip(lists, sizes[sizes > 0], strict=True)])
+
+
 def traverse(root: np.ndarray, arcs: Sequence[np.ndarray], states: Sequence[np.ndarray], strengths: Sequence[float] = STRENGTHS) -> np.ndarray:
     """log10 weight of each token: the root's, and for the orders above how often arc and state were seen (0: not there).
 
@@ -245,23 +267,28 @@ def score(docs: DataFrame, usable: Column | None = None, strengths: Sequence[flo
     empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = cut(_pack(docs, F.coalesce(~held_out(F.col("doc_id")) if usable is None else usable, F.lit(False)), block))
+    blocks = _pack(docs, F.coalesce(~held_out(F.col("doc_id")) if usable is None else usable, F.lit(False)), block)
     n, total, texts = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "n_texts"))).first()
-    bits = max(1, (-(-3 * n // part) - 1).bit_length())
-    answers = cut(_answered(_asked(blocks, bits), bits))
+    bits = max(1, (-(-2 * n // part) - 1).bit_length())
+    width = min(64, max(40, (2 * n).bit_length() + SPARE))
+    answers = cut(_answered(_asked(blocks, bits, width), bits))
     kinds = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     mass = total + 0.5 * (kinds + 1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                hashes, first, each, names = _unpack(b, i)
-                keys, where = np.unique(np.concatenate(ngrams(hashes, first)), return_inverse=True)
+                words, codes, first, each, names = _unpack(b, i)
                 lists = b.column("answers")[i].values
-                at = np.cumsum([0, *np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64))])
-                at = at[np.concatenate([[True], np.diff(at) > 0])]
-                found = np.concatenate([unpacked_counts(c, int(m)) for c, m in zip(lists.field("counts").to_pylist(), np.diff(at), strict=True)])
-                one, two, three = found[where].reshape(3, -1)
+                odd = lists.field("part").to_numpy() & 1
+                given = lists.field("counts").to_pylist()
+                even, odd = ([c for c, x in zip(given, odd, strict=True) if x == side] for side in (0, 1))
+                order = np.argsort(words)
+                counts = np.empty(len(words), np.int64)
+                counts[order] = _found(words[order], bits, even)
+                one = counts[codes]
+                keys, where = np.unique(_kept(np.concatenate(ngrams(words[codes], first)), width), return_inverse=True)
+                two, three = _found(keys, bits, odd)[where].reshape(2, -1)
                 starts = first[:-1]
                 three[starts] = 0  # a text's first token has no triple
                 above = [np.empty_like(one), np.empty_like(two)]

@@ -175,6 +175,6 @@ def test_lm_lists_come_back_whole():
     r = np.random.default_rng(1)
     for low in (0, 1 << 62, 3 << 62):
         keys = np.unique(r.integers(0, 1 << 61, 500, dtype=np.uint64) + np.uint64(low))
-        assert (lm.unpacked_keys(lm.packed_keys(keys, low), low) == keys).all()
+        assert (lm.unpacked_keys(lm.packed_keys(keys, low), low, len(keys)) == keys).all()
     counts = np.array([0, 1, 254, 255, 256, 10**12])
     assert (lm.unpacked_counts(lm.packed_counts(counts), 6) == counts).all()
