@@ -95,11 +95,12 @@ def unpacked_keys(data: bytes, low: int, n: int) -> np.ndarray:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """Counts as one byte each; those of 255 and more follow behind."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """Counts as one byte each; those of 255 and more follow behind; all compressed."""
+    return compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes(), 1)
 
 
 def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    data = decompress(data)
     out = np.frombuffer(data, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<i8", offset=n)
     return out
