@@ -14,7 +14,7 @@ from .common import WORD, cut, replace
 
 MIN_SITES = 5
 SKETCH_BITS = 10  # 3 % standard error
-MOST_SHARE = 0.5
+MOST_SHARE = 0.5  # of the words of a document known to have copies
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -52,17 +52,17 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.flatten(spans)
 
 
-def dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_share: float = MOST_SHARE, copies: DataFrame | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_sites: int = MIN_SITES, copies: DataFrame | None = None, most_share: float = MOST_SHARE) -> DataFrame:
     """Documents (doc_id, text, source, ...) without boilerplate lines; adds n_lines int and n_removed int, sets n_chars if there.
 
     A line that occurs on min_sites sites or more stays only where it stands first
     (smallest doc_id, then place).  Lines are compared byte for byte; blank lines
-    stay.  A document of whose words more than most_share would go stays whole, for
-    document-level dedup to judge; where copies (doc_id) are given, only those among
-    them do, and all others lose such lines whatever their share.  All rows stay;
-    null and empty texts stay as they are (n_lines 0).  A null source is a site of
-    its own.  Rows equal in doc_id and text are treated alike.  An empty table stays
-    empty; input columns with an output's name give way.
+    stay.  Where copies (doc_id) are given, those among them of whose words more than
+    most_share would go stay whole, for document-level dedup to judge; without
+    copies, no document does.  All rows stay; null and empty texts stay as they are
+    (n_lines 0).  A null source is a site of its own.  Rows equal in doc_id and text
+    are treated alike.  An empty table stays empty; input columns with an output's
+    name give way.
     """
     lines = cut(_lines(docs))
     common = spread(lines, min_sites)
@@ -73,11 +73,11 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_share: float = MOST_
     gone = gone.select(F.col("__id").alias("__i"), F.col("__x").alias("__u"), F.col("__y").alias("__v"), "__gone", "__n")
     rows = docs.withColumns(dict(zip(("__id", "__x", "__y"), _row_key(), strict=True)))
     out = rows.join(gone, rows["__id"].eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__u")) & (F.col("__y") == F.col("__v")), "left")
-    cutting = F.col("__gone").isNotNull() & (F.col("__n") <= F.regexp_count("text", F.lit(WORD)) * most_share)
+    cutting = F.col("__gone").isNotNull()
     if copies is not None:
         known = copies.select(F.col("doc_id").alias("__c")).distinct()
         out = out.join(known, F.col("doc_id") == F.col("__c"), "left")
-        cutting = F.col("__gone").isNotNull() & (cutting | F.col("__c").isNull())
+        cutting = cutting & (F.col("__c").isNull() | (F.col("__n") <= F.regexp_count("text", F.lit(WORD)) * most_share))
     split = F.split(F.col("text"), "\n", -1)
     text = F.when(cutting, F.array_join(_without(split, F.col("__gone")), "\n")).otherwise(F.col("text"))
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(split)).otherwise(0)

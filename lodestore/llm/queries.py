@@ -67,11 +67,8 @@ lines AS (
 ), full_ AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 common AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM full_ GROUP BY line HAVING count(DISTINCT site) >= 5),
 gone AS (
-  SELECT f.doc_id, f.pos, len(regexp_extract_all(f.line, '[^\x20\x09-\x0D]+')) AS n FROM full_ f JOIN common c ON f.line = c.line WHERE {'d': f.doc_id, 'p': f.pos} <> c.first
-), sums AS (SELECT doc_id, sum(n) AS n, count(*) AS removed FROM gone GROUP BY doc_id),
-cutting AS (
-  SELECT s.doc_id, s.removed FROM sums s JOIN rows_ r ON s.doc_id = r.doc_id WHERE s.n <= len(regexp_extract_all(r.text, '[^\x20\x09-\x0D]+')) * 0.5
-), left_ AS (
+  SELECT f.doc_id, f.pos FROM full_ f JOIN common c ON f.line = c.line WHERE {'d': f.doc_id, 'p': f.pos} <> c.first
+), cutting AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id), left_ AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
   WHERE l.doc_id IN (SELECT doc_id FROM cutting) GROUP BY l.doc_id
 )

@@ -114,7 +114,7 @@ def spark_col(name):
     return F.col(name)
 
 
-def lines_model(rows, sites=5, share=0.5):
+def lines_model(rows, sites=5, copies=(), share=0.5):
     on, first = collections.defaultdict(set), {}
     for i, t, s in sorted(rows):
         for p, line in enumerate((t or "").split("\n")):
@@ -126,7 +126,7 @@ def lines_model(rows, sites=5, share=0.5):
         parts = (t or "").split("\n")
         gone = {p for p, line in enumerate(parts) if len(on[line]) >= sites and first[line] != (i, p)}
         words = sum(len(parts[p].split()) for p in gone)
-        out[i] = t if not gone or words > share * len((t or "").split()) else "\n".join(x for p, x in enumerate(parts) if p not in gone)
+        out[i] = t if not gone or (i in copies and words > share * len((t or "").split())) else "\n".join(x for p, x in enumerate(parts) if p not in gone)
     return out
 
 
@@ -136,6 +136,10 @@ def test_lines_of_many_sites_go(spark):
     got = line_dedup.dedup(docs(spark, rows))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == lines_model(rows)
     assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
+    assert {r["text"] for r in got.where("doc_id > 100").collect()} == {""}
+    known = spark.createDataFrame([(i,) for i in (100, 103, 103, 104, 7, None)], "doc_id long")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs(spark, rows), copies=known).collect()}
+    assert got == lines_model(rows, copies={100, 103, 104, 7}) and got[103] == rows[83][1] and got[105] == ""
 
 
 def test_near_threshold_lines_are_counted_exactly(spark):
