@@ -5,8 +5,14 @@ A text is cut into the pieces of a vocabulary so that their scores sum to the mo
 into words that are solved once and remembered.  Giant texts are split into chunks
 anywhere: each chunk yields a transfer matrix, the best score from every state at
 its left edge to every state at its right edge, where a state says how far a piece
-reaches over the edge.  Matrices combine associatively under (max, +); a prefix
-scan gives the state at each edge, and the chunks are then traced back on their own.
+reaches over the edge.  Matrices combine associatively under (max, +); a scan from
+the right gives what every state at an edge can still reach, from which a chunk knows
+which state it leads on to; these maps give the state at each edge, and the chunks
+are then traced on their own.
+
+Of cuttings with equal scores the one whose first piece is longest is taken, then
+whose second is, and so on.  Scores are multiples of 2**-16, so sums are exact in
+any order and a text's ids don't depend on whether or where it is split.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from math import log
 from struct import pack
 
 import numpy as np
@@ -31,6 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
 CACHED = 350_000  # words that a worker remembers, twice
 LONGEST = 48  # characters of those
+OFFSET = 100.0  # added to the ranks of pieces
 NONE = -np.inf
 BLANK = "▁"
 
@@ -92,16 +100,21 @@ class Vocabulary:
         """A piece's id, or those of its bytes, packed."""
         return self.packed.get(piece) or pack(f"<{len(piece.encode())}I", *(self.bytes_[b] for b in piece.encode()))
 
-    def solve(self, text: str) -> tuple[float, bytes]:
-        """Score and packed ids of a text; of cuttings with equal scores the one whose first piece is longest."""
+    def behind(self, text: str, n: int, ahead: np.ndarray | None = None) -> tuple[list[float], list[int]]:
+        """For each place of the first n characters, and those behind them, the best sum to the end and where the best piece ends.
+
+        ahead: sums to the end from the places that a piece may reach behind the n
+        characters; else the text ends there.
+        """
         get, single, unknown = self.starts.get, self.score.get, self.unknown
-        n = len(text)
-        sums, to = [0.0] * (n + 1), [n] * n
+        rest = [0.0] if ahead is None else [float(x) for x in ahead]
+        sums, to = [NONE] * n + rest, [n] * n
+        top = n + len(rest) - 1
         for i in range(n - 1, -1, -1):
             best, end, j = single(text[i], unknown) + sums[i + 1], i + 1, i + 2
-            while j <= n:
+            while j <= top:
                 own = get(text[i:j], False)
-                if own is False:
+                if own is False or j > len(text):
                     break
                 if own is not None:
                     own += sums[j]
@@ -109,6 +122,12 @@ class Vocabulary:
                         best, end = own, j
                 j += 1
             sums[i], to[i] = best, end
+        return sums, to
+
+    def solve(self, text: str) -> tuple[float, bytes]:
+        """Score and packed ids of a text; of cuttings with equal scores the one whose first piece is longest."""
+        n = len(text)
+        sums, to = self.behind(text, n)
         out, i, packed = [], 0, self.packed
         while i < n:
             piece = text[i : to[i]]
@@ -116,6 +135,19 @@ class Vocabulary:
             i = to[i]
         return sums[0], b"".join(out)
 
+    def leads(self, body: str, ahead: str, rest: np.ndarray) -> np.ndarray:
+        """The state at the right edge of body that the best way leads to from each state at its left edge; rest: what each state at the right edge can still reach."""
+        text, n = body + ahead, len(body)
+        starts = [m.start() for m in self.unit.finditer(text) if 0 < m.start() <= n]
+        first = starts[-1] if starts else 0
+        to = self.behind(text[first:], n - first, rest)[1]
+        state = list(range(n - first + len(rest)))
+        for i in range(n - first - 1, -1, -1):
+            state[i] = state[to[i]]
+        found = [max(0, s - (n - first)) for s in state]
+        # every way passes the starts of units
+        return np.array([found[0]] * self.longest if starts else found[: self.longest])
+
     def word(self, unit: str) -> bytes:
         """Packed ids of a unit; short ones are remembered for a while."""
         got = self.before.get(unit)
@@ -154,30 +186,39 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def scan(chunks: np.ndarray) -> np.ndarray:
-    """Products of the first 1, 2, ... matrices, in about log2 n rounds of independent combinations."""
-    out, step = chunks.copy(), 1
-    while step < len(out):
+    """Products of the last n, n - 1, ... matrices, in about log2 n rounds of independent combinations."""
+    out, step, n = chunks.copy(), 1, len(chunks)
+    while step < n:
         nxt = out.copy()
-        for i in range(step, len(out), 64):  # a few at once, as products are large
-            part = slice(i, min(i + 64, len(out)))
-            nxt[part] = combine(out[part.start - step : part.stop - step], out[part])
+        for i in range(0, n - step, 64):  # a few at once, as products are large
+            part = slice(i, min(i + 64, n - step))
+            nxt[part] = combine(out[part], out[part.start + step : part.stop + step])
         out, step = nxt, step * 2
     return out
 
 
-def states(chunks: np.ndarray) -> list[tuple[int, int]]:
-    """State at the left and right edge of each chunk on the best way through all; ties: the smaller state."""
-    sums = scan(chunks)[:, 0, :]
-    out, right = [], 0
-    for c in range(len(chunks) - 1, -1, -1):
-        left = int(np.argmax(sums[c - 1] + chunks[c][:, right])) if c else 0
-        out.append((left, right))
-        right = left
-    return out[::-1]
+def rests(chunks: np.ndarray) -> np.ndarray:
+    """What each state at the right edge of each chunk can still reach; at the end, state 0 is there."""
+    end = np.where(np.arange(chunks.shape[1]) == 0, 0.0, NONE)
+    return np.concatenate([scan(chunks)[1:, :, 0], end[None]])
 
 
-def load(path: str = MODEL) -> Vocabulary:
-    """A vocabulary file's pieces: normal ones with their scores, and its 256 byte pieces."""
+def states(maps: np.ndarray) -> list[tuple[int, int]]:
+    """State at the left and right edge of each chunk, by where each leads on to."""
+    out, left = [], 0
+    for m in maps:
+        out.append((left, int(m[left])))
+        left = int(m[left])
+    return out
+
+
+def load(path: str = MODEL, offset: float = OFFSET) -> Vocabulary:
+    """A vocabulary file's pieces: normal ones with their scores, and its 256 byte pieces.
+
+    Files of merged pieces have ranks in place of log-probabilities; sums of those
+    mean nothing, so a piece of rank r scores -log(r + offset), as if its frequency
+    followed the law of Zipf and Mandelbrot.  Nothing is learned from documents.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -189,7 +230,11 @@ def load(path: str = MODEL) -> Vocabulary:
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             name = piece.replace(BLANK, " ")
             score[name], ids[name] = float(sp.get_score(i)), i
-    return Vocabulary(score, ids, spelled, min(s for s in score.values() if s > -1e8) - 10)
+    known = [s for s in score.values() if s > -1e8]
+    if known and all(s == int(s) for s in known):
+        score = {p: -log(max(0.0, -s) + offset) if s > -1e8 else -log(len(score) + offset) for p, s in score.items()}
+    score = {p: round(s * 65_536) / 65_536 for p, s in score.items()}
+    return Vocabulary(score, ids, spelled, min(score.values()) - 10)
 
 
 @dataclass
@@ -260,10 +305,22 @@ def _giants(docs: DataFrame, held, token: str, chunk: int) -> DataFrame:
             matrices = [v.transfer(x, y).tobytes() for x, y in zip(b.column("body").to_pylist(), b.column("ahead").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", "__x", "__y", "no")), pa.array(matrices, pa.binary())], ["__id", "__x", "__y", "no", "matrix"])
 
-    def through(rows: pd.DataFrame) -> pd.DataFrame:
+    def reached(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("no")
         n = int(np.sqrt(len(rows["matrix"].iloc[0]) // 8))
-        found = states(np.stack([np.frombuffer(m).reshape(n, n) for m in rows["matrix"]]))
+        found = rests(np.stack([np.frombuffer(m).reshape(n, n) for m in rows["matrix"]]))
+        return rows[["__id", "__x", "__y", "no"]].assign(rest=[r.tobytes() for r in found])
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _worker(held, token)
+        for b in batches:
+            parts = zip(*(b.column(c).to_pylist() for c in ("body", "ahead", "rest")), strict=True)
+            maps = [v.leads(x, y, np.frombuffer(r)).astype(np.int32).tobytes() for x, y, r in parts]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", "__x", "__y", "no")), pa.array(maps, pa.binary())], ["__id", "__x", "__y", "no", "map"])
+
+    def through(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("no")
+        found = states(np.stack([np.frombuffer(m, np.int32) for m in rows["map"]]))
         return rows[["__id", "__x", "__y", "no"]].assign(left=[a for a, _ in found], right=[b for _, b in found])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +333,15 @@ def _giants(docs: DataFrame, held, token: str, chunk: int) -> DataFrame:
     by = ["__id", "__x", "__y"]
     rows = docs.select(*(c.alias(n) for n, c in _key(docs).items()), "text")
     chunks = cut(rows.mapInArrow(split, f"{KEY}, no int, body string, ahead string").dropDuplicates([*by, "no"]))
-    # a matrix for each chunk of one document meets in one task: a few hundredths of that document's text
-    ways = chunks.mapInArrow(transfers, f"{KEY}, no int, matrix binary").groupBy(*by).applyInPandas(through, f"{KEY}, no int, left int, right int")
-    ways = ways.withColumnsRenamed({c: f"w{c}" for c in [*by, "no"]})
-    same = chunks["__id"].eqNullSafe(ways["w__id"]) & (chunks["__x"] == ways["w__x"]) & (chunks["__y"] == ways["w__y"]) & (chunks["no"] == ways["wno"])
-    traced = chunks.join(ways, same).select(*by, "no", "body", "ahead", "left", "right").mapInArrow(trace, f"{KEY}, no int, ids array<int>")
+    def met(ways: DataFrame) -> DataFrame:
+        ways = ways.withColumnsRenamed({c: f"w{c}" for c in [*by, "no"]})
+        same = chunks["__id"].eqNullSafe(ways["w__id"]) & (chunks["__x"] == ways["w__x"]) & (chunks["__y"] == ways["w__y"]) & (chunks["no"] == ways["wno"])
+        return chunks.join(ways, same)
+
+    # a matrix and a map for each chunk of one document meet in one task: a few hundredths of that document's text
+    ways = chunks.mapInArrow(transfers, f"{KEY}, no int, matrix binary").groupBy(*by).applyInPandas(reached, f"{KEY}, no int, rest binary")
+    ways = met(ways).select(*by, "no", "body", "ahead", "rest").mapInArrow(lead, f"{KEY}, no int, map binary").groupBy(*by).applyInPandas(through, f"{KEY}, no int, left int, right int")
+    traced = met(ways).select(*by, "no", "body", "ahead", "left", "right").mapInArrow(trace, f"{KEY}, no int, ids array<int>")
     whole = traced.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     return whole.select(F.col("__id").alias("__i"), F.col("__x").alias("__u"), F.col("__y").alias("__v"), F.col("ids").alias("__ids"))
 
@@ -294,8 +355,8 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """Adds ids array<int>, the best cutting of each text into pieces, to documents (doc_id, text, ...).
 
     The sum of the pieces' scores is the most there is; ties go to the longer first
-    piece, at a chunk's edge to the piece that reaches less far.  A blank is put in
-    front of a text; a blank sign (U+2581) in a text and characters without a piece
+    piece, whether a text is split into chunks or not.  A blank is put in front of a
+    text; a blank sign (U+2581) in a text and characters without a piece
     are spelled in bytes, so decode() gives back every text exactly.  Null and empty
     texts have no ids (an empty list).  All rows stay; equal texts get equal ids;
     input columns with an output's name give way; an empty table stays empty.
