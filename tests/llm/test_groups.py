@@ -135,3 +135,49 @@ def test_few_candidates_are_all_found(spark):
     rows = spark.createDataFrame([(20 * i, [float(i), 1.0]) for i in range(1, 6)], "vec_id long, embedding array<double>")
     got = ann.nearest(rows, rows["vec_id"] % 20 == 0).collect()
     assert len(got) == 20
+
+
+def test_equal_vectors_are_one_node(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 16)), 2900, 0), r.normal(size=(100, 16))])
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    graphs = ann.index(rows.select("vec_id", F.col("embedding").alias("v"))).collect()
+    assert sum(len(g["counts"]) // 4 for g in graphs) == 101 and all(len(g["starts"]) // 4 <= 3 for g in graphs)
+    got = ann.nearest(rows, rows["vec_id"] % 20 == 0).collect()
+    score = x @ x[::20].T
+    for k, q in enumerate(range(0, 3000, 20)):
+        mine = [a["vec_id"] for a in sorted((a for a in got if a["query_id"] == q), key=lambda a: a["rank"])]
+        assert mine == sorted((i for i in range(3000) if i != q), key=lambda i: (-round(score[i, k], 9), i))[:20]
+
+
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (None, [1.0, 1.0]), (4, [])]
+    rows = spark.createDataFrame([(i, v, "x", 7, 8, 9.0) for i, v in rows], "vec_id long, embedding array<double>, rank string, shard int, query_id int, score double")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(rows, rows["vec_id"] % 20 == 0).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.0), (20, 4, 3, 0.0)]
+
+
+def test_a_full_shard_is_searched_well():
+    """Real shards: vectors in clusters, as many as a shard holds."""
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(200, 32))
+    x = centre[r.integers(0, 200, ann.SHARD_ROWS)] + 0.6 * r.normal(size=(ann.SHARD_ROWS, 32))
+    lifted = ann.lifted(x).astype(np.float32)
+    graph, starts = ann.grow(lifted)
+    near = ann.walk(lifted, graph, starts, np.column_stack([x[:256], np.zeros(256)]).astype(np.float32), ann.SEARCH_BEAM)[0]
+    score = x[:256] @ x.T
+    hits = 0
+    for i in range(256):
+        mine = near[i][near[i] >= 0]
+        hits += len(set(mine[np.argsort(-score[i][mine])][:20].tolist()) & set(np.argsort(-score[i])[:20].tolist()))
+    assert hits / (256 * 20) >= 0.95 and len(starts) < 64
+
+
+def test_embedding_links_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    rows = spark.createDataFrame([(i, v, 0, "a", "b", 3) for i, v in rows], "vec_id long, embedding array<double>, label int, grp string, cell string, kept int")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.linked(rows).collect())
+    assert got == [(-1, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+    assert embed_dedup.dedup(rows).columns == rows.columns
