@@ -3,8 +3,10 @@
 Rows hash to points on a ring; the arc that ends in a virtual node belongs to
 that node's shard.  Every shard may hold so many rows and no more; what overflows
 continues clockwise to the next node whose shard has room.  Row counts per arc
-decide all of that, so the plan is made from one row for each arc, however large
-the table, and rows find their shard by their rank within their arc.
+decide all of that, so the plan is made from a fixed number of counts, however large
+the table, and rows find their shard by their rank within their arc.  An arc is cut
+into ranges that are ranked apart, and a range with very many rows, as where rows
+repeat, once more by the tasks that read them.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replace
+from .common import cut, replace
 
 SHARDS, NODES = 24, 128
+RANGES = 1 << 14  # of the ring, besides its arcs
+CROWDED = 1_000_000  # rows of a range that are ranked in one task at most
 
 
 def ring(shards: int, nodes: int = NODES) -> list[tuple[int, int]]:
@@ -79,29 +83,52 @@ def flow(counts: dict[int, int], owners: Sequence[int], shards: int) -> list[tup
     return pieces
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, crowded: int = CROWDED) -> DataFrame:
     """Adds size long, text_crc32 long, law string, shard int, slot long and grown_shard int to documents (doc_id, text, ...).
 
     size: UTF-8 bytes of the text plus 8.  law: 'rows', counts of shards differ by
     one at most.  slot: place in the shard, gapless from 0.  grown_shard: null under
     this law.  Null text has size 8 and the checksum of empty text; rows without an
     id stand by their text; repeated rows stand together and get slots of their own.
+    A range of the ring with more than `crowded` rows is ranked by task and then by
+    place; which of its rows overflow may then differ from run to run.
     Input columns with an output's name give way.  Fewer rows than shards leave
     shards empty; an empty table stays empty.
     """
-    spark = docs.sparkSession
-    points = ring(shards, nodes)
+    points = [p for p, _ in ring(shards, nodes)]
+    owners = [s for _, s in ring(shards, nodes)]
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    out = replace(docs, size=(F.octet_length(text) + 8).cast("long"), text_crc32=F.crc32(text))
-    out = out.withColumn("__at", position(F.col("doc_id"), F.col("text")))
-    # as many rows as the ring has nodes; only ids are read here, and texts where ids are null
-    counts = docs.groupBy(arc_of(position(F.col("doc_id"), F.col("text")), [p for p, _ in points]).alias("arc")).count().collect()
-    pieces = flow({r["arc"]: r["count"] for r in counts}, [s for _, s in points], shards)
-    rows = F.from_json(F.lit(str([list(p) for p in pieces])), "array<array<bigint>>")
-    plan = spark.range(1).select(F.explode(rows).alias("p")).select(*(F.col("p")[i].alias(n) for i, n in enumerate(("__arc", "__lo", "__hi", "__shard", "__slot"))))
-    out = out.withColumn("__arc", arc_of(F.col("__at"), [p for p, _ in points]))
-    by = Window.partitionBy("__arc").orderBy("__at", F.col("doc_id").cast("string"), "text_crc32", "size")
-    out = out.withColumn("__rank", F.row_number().over(by) - 1)
-    out = out.join(F.broadcast(plan), "__arc").where("__rank >= __lo and __rank < __hi")  # nodes + shards rows at most
+    at = position(F.col("doc_id"), F.col("text"))
+    where = {"__arc": arc_of(F.col("__at"), points), "__range": F.floor(F.col("__at") / F.lit((1 << 52) // RANGES)).cast("int")}
+    # as many rows as the ring has nodes and ranges; only ids are read here, and texts where ids are null
+    counts = docs.select(at.alias("__at")).select(*(c.alias(n) for n, c in where.items())).groupBy("__arc", "__range").count().collect()
+    sizes: dict[int, int] = {}
+    starts = []
+    for r in sorted(counts, key=lambda r: (r["__arc"], r["__range"])):
+        arc = r["__arc"]
+        starts.append((arc, r["__range"], sizes.get(arc, 0), int(r["count"] > crowded)))
+        sizes[arc] = sizes.get(arc, 0) + r["count"]
+    out = replace(docs, size=(F.octet_length(text) + 8).cast("long"), text_crc32=F.crc32(text)).withColumn("__at", at).withColumns(where)
+    out = out.join(F.broadcast(_listed(docs, starts, ("__arc", "__range", "__start", "__crowded"))), ["__arc", "__range"])
+    order = ["__at", F.col("doc_id").cast("string"), "text_crc32", "size"]
+    rank = F.row_number().over(Window.partitionBy("__arc", "__range").orderBy(*order)) - 1 + F.col("__start")
+    ranked = out.where("__crowded = 0").withColumn("__rank", rank)
+    if any(x[3] for x in starts):
+        # written, a row keeps the number of its task
+        held = cut(out.where("__crowded = 1").withColumn("__task", F.spark_partition_id()))
+        tasks = held.groupBy("__arc", "__range", "__task").count()
+        before = F.sum("count").over(Window.partitionBy("__arc", "__range").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+        tasks = tasks.select("__arc", "__range", "__task", F.coalesce(before, F.lit(0)).alias("__more"))
+        inside = F.row_number().over(Window.partitionBy("__arc", "__range", "__task").orderBy(*order)) - 1
+        held = held.withColumn("__inside", inside).join(tasks, ["__arc", "__range", "__task"])
+        ranked = ranked.unionByName(held.withColumn("__rank", F.col("__start") + F.col("__more") + F.col("__inside")).select(*(f"`{c}`" for c in ranked.columns)))
+    plan = _listed(docs, flow(sizes, owners, shards), ("__arc", "__lo", "__hi", "__shard", "__slot"))
+    out = ranked.join(F.broadcast(plan), "__arc").where("__rank >= __lo and __rank < __hi")  # nodes + shards rows at most
     out = replace(out, law=F.lit("rows"), shard=F.col("__shard").cast("int"), slot=F.col("__slot") + F.col("__rank") - F.col("__lo"), grown_shard=F.lit(None).cast("int"))
-    return out.drop("__at", "__arc", "__lo", "__hi", "__shard", "__slot", "__rank")
+    return out.drop("__at", "__arc", "__range", "__start", "__crowded", "__lo", "__hi", "__shard", "__slot", "__rank")
+
+
+def _listed(df: DataFrame, rows: Sequence[tuple[int, ...]], names: Sequence[str]) -> DataFrame:
+    """A few rows of numbers as a table."""
+    each = F.from_json(F.lit(str([list(r) for r in rows])), "array<array<bigint>>")
+    return df.sparkSession.range(1).select(F.explode(each).alias("r")).select(*(F.col("r")[i].alias(n) for i, n in enumerate(names)))
