@@ -192,8 +192,8 @@ def _confirmed(groups: DataFrame, parts: DataFrame, docs: DataFrame, width: int,
     own = F.col("of_part") >= TILE
     blocks = F.ceil(F.when(own, F.col("of_part")).otherwise(F.col("rest")) / TILE)
     members = cut(members.select("grp", "id", F.struct(F.when(own, F.col("part")).otherwise(F.lit(-1)).alias("part"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("no")).alias("block")))
-    others = cut(members.groupBy("grp").agg(F.collect_set("block").alias("others")))
-    tiles = members.join(others, "grp").withColumn("other", F.explode("others")).where("block.part = -1 or block = other or block.part <> other.part")
+    others = cut(members.select("grp", F.col("block").alias("other")).distinct())
+    tiles = members.join(others, "grp").where("block.part = -1 or block = other or block.part <> other.part")
     tiles = tiles.where("block.part = -1 or block <> other").select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id")
     tiles = tiles.select("grp", F.col("lo.part").alias("lp"), F.col("lo.no").alias("ln"), F.col("hi.part").alias("hp"), F.col("hi.no").alias("hn"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select("id"), "id", "left_semi")
@@ -204,6 +204,11 @@ def _confirmed(groups: DataFrame, parts: DataFrame, docs: DataFrame, width: int,
     return grouped(tiles.join(cut(texts), "id"), ["grp", "lp", "ln", "hp", "hn"], test, "src long, dst long")
 
 
+def _as_edges(parts: DataFrame) -> DataFrame:
+    """Components so far, as edges that join the same nodes."""
+    return parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+
+
 def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document (doc_id, text, ...).
 
@@ -238,13 +243,13 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     close = cut(_collided(live, best.select("src", "dst")))
     groups = components(close)
     posts = _gathered(live, groups)
-    groups = components(close.unionAll(_short(live, posts)).unionAll(_long(live, posts)))
+    groups = components(_as_edges(groups).unionAll(_short(live, posts)).unionAll(_long(live, posts)))
     drop(posts)
 
     first = confirm(best.where("pos = 0").select("src", "dst").join(close, ["src", "dst"], "left_semi"), docs, width, percent)
     edges = cut(first)
     parts = components(edges)
-    parts = components(edges.unionAll(_confirmed(groups, parts, docs, width, percent)))
+    parts = components(_as_edges(parts).unionAll(_confirmed(groups, parts, docs, width, percent)))
     placed = rows.join(classes.select("one", "two", F.col("id").alias("__class")), ["one", "two"], "left").join(parts, F.col("__class") == F.col("node"), "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("__class")), "doc_id"))
     return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"), "x", "y")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,93 @@ def test_long_words_are_learned_whole(spark, monkeypatch):
         assert np.allclose(whole.gram_values, some.gram_values) and np.allclose(whole.context_values, some.context_values)
 
 
+def plain_kneser_ney(toxic, ordinary):
+    """log P(last byte | 5 before) of toxic less ordinary, from dicts of counts of 6-byte strings."""
+    seen = {g for c in (toxic, ordinary) for g, n in c.items() if n}
+    after = {n: collections.Counter() for n in range(1, 6)}
+    grams = seen
+    for n in range(5, 0, -1):  # in how many different ways a string is continued to the left
+        after[n].update(g[1:] for g in grams)
+        grams = set(after[n])
+    d = toxicity.DISCOUNT
+
+    def shared(g):
+        p = 1 / 257
+        for n in range(1, 6):
+            own = {x: c for x, c in after[n].items() if x[:-1] == g[-n:-1]}
+            if own:
+                t = sum(own.values())
+                p = (max(own.get(g[-n:], 0) - d, 0) + d * len(own) * p) / t
+        return p
+
+    def log_p(counts, g):
+        own = {x: n for x, n in counts.items() if n and x[:5] == g[:5]}
+        t = sum(own.values())
+        back = toxicity.TOP_DISCOUNT * len(own) / t if t else 1.0
+        return math.log(max(counts.get(g, 0) - toxicity.TOP_DISCOUNT, 0) / max(t, 1e-9) + back * shared(g)), math.log(back)
+
+    def evidence(g):
+        if g in seen:
+            return log_p(toxic, g)[0] - log_p(ordinary, g)[0]
+        if any(x[:5] == g[:5] for x in seen):
+            return log_p(toxic, g)[1] - log_p(ordinary, g)[1]
+        return 0.0
+
+    return evidence
+
+
+def six(word):
+    padded = b" " * 5 + word.lower() + b" "
+    return [padded[i : i + 6] for i in range(len(word) + 1)]
+
+
+def test_evidence_is_that_of_plain_kneser_ney_models():
+    toxic, ordinary = collections.Counter(), collections.Counter()
+    for words, counts in ((["grukel", "gruking", "Grukan", "stone", "a"], toxic), (["stone", "stones", "green", "river", "a", "a"], ordinary)):
+        for w in words:
+            counts.update(six(w.encode()))
+    want = plain_kneser_ney(toxic, ordinary)
+    names = sorted(set(toxic) | set(ordinary))
+    learned = toxicity.learn(np.array([int.from_bytes(g, "big") for g in names], np.uint64), np.array([toxic[g] for g in names]), np.array([ordinary[g] for g in names]))
+    texts = ["grukel stone GRUK", "greens rivers zebra a", "", "é grukos"]
+    data, at = toxicity.textnp.raw(pa.array(texts))
+    begin, end, _ = toxicity.textnp.spans(data, at)
+    hashes = toxicity.textnp.word_hashes(data, begin, end)
+    got = toxicity.word_evidence(learned, hashes, data, begin, end, "plain")
+    words = [w.encode() for t in texts for w in t.split()]
+    assert got.tolist() == pytest.approx([sum(map(want, six(w))) for w in words], rel=1e-4, abs=1e-5)
+    x = toxicity.measures(pa.array(texts), learned, "plain")
+    for row, t in zip(x, texts, strict=True):
+        each = [sum(map(want, six(w.encode()))) for w in t.split()]
+        top = sorted({w.lower(): max(v, 0) for w, v in zip(t.split(), each, strict=True)}.values(), reverse=True)[:3]
+        assert row.tolist() == pytest.approx([*top, *[0.0] * (3 - len(top)), np.mean(each) if each else 0.0], rel=1e-4, abs=1e-5)
+
+
+def test_quality_scores_are_sums_of_plain_bins(spark):
+    rows, labels = corpus(9, 300)
+    rows += [(900, "", "x"), (901, None, "x"), (902, "Word! " * 3000, "x"), (1, rows[1][1], "x")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+
+    def plain(text):
+        x = quality.features(pa.array([text]))[0]
+        words = (text or "").split()
+        letters = [c for c in text or "" if c.isascii() and c.isalpha()]
+        assert x[0] == pytest.approx(math.log(1 + len(words)))
+        assert x[1] == pytest.approx(sum(len(w.encode()) for w in words) / max(1, len(words)))
+        assert x[2] == pytest.approx(sum(c.isupper() for c in letters) / max(1, len(letters)))
+        assert x[7] == pytest.approx(len({w.lower() for w in words}) / max(1, len(words)))
+        total = model.start
+        for j, (edges, table) in enumerate(zip(model.edges, model.tables, strict=True)):
+            total += table[sum(e <= x[j] for e in edges)]
+        for i, j, a, b, table in model.pairs:
+            total += table[sum(e <= x[i] for e in a), sum(e <= x[j] for e in b)]
+        return 1 / (1 + math.exp(-total))
+
+    for r in quality.score(docs, model).collect():
+        assert r["score"] == pytest.approx(plain(r["text"]), rel=1e-9)
+
+
 def test_gam_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.uniform(-1, 1, (3000, 3))
