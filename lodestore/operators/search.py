@@ -2,7 +2,8 @@
 
 Vectors stay where they are.  Queries travel to them as one matrix, scored a batch
 of vectors at a time; each task keeps its best k of each query, and only those meet
-in a shuffle by query.  Scores are in double precision, ties go to the smaller id,
+in a shuffle by query.  Where queries probe clusters, a cluster's vectors meet its own
+queries only, and only probed clusters are read.  Scores are in double precision, ties go to the smaller id,
 vectors whose score is not finite are never found.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
 from ..functions import metrics
 from ..types import Metric
 
@@ -28,9 +30,9 @@ ALL = 0  # nprobe: every cluster
 class Asked:
     """A block of queries: ids, vectors, and the clusters that each one probes."""
 
-    ids: list
+    ids: np.ndarray
     x: np.ndarray
-    probes: list[set] | None = None
+    probes: dict[int, np.ndarray] | None = None  # for each cluster, which queries ask for it
 
 
 def numpy_scores(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
@@ -62,7 +64,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(queries: DataFrame) -> Iterator[list]:
     """Queries on the driver, a block of bounded size at a time."""
     block: list = []
-    for row in queries.select("query_id", "vector").toLocalIterator():
+    for row in queries.toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
             yield block
@@ -71,52 +73,73 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
         yield block
 
 
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of ids."""
+    return ids if ids.dtype != object else np.unique(ids, return_inverse=True)[1]
+
+
+class Best:
+    """The best k of each of n queries so far: flat arrays of query, score and id."""
+
+    def __init__(self, n: int, k: int, ids: np.ndarray) -> None:
+        self.k, self.query, self.score, self.id = k, np.zeros(0, np.int64), np.zeros(0), ids[:0]
+        self.worst = np.full(n, -np.inf)  # the k-th score of queries that have k
+
+    def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of queries (rows) with ids (columns); not finite ones are passed over."""
+        low = self.worst[queries][:, None]
+        if scores.shape[1] > 4 * self.k:  # ties with the k-th stay
+            finite = np.where(np.isfinite(scores), scores, -np.inf)
+            low = np.maximum(low, np.partition(finite, -self.k, axis=1)[:, -self.k][:, None])
+        row, col = np.nonzero(np.isfinite(scores) & (scores >= low))
+        if len(row):
+            query, score, name = np.concatenate([self.query, queries[row]]), np.concatenate([self.score, scores[row, col]]), np.concatenate([self.id, ids[col]])
+            order = np.lexsort((_codes(name), -score, query))
+            query, score, name = query[order], score[order], name[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            top = place < self.k
+            self.query, self.score, self.id = query[top], score[top], name[top]
+            last = place == self.k - 1
+            self.worst[query[last]] = score[last]
+
+
 def _scan(vectors: DataFrame, asked: Asked, k: int, metric: Metric, cluster: str | None) -> DataFrame:
     """The best k of each query in each task: (query_id, id, score)."""
-    spark = vectors.sparkSession
-    held = spark.sparkContext.broadcast(asked)  # QUERY_BLOCK vectors at most
-    kinds = {f.name: f.dataType for f in vectors.schema}
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    held = vectors.sparkSession.sparkContext.broadcast(asked)  # QUERY_BLOCK vectors at most
+    out = T.StructType([T.StructField("query_id", _kind(asked.ids)), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = to_arrow_schema(out)
+
+    def names(column: pa.Array) -> np.ndarray:
+        return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist(), object)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = held.value
-        tops: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in a.ids]
+        a, tops = held.value, None
+        every = np.arange(len(a.ids))
         for b in batches:
             x, at = _matrix(b.column("vector"), a.x.shape[1])
             if not len(at):
                 continue
-            ids = np.array(b.column("id").take(pa.array(at)).to_pylist(), object)
-            place = np.array(b.column(cluster).take(pa.array(at)).to_pylist(), object) if cluster else None
-            for lo in range(0, len(ids), 8_192):
-                part = slice(lo, lo + 8_192)
-                scores = numpy_scores(x[part], a.x, metric)
-                for i, (kept, names) in enumerate(tops):
-                    row = scores[i]
-                    fine = np.isfinite(row)
-                    if a.probes is not None:
-                        fine &= np.fromiter((c in a.probes[i] for c in place[part]), bool, len(row))
-                    if len(kept) == k:
-                        fine &= row >= kept[-1]
-                    new = np.flatnonzero(fine)
-                    if not len(new):
-                        continue
-                    if len(new) > 4 * k:  # ties with the k-th stay
-                        new = new[row[new] >= np.partition(row[new], len(new) - k)[len(new) - k]]
-                    kept, names = np.concatenate([kept, row[new]]), np.concatenate([names, ids[part][new]])
-                    order = sorted(range(len(kept)), key=lambda j: (-kept[j], names[j]))[:k]
-                    tops[i] = kept[order], names[order]
-        found = [(q, n, float(s)) for q, (kept, names) in zip(a.ids, tops, strict=True) for s, n in zip(kept, names, strict=True)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], schema.field(0).type), pa.array([f[1] for f in found], schema.field(1).type), pa.array([f[2] for f in found], pa.float64())], ["query_id", "id", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+            ids = names(b.column("id").take(pa.array(at)))
+            tops = tops or Best(len(a.ids), k, ids)
+            if cluster is None:
+                groups = [(every, slice(i, i + 1_024)) for i in range(0, len(ids), 1_024)]
+            else:
+                place = b.column(cluster).take(pa.array(at)).fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.argsort(place, kind="stable")
+                cuts = np.flatnonzero(np.diff(place[order], prepend=place[order[0]] - 1))
+                groups = [(a.probes[c], rows) for rows in np.split(order, cuts[1:]) if (c := int(place[rows[0]])) in a.probes]
+            for queries, rows in groups:
+                tops.offer(queries, numpy_scores(x[rows], a.x[queries], metric), ids[rows])
+        if tops is not None and len(tops.query):
+            yield pa.RecordBatch.from_arrays([pa.array(a.ids[tops.query], schema.field(0).type), pa.array(tops.id, schema.field(1).type), pa.array(tops.score)], ["query_id", "id", "score"])
 
-    out = T.StructType([T.StructField("query_id", asked_kind(asked)), T.StructField("id", kinds["id"]), T.StructField("score", T.DoubleType())])
-    schema = to_arrow_schema(out)
     return vectors.select("id", "vector", *([cluster] if cluster else [])).mapInArrow(best, out)
 
 
-def asked_kind(asked: Asked) -> T.DataType:
-    return T.LongType() if all(isinstance(i, int) for i in asked.ids) else T.StringType()
+def _kind(ids: np.ndarray) -> T.DataType:
+    return T.StringType() if ids.dtype == object else T.LongType()
 
 
 def rank(found: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -128,33 +151,34 @@ def rank(found: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, probes: DataFrame | None = None, cluster: str = "cluster_id") -> DataFrame:
     """(query_id, rank, id, score, distance): the k best vectors (id, vector) of each query (query_id, vector).
 
-    probes: (query_id, cluster_id) limits a query to vectors of its clusters; only
-    those clusters' files are read.  k of 0 or less finds nothing; k above the number
-    of vectors finds all.
+    probes: (query_id, cluster_id) limits a query to vectors of its clusters; of a
+    table that tables.cut_parts() wrote, only those clusters' files are read.  k of 0
+    or less finds nothing; k above the number of vectors finds all.
     """
     metric = Metric.parse(metric)
     spark = vectors.sparkSession
-    kind = queries.schema["query_id"].dataType
-    kind = T.StringType() if isinstance(kind, T.StringType) else T.LongType()
-    empty = spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
-    found = empty
-    chosen: dict = {}
+    text = isinstance(queries.schema["query_id"].dataType, T.StringType)
+    found = spark.createDataFrame([], T.StructType([T.StructField("query_id", T.StringType() if text else T.LongType()), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
+    asked = queries.select("query_id", "vector").where("vector is not null")
     if probes is not None:
-        for row in probes.toLocalIterator():
-            chosen.setdefault(row["query_id"], set()).add(row["cluster_id"])
+        asked = asked.join(probes.groupBy("query_id").agg(F.collect_set(cluster).alias("clusters")), "query_id")
     if k > 0:
-        for block in _blocks(queries):
+        for block in _blocks(asked):
             by_dim: dict[int, list] = {}
             for row in block:
-                if row["vector"] is not None and None not in row["vector"]:
+                if None not in row["vector"]:
                     by_dim.setdefault(len(row["vector"]), []).append(row)
             for rows in by_dim.values():
-                asked = Asked([r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float))
+                some = Asked(np.array([r["query_id"] for r in rows], object if text else np.int64), np.array([r["vector"] for r in rows], float))
                 source = vectors
                 if probes is not None:
-                    asked.probes = [chosen.get(i, set()) for i in asked.ids]
-                    source = vectors.where(F.col(cluster).isin(sorted(set().union(*asked.probes))))
-                found = found.unionAll(_scan(source, asked, k, metric, cluster if probes is not None else None))
+                    pairs: dict[int, list[int]] = {}
+                    for i, r in enumerate(rows):
+                        for c in r["clusters"]:
+                            pairs.setdefault(c, []).append(i)
+                    some.probes = {c: np.array(i) for c, i in pairs.items()}
+                    source = tables.in_parts(vectors, cluster, sorted(pairs))
+                found = found.unionAll(_scan(source, some, k, metric, cluster if probes is not None else None))
     out = rank(found, k)
     sides = {Metric.L2: F.col("score") * F.col("score"), Metric.COSINE: 1 - F.col("score"), Metric.IP: -F.col("score")}
     return out.select("query_id", "rank", "id", "score", sides[metric].alias("distance"))
@@ -224,7 +248,7 @@ def search_probes(vectors: DataFrame, centroids: DataFrame, queries: DataFrame,
 
 def search_on(vectors: DataFrame, queries: DataFrame, clusters: list[int], k: int, metric: Metric | str = Metric.L2) -> DataFrame:
     """search() in given clusters alone."""
-    return search(vectors.where(F.col("cluster_id").isin([int(c) for c in clusters])), queries, k, metric)
+    return search(tables.in_parts(vectors, "cluster_id", [int(c) for c in clusters]), queries, k, metric)
 
 
 def merge(levels: list[DataFrame], k: int) -> DataFrame:

@@ -43,6 +43,7 @@ class Request:
     op: Op
     index_id: int
     rows: DataFrame  # pos, id, data, metadata
+    size: int  # above every pos
     k: int = 0
     nprobe: int | None = None
     request_id: str | None = None
@@ -136,12 +137,17 @@ class Engine:
 
     # -- queue -----------------------------------------------------------------
 
-    def _rows(self, items: DataFrame | Iterable[Any]) -> DataFrame:
-        """(pos, id, data, metadata) of a DataFrame with those columns, pos aside, or of tuples, dicts or bare payloads."""
+    def _rows(self, items: DataFrame | Iterable[Any]) -> tuple[DataFrame, int]:
+        """(pos, id, data, metadata) of a DataFrame with those columns, or of tuples, dicts or bare payloads, and a number above every pos.
+
+        A DataFrame without pos gets ascending ones, with gaps.
+        """
         if isinstance(items, DataFrame):
             named = {c: F.col(c) if c in items.columns else F.lit(None) for c in ("id", "data", "metadata")}
-            rows = items.select(named["id"].cast("string").alias("id"), named["data"].alias("data"), named["metadata"].cast("map<string,string>").alias("metadata"))
-            return rows.withColumn("pos", F.monotonically_increasing_id())
+            own = "pos" in items.columns
+            pos = F.col("pos").cast("long") if own else F.monotonically_increasing_id()
+            rows = items.select(pos.alias("pos"), named["id"].cast("string").alias("id"), named["data"].alias("data"), named["metadata"].cast("map<string,string>").alias("metadata"))
+            return rows, rows.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0] if own else max(1, rows.rdd.getNumPartitions()) << 33
         out = []
         for pos, item in enumerate(items):
             if isinstance(item, dict) and "data" in item:
@@ -152,7 +158,7 @@ class Engine:
                 one = None, item, None
             out.append((pos, None if one[0] is None else str(one[0]), self._payload(one[1]), None if one[2] is None else {str(k): str(v) for k, v in one[2].items()}))
         kind = "array<float>" if out and isinstance(out[0][2], list) else "string"
-        return self.spark.createDataFrame(out, f"pos long, id string, data {kind}, metadata map<string,string>")
+        return self.spark.createDataFrame(out, f"pos long, id string, data {kind}, metadata map<string,string>"), len(out)
 
     @staticmethod
     def _payload(data: Any) -> Any:
@@ -165,24 +171,24 @@ class Engine:
         return json.dumps(data, sort_keys=True, ensure_ascii=False) if isinstance(data, (dict, list)) else None if data is None else str(data)
 
     def add_insert(self, index: int | str, items: Any) -> None:
-        self.queue.append(Request(Op.INSERT, self.resolve(index).index_id, self._rows(items)))
+        self.queue.append(Request(Op.INSERT, self.resolve(index).index_id, *self._rows(items)))
 
     def add_update(self, index: int | str, items: Any) -> None:
-        self.queue.append(Request(Op.UPDATE, self.resolve(index).index_id, self._rows(items)))
+        self.queue.append(Request(Op.UPDATE, self.resolve(index).index_id, *self._rows(items)))
 
     def add_delete_ids(self, index: int | str, ids: Iterable[Any] | DataFrame) -> None:
         rows = ids if isinstance(ids, DataFrame) else [(i, None, None) for i in ids]
-        self.queue.append(Request(Op.DELETE_IDS, self.resolve(index).index_id, self._rows(rows)))
+        self.queue.append(Request(Op.DELETE_IDS, self.resolve(index).index_id, *self._rows(rows)))
 
     def add_delete_knn(self, index: int | str, queries: Any, k: int) -> None:
-        self.queue.append(Request(Op.DELETE_KNN, self.resolve(index).index_id, self._rows(queries), k))
+        self.queue.append(Request(Op.DELETE_KNN, self.resolve(index).index_id, *self._rows(queries), k))
 
     def add_search(self, index: int | str, queries: Any, k: int, request_id: str | None = None, nprobe: int | None = None) -> str:
         """Queues a search and gives its request id; nprobe, if given, is positive."""
         if nprobe is not None and nprobe <= 0:
             raise ValueError("nprobe must be positive")
         request_id = request_id or uuid.uuid4().hex
-        self.queue.append(Request(Op.SEARCH, self.resolve(index).index_id, self._rows(queries), k, nprobe, request_id))
+        self.queue.append(Request(Op.SEARCH, self.resolve(index).index_id, *self._rows(queries), k, nprobe, request_id))
         return request_id
 
     # -- run -------------------------------------------------------------------
@@ -219,15 +225,22 @@ class Engine:
     @staticmethod
     def _coalesced(queue: list[Request]) -> list[Request]:
         """Adjacent requests that can run together, as one, with rows in order."""
-        out: list[Request] = []
+        out: list[list[Request]] = []
         for r in queue:
-            if out and out[-1].joins(r) and out[-1].rows.schema["data"].dataType == r.rows.schema["data"].dataType:
-                last = out[-1]
-                shift = last.rows.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
-                out[-1] = Request(r.op, r.index_id, last.rows.unionByName(r.rows.withColumn("pos", F.col("pos") + shift)), r.k, r.nprobe, r.request_id)
+            if out and out[-1][-1].joins(r) and out[-1][-1].rows.schema["data"].dataType == r.rows.schema["data"].dataType:
+                out[-1].append(r)
             else:
-                out.append(r)
-        return out
+                out.append([r])
+        return [Engine._one(rs) for rs in out]
+
+    @staticmethod
+    def _one(requests: list[Request]) -> Request:
+        """Several requests as one; rows of each come after those of the one before."""
+        first, rows, past = requests[0], requests[0].rows, requests[0].size
+        for r in requests[1:]:
+            rows = rows.unionByName(r.rows.withColumn("pos", F.col("pos") + past))
+            past += r.size
+        return Request(first.op, first.index_id, rows, past, first.k, first.nprobe, first.request_id)
 
     def _encoded(self, queue: list[Request]) -> list[tuple[Request, DataFrame, int]]:
         """Requests with their rows (pos, id, data, metadata, vector), all encoded in one pass for each kind of payload, and how many they are."""
@@ -334,7 +347,7 @@ class Engine:
 
     def _cut(self, df: DataFrame) -> DataFrame:
         """Writes rows to the session's shared folder and reads them from there."""
-        out = tables.cut(df)
+        out = tables.cut_parts(df, "cluster_id") if "cluster_id" in df.columns else tables.cut(df)
         self.written.append(out)
         return out
 

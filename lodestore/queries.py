@@ -1,7 +1,7 @@
 """The engine's queries over the test tables, and their SQL where there is one.
 
-vec_id stands for the external id, rows below 20 are queries, rows below 16 fixed
-centroids; scores are rounded to 6 places for comparison.
+vec_id stands for the external id, rows whose id is divisible by 100 are queries, rows
+below 16 fixed centroids; scores are rounded to 6 places for comparison.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tables
 from .functions import keys, metrics, text
 from .operators import memories, mutate, search, stats, topology
 from .tables import new_path
@@ -46,7 +47,12 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(rows: DataFrame) -> DataFrame:
-    return rows.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+    return rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def asking(items: DataFrame) -> DataFrame:
+    """The same queries for the engine: items (id, data), with their place."""
+    return items.where("id % 100 = 0").select((F.col("id") / 100).cast("long").alias("pos"), "data")
 
 
 def fixed_centroids(rows: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ L2 = "(-list_distance(v.e, q.e))"
 
 
 def knn_sql(base: str, score: str, k: int = 10, where: str = "true") -> str:
-    return f"""{base}, s AS (SELECT q.id AS query_id, v.id, {score} AS score FROM v, v q WHERE q.id < 20 AND {where}),
+    return f"""{base}, s AS (SELECT q.id AS query_id, v.id, {score} AS score FROM v, v q WHERE q.id % 100 = 0 AND {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
     SELECT query_id, rank::INT AS rank, id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= {k}"""
 
@@ -97,7 +103,7 @@ def knn_l2_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.search_expr(rows, asked(rows), 10, "l2"))
 
 
-@query(f"""{W}, s AS (SELECT q.id AS query_id, v.id, power(list_distance(v.e, q.e), 2) AS d FROM v, v q WHERE q.id < 20),
+@query(f"""{W}, s AS (SELECT q.id AS query_id, v.id, power(list_distance(v.e, q.e), 2) AS d FROM v, v q WHERE q.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, id, round(d, 4) AS distance FROM r WHERE rank <= 10""")
 def knn_unified_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +122,15 @@ def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.assign(rows, fixed_centroids(rows), "l2").select("id", "cluster_id")
 
 
-@query(f"""{V}, {ASSIGN}, n AS (SELECT q.id AS query_id, c.id AS cluster_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.e, c.e), 9), c.id) AS rn FROM v q, v c WHERE q.id < 20 AND c.id < 16),
+@query(f"""{V}, {ASSIGN}, n AS (SELECT q.id AS query_id, c.id AS cluster_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.e, c.e), 9), c.id) AS rn FROM v q, v c WHERE q.id % 100 = 0 AND c.id < 16),
 s AS (SELECT n.query_id, p.id, list_inner_product(p.e, q.e) AS score FROM n JOIN p ON p.cluster_id = n.cluster_id JOIN v q ON q.id = n.query_id WHERE n.rn <= 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10""")
 def ivf_search_nprobe4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     table_ = fixed_centroids(rows)
-    probes = search.probe(asked(rows), table_, 4, "l2")
-    return rounded(search.search(search.assign(rows, table_, "l2"), asked(rows), 10, "ip", probes))
+    placed = tables.cut_parts(search.assign(rows, table_, "l2"), "cluster_id")
+    return rounded(search.search(placed, asked(rows), 10, "ip", search.probe(asked(rows), table_, 4, "l2")))
 
 
 @query(knn_sql(V, IP))
@@ -134,24 +140,24 @@ def ivf_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.search_probes(search.assign(rows, table_, "ip"), table_, asked(rows), 10, 16, "ip"))
 
 
-@query(f"""{V}, {ASSIGN}, s AS (SELECT q.id AS query_id, p.id, -list_distance(p.e, q.e) AS score FROM p, v q WHERE q.id < 20 AND p.cluster_id IN (0, 3, 7)),
+@query(f"""{V}, {ASSIGN}, s AS (SELECT q.id AS query_id, p.id, -list_distance(p.e, q.e) AS score FROM p, v q WHERE q.id % 100 = 0 AND p.cluster_id IN (0, 3, 7)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 5""")
 def search_on_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    placed = search.assign(rows, fixed_centroids(rows), "l2")
+    placed = tables.cut_parts(search.assign(rows, fixed_centroids(rows), "l2"), "cluster_id")
     return rounded(search.search_on(placed, asked(rows), [0, 3, 7], 5, "l2"))
 
 
-@query(knn_sql(V, IP, 10, "(v.id % 2 = 0 OR v.id % 3 = 0)"))
+@query(knn_sql(V, IP))
 def level_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     q = asked(rows)
-    levels = [search.search(rows.where("id % 2 = 0"), q, 10, "ip"), search.search(rows.where("id % 2 <> 0 and id % 3 = 0"), q, 10, "ip")]
+    levels = [search.search(rows.where("id % 2 = 0"), q, 10, "ip"), search.search(rows.where("id % 2 <> 0"), q, 10, "ip")]
     return rounded(search.merge(levels, 10))
 
 
-@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, v.id % 2 = 0 AS fresh, list_distance(v.e, q.e) AS d FROM v, v q WHERE q.id < 20),
+@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, v.id % 2 = 0 AS fresh, list_distance(v.e, q.e) AS d FROM v, v q WHERE q.id % 100 = 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rn FROM s WHERE fresh),
 stop AS (SELECT query_id FROM n WHERE rn <= 5 GROUP BY query_id HAVING max(d * d) <= 1.45),
 pool AS (SELECT s.* FROM s WHERE fresh OR query_id NOT IN (SELECT query_id FROM stop)),
@@ -162,7 +168,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.search_levels(rows.where("id % 2 = 0"), rows.where("id % 2 <> 0"), asked(rows), 5, 1.45, "l2"))
 
 
-@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id < 20),
+@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT r.query_id, r.rank::INT AS rank, r.id, d.text AS data, d.lang FROM r LEFT JOIN documents d ON d.doc_id = r.id WHERE rank <= 5""")
 def hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +187,7 @@ def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.delete(rows, rows.where("label = 3").select("id"), "id").select("id", "label")
 
 
-@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id < 20),
+@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT id, label FROM v WHERE id NOT IN (SELECT id FROM r WHERE rank <= 3)""")
 def delete_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +196,13 @@ def delete_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPS = """WITH ops AS (SELECT vec_id AS id, label, 0 AS seq FROM embeddings WHERE vec_id % 2 = 0
-UNION ALL SELECT vec_id % 50, label + 100, vec_id + 1 FROM embeddings WHERE vec_id % 3 = 0)"""
+UNION ALL SELECT CASE WHEN vec_id % 3 = 0 THEN vec_id % 50 ELSE vec_id END, label + 100, vec_id + 1 FROM embeddings)"""
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = vectors(spark, sf_dir).select("id", "label")
-    batch = rows.where("id % 3 = 0").select((F.col("id") % 50).alias("id"), (F.col("label") + 100).alias("label"), (F.col("id") + 1).alias("seq"))
+    to = F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(F.col("id"))
+    batch = rows.select(to.alias("id"), (F.col("label") + 100).alias("label"), (F.col("id") + 1).alias("seq"))
     return rows.where("id % 2 = 0"), mutate.latest(batch, "id", "seq").drop("seq")
 
 
@@ -218,10 +225,10 @@ def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(n.doc_id, d.doc_id) AS doc_id, coalesce(n.text, d.text) AS data FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d
-FULL JOIN (SELECT doc_id, nullif(left(text, 20), '') AS text FROM documents WHERE doc_id % 3 = 0) n ON d.doc_id = n.doc_id""")
+FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text || '!' END AS text FROM documents WHERE doc_id % 2 = 1 OR doc_id % 5 > 0) n ON d.doc_id = n.doc_id""")
 def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("data"), F.lit(None).cast("map<string,string>").alias("metadata"))
-    batch = docs.where("doc_id % 3 = 0").withColumn("data", F.nullif(F.left("data", F.lit(20)), F.lit("")))
+    batch = docs.where("doc_id % 2 = 1 or doc_id % 5 > 0").withColumn("data", F.when(F.col("doc_id") % 3 != 0, F.concat("data", F.lit("!"))))
     return mutate.record(docs.where("doc_id % 2 = 0"), batch).select("doc_id", "data")
 
 
@@ -252,7 +259,7 @@ def compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 of trained clusters, by number of probes, over every hundredth row as a query."""
     rows = vectors(spark, sf_dir)
-    q = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    q = asked(rows)
     table_ = topology.train(rows, "l2", max(1, rows.count() // 16))
     placed = search.assign(rows, table_, "l2")
     true = search.search(rows, q, 10, "l2").select("query_id", "id")
@@ -436,9 +443,9 @@ def auto_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the engine ----------------------------------------------------------------
 
 
-@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id < 20 AND v.id % 10 <> 0),
+@query(f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id % 100 = 0 AND v.id % 10 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM s)
-SELECT query_id::INT AS query_idx, rank::INT AS rank, id::VARCHAR AS ext_id, round(score, 5) + 0.0 AS score FROM r WHERE rank <= 5""")
+SELECT (query_id // 100)::INT AS query_idx, rank::INT AS rank, id::VARCHAR AS ext_id, round(score, 5) + 0.0 AS score FROM r WHERE rank <= 5""")
 def engine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert all, delete every tenth, search: through the queue, with vectors as payloads."""
     from .encoders import PassthroughEncoder
@@ -450,6 +457,5 @@ def engine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = engine.create_index("all", "ip")
     engine.add_insert(index, items)
     engine.add_delete_ids(index, items.where("id % 10 = 0").select("id"))
-    queries = [list(map(float, r["data"])) for r in items.where("id < 20").orderBy("id").collect()]
-    engine.add_search(index, queries, 5)
+    engine.add_search(index, asking(items), 5)
     return engine.run().hits.select("query_idx", "rank", "ext_id", F.round("score", 5).alias("score"))

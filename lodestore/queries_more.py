@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, metrics, text
 from .operators import memories, mutate, search, stats, topology
-from .queries import COSINE, FIRST, IP, L2, ORACLE, PAIRS, QUERIES, V, W, _conversations, asked, fixed_centroids, query, scaled, table, vectors
+from .queries import COSINE, FIRST, IP, L2, ORACLE, PAIRS, QUERIES, V, W, _conversations, asked, asking, fixed_centroids, query, scaled, table, vectors
 from .tables import new_path
 from .types import VECTORS, Op
 
@@ -111,14 +111,14 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id", far("cosine", 6), far("ip", 5), far("l2", 4))
 
 
-@query(f"""{W}, s AS (SELECT q.id AS query_id, v.id, {L2} AS score FROM v, v q WHERE q.id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+@query(f"""{W}, s AS (SELECT q.id AS query_id, v.id, {L2} AS score FROM v, v q WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, round(max(score * score), 4) AS kth FROM r WHERE rank <= 10 GROUP BY query_id""")
 def kth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(spark, sf_dir)
     return search.kth_distance(search.search(rows, asked(rows), 10, "l2")).select("query_id", F.round("kth", 4).alias("kth"))
 
 
-@query(f"""{W}, s AS (SELECT q.id AS query_id, v.id, {COSINE} AS score FROM v, v q WHERE q.id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+@query(f"""{W}, s AS (SELECT q.id AS query_id, v.id, {COSINE} AS score FROM v, v q WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, string_agg(id, ',' ORDER BY rank) AS ids FROM r WHERE rank <= 5 GROUP BY query_id""")
 def nested_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(spark, sf_dir)
@@ -132,7 +132,7 @@ def payload_in_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_payload(rows).select("id", F.col("metadata")["tag"].alias("tag"), F.col("metadata")["_data"].alias("data"))
 
 
-@query(f"{V}, d AS (SELECT v.id, c.id AS cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY round(-list_inner_product(v.e, c.e), 9), c.id) AS rn FROM v, v c WHERE v.id < 20 AND c.id < 16) SELECT id AS query_id, cluster_id::INT AS cluster_id FROM d WHERE rn <= 3")
+@query(f"{V}, d AS (SELECT v.id, c.id AS cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY round(-list_inner_product(v.e, c.e), 9), c.id) AS rn FROM v, v c WHERE v.id % 100 = 0 AND c.id < 16) SELECT id AS query_id, cluster_id::INT AS cluster_id FROM d WHERE rn <= 3")
 def probe_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return search.probe(asked(rows), fixed_centroids(rows), 3, "ip")
@@ -260,12 +260,12 @@ def _engine_hits(spark: SparkSession, sf_dir: str, strategy: str, **options: flo
     index = e.create_index("i", "ip", **options)
     e.add_insert(index, items.where("id % 2 = 0"))
     e.add_insert(index, items.where("id % 2 = 1"))
-    e.add_search(index, [list(map(float, r["data"])) for r in items.where("id < 20").orderBy("id").collect()], 5)
+    e.add_search(index, asking(items), 5)
     return e.run().hits.select("query_idx", "rank", "ext_id", F.round("score", 5).alias("score"))
 
 
-HITS_SQL = f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM s)
-SELECT query_id::INT AS query_idx, rank::INT AS rank, id::VARCHAR AS ext_id, round(score, 5) + 0.0 AS score FROM r WHERE rank <= 5"""
+HITS_SQL = f"""{V}, s AS (SELECT q.id AS query_id, v.id, {IP} AS score FROM v, v q WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM s)
+SELECT (query_id // 100)::INT AS query_idx, rank::INT AS rank, id::VARCHAR AS ext_id, round(score, 5) + 0.0 AS score FROM r WHERE rank <= 5"""
 
 
 @query(HITS_SQL)

@@ -14,6 +14,9 @@ from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PARTS, PART = 1024, "__part"
 
 _made: dict[str, Any] = {}  # paths of tables, in the order they were made, with the settings of their file system
 _named: dict[str, tuple[SparkSession, str]] = {}  # paths of tables that the catalog knows by a name
@@ -63,6 +66,24 @@ def cut_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return out
 
 
+def cut_parts(df: DataFrame, column: str, parts: int = PARTS) -> DataFrame:
+    """cut() in directories by a number modulo `parts` (PART), sorted by it inside; in_parts() reads some numbers' files only."""
+    path = new_path(df.sparkSession)
+    dealt = df.drop(PART).withColumn(PART, F.pmod(F.coalesce(column, F.lit(0)), F.lit(parts)).cast("int"))
+    # large parts are dealt to several tasks
+    dealt = dealt.repartition(PART, F.pmod(F.xxhash64(*(c for c in dealt.columns if not dealt.schema[c].dataType.simpleString().startswith("map"))), F.lit(8)))
+    dealt.sortWithinPartitions(PART, column).write.partitionBy(PART).option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    out._lodestore_path = path
+    return out
+
+
+def in_parts(df: DataFrame, column: str, numbers: list[int], parts: int = PARTS) -> DataFrame:
+    """Rows whose column is one of some numbers."""
+    some = df.where(F.col(column).isin(numbers))
+    return some.where(F.col(PART).isin(sorted({n % parts for n in numbers}))) if PART in df.columns else some
+
+
 def path_of(df: DataFrame | None) -> str | None:
     """Where the table of a result of cut() is."""
     return getattr(df, "_lodestore_path", None)
