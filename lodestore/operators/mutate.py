@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from .stats import numbered
 
 
+def _one(rows: DataFrame, key: str, pick, order: tuple[str, ...]) -> DataFrame:
+    """A row of each key, by one aggregation, of which each task sends one row for a key at most."""
+    kept = rows.groupBy(key).agg(pick(F.struct(*(f"`{c}`" for c in rows.columns if c != key)), F.struct(*order)).alias("__row"))
+    return kept.select(*(F.col(key) if c == key else F.col(f"__row.`{c}`").alias(c) for c in rows.columns))
+
+
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key, by the given columns."""
-    by = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return rows.withColumn("__rn", F.row_number().over(by)).where("__rn = 1").drop("__rn")
+    """The last row of each key, by the given columns; nulls come first."""
+    return _one(rows, key, F.max_by, order)
 
 
 def first(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key, by the given columns."""
-    by = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(by)).where("__rn = 1").drop("__rn")
+    """The first row of each key, by the given columns; nulls come first."""
+    return _one(rows, key, F.min_by, order)
 
 
 def upsert(rows: DataFrame, batch: DataFrame, key: str = "ext_id") -> DataFrame:

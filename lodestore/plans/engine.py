@@ -16,7 +16,7 @@ from ..encoders import Encoder
 from ..functions import keys
 from ..operators import mutate, search, topology
 from ..sources import docstore, dumps
-from ..types import CATALOG, CENTROIDS, DOCS, HITS, VECTORS, Metric, Op
+from ..types import CATALOG, DOCS, HITS, VECTORS, Metric, Op
 from .fold import fold
 
 STRATEGIES = ("exact", "ivf", "multilevel")
@@ -304,26 +304,16 @@ class Engine:
         return topology.place(rows, c.centroids, c.metric, level)
 
     def _grown(self, c: Collection, rows: DataFrame) -> DataFrame:
-        """New rows go to the fresh level, whose clusters grow with them, in order of their ids.
-
-        The order decides, so a batch of new rows is clustered in one place; it is as
-        large as the requests of one run.
-        """
-        old = rows.where("cluster_id is not null")
-        batch = rows.where("cluster_id is null").orderBy("ext_id").select("ext_id", "vector").collect()
-        if not batch:
-            return rows
+        """New rows go to the fresh level, whose clusters grow with them, in order of their ids."""
+        old, new = rows.where("cluster_id is not null"), rows.where("cluster_id is null")
         o = c.options
-        table = c.centroids.orderBy("cluster_id").collect()
-        live = {r["cluster_id"]: r["live"] for r in topology.cluster_sizes(old.where("level = 0")).collect()}
-        homes, moved, _ = topology.grow_online(
-            [np.array(r["centroid"], float) for r in table], [live.get(i, 0) for i in range(len(table))], np.array([r["vector"] for r in batch], float), c.metric,
+        placed, moved, _ = topology.grow(
+            new.drop("cluster_id", "level"), c.centroids, self._cut(topology.cluster_sizes(old.where("level = 0"))), "ext_id", c.metric,
             float(o.get("new_threshold", np.inf)), float(o.get("merge_threshold", np.inf)), int(o.get("max_clusters", 0)) or max(int(o.get("clusters", 1)), 1),
         )
-        c.centroids = self.spark.createDataFrame([(i, [float(x) for x in m]) for i, m in enumerate(moved)], CENTROIDS)
-        found = self.spark.createDataFrame([(r["ext_id"], int(h)) for r, h in zip(batch, homes, strict=True)], "ext_id string, cluster_id int")
-        new = rows.where("cluster_id is null").drop("cluster_id", "level").join(found, "ext_id").withColumn("level", F.lit(0))
-        return old.unionByName(new.select(*old.columns))
+        placed = self._cut(placed.withColumn("level", F.lit(0)).select(*old.columns))
+        c.centroids = self._cut(moved)
+        return old.unionByName(placed)
 
     def promote(self, handle: int | str) -> None:
         """An extension: the fresh level's rows become settled ones."""

@@ -7,7 +7,6 @@ below 16 fixed centroids; scores are rounded to 6 places for comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +14,7 @@ from pyspark.sql import functions as F
 from . import tables
 from .functions import keys, metrics, text
 from .operators import memories, mutate, search, stats, topology
-from .tables import new_path
-from .types import Metric
+from .types import CENTROIDS, Metric
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,21 +272,11 @@ def kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l0_online_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the fresh level that all vectors open and join, in micro-batches of 200 by id."""
-    path, centroids, live, homes = new_path(spark, "query"), [], [], []
-    schema = "id long, cluster_id int"
-    spark.createDataFrame([], schema).write.parquet(path)
-    rows = vectors(spark, sf_dir).orderBy("id").toLocalIterator()
-    while batch := list(islice(rows, 200)):
-        at, centroids, live = topology.grow_online(centroids, live, [r["vector"] for r in batch], "l2", 1.2, cap=32)
-        homes += [(r["id"], h) for r, h in zip(batch, at, strict=True)]
-        if len(homes) >= 100_000:  # the driver holds no more of them
-            spark.createDataFrame(homes, schema).write.mode("append").parquet(path)
-            homes = []
-    if homes:
-        spark.createDataFrame(homes, schema).write.mode("append").parquet(path)
-    counts = spark.createDataFrame(list(enumerate(live)), "cluster_id int, live int")
-    return spark.read.schema(schema).parquet(path).join(F.broadcast(counts), "cluster_id").select("id", "cluster_id", "live")
+    """Clusters of the fresh level that all vectors open and join, in order of their ids."""
+    rows = vectors(spark, sf_dir).select("id", "vector")
+    none, empty = spark.createDataFrame([], CENTROIDS), spark.createDataFrame([], "cluster_id int, live long")
+    placed, _, live = topology.grow(rows, none, empty, "id", "l2", 1.2, cap=32)
+    return placed.select("id", "cluster_id").join(F.broadcast(live), "cluster_id").select("id", "cluster_id", "live")
 
 
 # -- scalar functions, keys ------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,10 @@ def scan(spark: SparkSession, name: str, path: str, kind: str | None = None) ->
 
 def synthetic(spark: SparkSession, count: int, dim: int, seed: int = 123, prefix: str = "ins") -> DataFrame:
     """(ext_id, vector): so many standard normal vectors, the same for the same seed, with prefixed ids."""
-    entry = [F.randn(seed + i).cast("float") for i in range(dim)]
-    return with_ids(spark.range(count).select(F.col("id").alias("row"), F.array(*entry).alias("vector")), prefix, "row").select("ext_id", "vector")
+    share = lambda i, part: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i, F.lit(part)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # two hashed uniform numbers make a normal one, so rows are the same however they are dealt
+    entry = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.sqrt(-2 * F.log(share(i, "r"))) * F.cos(2 * math.pi * share(i, "a"))).cast("float"))
+    return with_ids(spark.range(count).select(F.col("id").alias("row"), "id", entry.alias("vector")), prefix, "row").select("ext_id", "vector")
 
 
 def with_ids(rows: DataFrame, prefix: str, number: str) -> DataFrame:
