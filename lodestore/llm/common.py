@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut, cut_by, drop, scratch
+from ..tables import cut, cut_by, drop  # noqa: F401  operators import them from here
 
 #: Java and RE2 pattern of the separators between words.
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -42,6 +43,17 @@ def replace(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
 
+def aside(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents for which input columns that begin with __ have other names, so none meets a name of its own."""
+
+    @wraps(work)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        names = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        return work(docs.withColumnsRenamed(names), *args, **named).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches whose texts are at most so many bytes long together, or of one row, whatever the session's batch size."""
     for b in batches:

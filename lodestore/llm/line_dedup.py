@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, replace
+from .common import WORD, aside, cut, replace
 
 MIN_SITES = 5
 SKETCH_BITS = 10  # 3 % standard error
@@ -52,6 +52,7 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.flatten(spans)
 
 
+@aside
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES, copies: DataFrame | None = None, most_share: float = MOST_SHARE) -> DataFrame:
     """Documents (doc_id, text, source, ...) without boilerplate lines; adds n_lines int and n_removed int, sets n_chars if there.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import components, cut, drop, grouped, sliced
+from .common import aside, components, cut, drop, grouped, sliced
 
 WORDS, PERCENT = 5, 80
 COORDINATES, MATCHES = 64, 38  # at similarity 0.8 fewer collisions have a chance of about 4e-5
@@ -255,6 +255,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"), "x", "y")
 
 
+@aside
 def dedup(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group: the one whose id is its component's, with the columns of the input.
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, replace
+from .common import WORD, aside, cut, replace
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -82,6 +82,7 @@ def _planned(docs: DataFrame, weights: Sequence[int], most: int, seed: int) -> D
     return out.withColumn("__copies", F.floor("__rate") + extra).drop("__draw")
 
 
+@aside
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """Adds size long, source_size long, target double, rate double and copies long to documents (doc_id, text, source, ...).
 
@@ -94,6 +95,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, se
     return replace(out, **{c: F.col(f"__{c}") for c in names}).drop(*(f"__{c}" for c in names))
 
 
+@aside
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """The mixed table: every document as often as its plan says, with the columns of the input."""
     out = _planned(docs, weights, most, seed).where("__copies > 0")

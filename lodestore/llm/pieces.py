@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cut, cuts, replace
+from .common import aside, cut, cuts, replace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
@@ -351,6 +351,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
 
 
+@aside
 def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """Adds ids array<int>, the best cutting of each text into pieces, to documents (doc_id, text, ...).
 

@@ -240,8 +240,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", most: i
     """Adds held_out boolean, score double and predicted int to documents (doc_id, text, ...).
 
     Learns from labels (doc_id, quality) of rows that aren't held out.  All rows
-    stay.  Null and empty texts score as empty text; equal texts score alike; a
-    null id is held out or not as empty text is.  Input columns with an output's
+    stay, repeated ones too, and score alike; very long texts and words are read
+    whole.  Null and empty texts score as empty text; equal texts score alike; a null id is held out or not as empty text is.  Input columns with an output's
     name give way; an empty table stays empty.
     """
     model = train(docs, labels, ~held_out(F.col("doc_id")), label, most)

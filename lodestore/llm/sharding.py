@@ -18,7 +18,7 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, replace
+from .common import aside, cut, replace
 
 SHARDS, NODES = 24, 128
 RANGES = 1 << 14  # of the ring, besides its arcs
@@ -83,6 +83,7 @@ def flow(counts: dict[int, int], owners: Sequence[int], shards: int) -> list[tup
     return pieces
 
 
+@aside
 def shard(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, crowded: int = CROWDED) -> DataFrame:
     """Adds size long, text_crc32 long, law string, shard int, slot long and grown_shard int to documents (doc_id, text, ...).
 
