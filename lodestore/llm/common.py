@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import cut, cut_by, drop  # noqa: F401  operators import them from here
@@ -43,6 +44,18 @@ def replace(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Jobs inside send texts to Python in batches of few rows, which take little memory; then the session is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def aside(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator on documents for which input columns that begin with __ have other names, so none meets a name of its own."""
 

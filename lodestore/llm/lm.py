@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cut, cut_by, grouped, id_crc, sliced, spread
+from .common import cut, cut_by, grouped, id_crc, sliced, small_batches, spread
 
 STRENGTHS = (300.0, 5.0)  # of states of one word and of two
 BLOCK = 1 << 21  # tokens in a block, at most
@@ -168,7 +168,8 @@ def _pack(docs: DataFrame, usable: Column, block: int) -> DataFrame:
     layout = StructType.fromDDL(out)
     rows = docs.select("doc_id", "text", usable.alias("train"))
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, 4 * rows.rdd.getNumPartitions())
-    return cut_by(rows.mapInArrow(pack, out), "block", buckets)
+    with small_batches(docs.sparkSession):
+        return cut_by(rows.mapInArrow(pack, out), "block", buckets)
 
 
 def _unpack(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], list]:

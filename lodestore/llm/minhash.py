@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import aside, components, cut, drop, grouped, sliced
+from .common import aside, components, cut, drop, grouped, sliced, small_batches
 
 WORDS, PERCENT = 5, 80
 COORDINATES, MATCHES = 64, 38  # at similarity 0.8 fewer collisions have a chance of about 4e-5
@@ -225,7 +225,8 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
 
 def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows of linked(), and hashes x and y of their texts."""
-    rows = cut(signed(docs, width))
+    with small_batches(docs.sparkSession):
+        rows = cut(signed(docs, width))
     known = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     posts = classes.select("id", F.explode("keys").alias("key"))
@@ -247,7 +248,8 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     drop(posts)
 
     first = confirm(best.where("pos = 0").select("src", "dst").join(close, ["src", "dst"], "left_semi"), docs, width, percent)
-    edges = cut(first)
+    with small_batches(docs.sparkSession):
+        edges = cut(first)
     parts = components(edges)
     parts = components(_as_edges(parts).unionAll(_confirmed(groups, parts, docs, width, percent)))
     placed = rows.join(classes.select("one", "two", F.col("id").alias("__class")), ["one", "two"], "left").join(parts, F.col("__class") == F.col("node"), "left")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cuts, id_crc, replace, sliced
+from .common import cuts, id_crc, replace, sliced, small_batches
 from .labels import sampled
 
 MOST_TRAIN = 10_000  # labelled rows of each class to learn from, about
@@ -211,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("doc_id"), *map(pa.array, x.T)], ["y", "doc_id", *FEATURES])
 
-    got = rows.select("y", "doc_id", "text").mapInArrow(measured, "y int, doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", "y"])
+    with small_batches(docs.sparkSession):
+        got = rows.select("y", "doc_id", "text").mapInArrow(measured, "y int, doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", "y"])
     y = got["y"].to_numpy()
     weight = np.ones(len(y))
     for k in (0, 1):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cuts, fold, id_crc, replace, sliced, words
+from .common import cuts, fold, id_crc, replace, sliced, small_batches, words
 from .labels import sampled
 
 MOST_TRAIN = 2_500  # labelled documents of each class to learn from, about
@@ -30,6 +30,7 @@ DISCOUNT, TOP_DISCOUNT = 0.75, 0.75
 FOLDS = 4
 LONGEST = 64  # bytes of a word that are counted at once; longer words in pieces
 STRONGEST = 3  # words of a document
+AT_ONCE = 50_000  # words whose n-grams the driver counts at once
 CACHED = 400_000  # words whose evidence a worker keeps
 PAD = 0x20
 
@@ -179,6 +180,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
+def _counted(table: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of some words (word, inner, open), in order, and their counts, a row for each of the columns."""
+    data, at = textnp.raw(table["word"])
+    every, first = grams(data, at[:-1], at[1:])
+    inner, open_ = (table[n].to_numpy() for n in ("inner", "open"))
+    lengths = np.diff(first) - (ORDER - 1) * inner - open_
+    every = np.delete(every, np.concatenate([(first[:-1][inner][:, None] + np.arange(ORDER - 1)).ravel(), first[1:][open_] - 1]))
+    keys, back = np.unique(every, return_inverse=True)
+    owner = np.repeat(np.arange(len(at) - 1), lengths)
+    return keys, np.stack([np.bincount(back, table[n].to_numpy()[owner], len(keys)).astype(np.int32) for n in names])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = MOST_TRAIN) -> Model:
     """Learns from about `most` usable labelled documents of each class at most.
 
@@ -198,15 +211,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     each = each.select("y", "fold", F.substring("whole", F.col("no") * step + 1, F.lit(LONGEST)).alias("word"), (F.col("no") > 0).alias("inner"), (F.col("no") + 1 < F.col("pieces")).alias("open"))
     names = [(k, f) for k in (0, 1) for f in range(FOLDS)]
     table = each.groupBy("word", "inner", "open").agg(*(F.count(F.when((F.col("y") == k) & (F.col("fold") == f), 1)).cast("int").alias(f"c{k}{f}") for k, f in names)).toArrow()
-    data, at = textnp.raw(table["word"])
-    every, first = grams(data, at[:-1], at[1:])
-    inner, open_ = (table[n].to_numpy() for n in ("inner", "open"))
-    lengths = np.diff(first) - (ORDER - 1) * inner - open_
-    every = np.delete(every, np.concatenate([(first[:-1][inner][:, None] + np.arange(ORDER - 1)).ravel(), first[1:][open_] - 1]))
-    keys, back = np.unique(every, return_inverse=True)
-    owner = np.repeat(np.arange(len(at) - 1), lengths)
-    counts = {(k, f): np.bincount(back, table[f"c{k}{f}"].to_numpy()[owner], len(keys)).astype(np.int32) for k, f in names}
-    del table, data, every, back, owner
+    keys, counts = np.zeros(0, np.uint64), np.zeros((len(names), 0), np.int32)
+    old = each = some = both = back = None
+    for lo in range(0, table.num_rows, AT_ONCE):
+        some, each = _counted(table.slice(lo, AT_ONCE), [f"c{k}{f}" for k, f in names])
+        both, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+        old, counts = counts, np.zeros((len(names), len(both)), np.int32)
+        counts[:, back[: len(keys)]] = old
+        counts[:, back[len(keys) :]] += each
+        keys = both
+    del table, old, each, some, both, back
+    counts = dict(zip(names, counts, strict=True))
     of = lambda k, without: sum(counts[k, f] for f in range(FOLDS) if f != without)
     cache = uuid.uuid4().hex
     folds = sc.broadcast([learn(keys, of(1, f), of(0, f)) for f in range(FOLDS)])
@@ -219,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
                     x = measures(part.column("text"), folds.value[f], f"{cache}/{f}")
                     yield pa.RecordBatch.from_arrays([part.column("y"), part.column("doc_id"), *map(pa.array, x.T)], ["y", "doc_id", *(f"x{i}" for i in range(x.shape[1]))])
 
-    got = rows.select("y", "doc_id", "fold", "text").mapInArrow(measured, "y int, doc_id long, " + ", ".join(f"x{i} double" for i in range(STRONGEST + 1))).toPandas().sort_values(["doc_id", "y"])
+    with small_batches(docs.sparkSession):
+        got = rows.select("y", "doc_id", "fold", "text").mapInArrow(measured, "y int, doc_id long, " + ", ".join(f"x{i} double" for i in range(STRONGEST + 1))).toPandas().sort_values(["doc_id", "y"])
+    folds.destroy()
     y = got["y"].to_numpy()
     weight = np.ones(len(y))
     for k in (0, 1):
@@ -236,6 +253,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         x = design(np.concatenate([np.zeros((0, STRONGEST + 1)), *(measures(text[a:b], held.value.evidence, cache) for a, b in cuts(text))]))
+        pa.default_memory_pool().release_unused()
         return pa.array(1 / (1 + np.exp(-np.clip(x @ held.value.weights, -30, 30))), pa.float64())
 
     out = replace(docs, score=scored(F.col("text")))
