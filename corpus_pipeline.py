@@ -42,9 +42,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     most of their words would go.  A null source is a site of its own; rows equal in
     id and text lose the same lines; rows without an id have no copies.
     """
-    groups = cut(minhash.linked(docs).where("doc_id is not null").select("doc_id", "component_id").distinct())
-    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-    return _as(line_dedup.dedup(docs, copies=groups.join(several, "component_id", "left_semi")), docs)
+    # a group of several has members beside its smallest; so none is counted by its component, in one task
+    others = minhash.linked(docs).where("doc_id <> component_id")
+    copies = cut(others.select(F.explode(F.array("doc_id", "component_id")).alias("doc_id")).distinct())
+    return _as(line_dedup.dedup(docs, copies=copies), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
