@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -56,6 +57,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Gives memory that is no longer in use back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def aside(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator on documents for which input columns that begin with __ have other names, so none meets a name of its own."""
 

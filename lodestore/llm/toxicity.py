@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import cuts, fold, id_crc, replace, sliced, small_batches, words
+from .common import cuts, fold, give_back, id_crc, replace, sliced, small_batches, words
 from .labels import sampled
 
 MOST_TRAIN = 2_500  # labelled documents of each class to learn from, about
@@ -242,7 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     for k in (0, 1):
         weight[y == k] = max(1.0, sizes.get(k, 0) / max(1, (y == k).sum()))
     x = design(got[[f"x{i}" for i in range(STRONGEST + 1)]].to_numpy(float))
-    return Model(learn(keys, of(1, None), of(0, None)), logistic(x, y, weight / weight.mean() if len(y) else weight))
+    model = Model(learn(keys, of(1, None), of(0, None)), logistic(x, y, weight / weight.mean() if len(y) else weight))
+    del keys, counts, got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
