@@ -264,15 +264,16 @@ def kth_distance(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.max("distance").alias("kth"))
 
 
-def search_levels(fresh: DataFrame, settled: DataFrame, queries: DataFrame, k: int, threshold: float, metric: Metric | str = Metric.L2) -> DataFrame:
+def search_levels(fresh: DataFrame, settled: DataFrame, queries: DataFrame, k: int, threshold: float, metric: Metric | str = Metric.L2, centroids: DataFrame | None = None, nprobe: int = ALL) -> DataFrame:
     """Searches the fresh level; queries whose k-th hit there is farther than threshold, or without hits, search the settled one too.
 
-    Only the queries that need the settled level travel to it.
+    Only the queries that need the settled level travel to it, with a routing table of
+    its own to their nprobe nearest clusters there.
     """
     near = search(fresh, queries, k, metric)
     kth = kth_distance(near)
     short = queries.join(kth, "query_id", "left").where(F.coalesce(F.col("kth") > threshold, F.lit(True))).select(*queries.columns)
-    far = search(settled, short, k, metric)
+    far = search(settled, short, k, metric) if centroids is None else search_probes(settled, centroids, short, k, nprobe, metric)
     return merge([near, far], k)
 
 

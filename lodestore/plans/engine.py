@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -18,8 +19,9 @@ from ..operators import mutate, search, topology
 from ..sources import docstore, dumps
 from ..types import CATALOG, DOCS, HITS, VECTORS, Metric, Op
 from .fold import fold
+from .strategies import STRATEGIES
 
-STRATEGIES = ("exact", "ivf", "multilevel")
+LEVELS = (0, 1, 2)
 NPROBE = 32
 LOG = "seq long, pos int, op string, ext_id string, vector array<float>, metadata map<string,string>, payload string"
 
@@ -34,6 +36,7 @@ class Collection:
     options: dict[str, Any]
     rows: DataFrame
     centroids: DataFrame | None = None
+    levels: dict[int, DataFrame] = field(default_factory=dict)  # routing tables of the levels above the fresh one
     loaded: DataFrame | None = None
     next_auto: int = 1
 
@@ -85,6 +88,8 @@ class Engine:
     def __init__(self, spark: SparkSession, encoder: Encoder, strategy: str = "exact", nprobe: int = NPROBE, hash_mode: str = "none", hash_prefix: str = "", auto_id: str = "sequential", insert_if_absent: bool = False) -> None:
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy: {strategy}")
+        if encoder.dim <= 0:
+            raise ValueError(f"vectors need a positive dimension: {encoder.dim}")
         if hash_mode not in keys.MODES:
             raise ValueError(f"unknown hash mode: {hash_mode}")
         if auto_id not in ("sequential", "uuid"):
@@ -105,7 +110,7 @@ class Engine:
         index_id = len(self.collections)
         empty = self.spark.createDataFrame([], VECTORS)
         made = Collection(index_id, str(name), Metric.parse(metric), self.encoder.dim, self.strategy, options, empty)
-        if self.strategy != "exact":
+        if STRATEGIES[self.strategy].placed:
             made.centroids = topology.zero_centroids(self.spark, 1, made.dim)
             made.rows = empty.withColumns({"cluster_id": F.lit(None).cast("int"), "level": F.lit(None).cast("int")})
         self.collections[index_id], self.names[str(name)] = made, index_id
@@ -127,8 +132,29 @@ class Engine:
     def set_centroids(self, handle: int | str, centroids: DataFrame) -> None:
         """Gives a collection a routing table (cluster_id, centroid); its rows are placed by it."""
         c = self.resolve(handle)
+        self._fits(c, centroids)
         c.centroids = centroids
-        c.rows = self._cut(self._placed(c, c.rows.drop("cluster_id", "level"), 2))
+        c.rows = self._cut(topology.place(c.rows.drop("cluster_id", "level"), c.centroids, c.metric, 2))
+
+    def set_level_centroids(self, handle: int | str, level: int, centroids: DataFrame) -> None:
+        """Gives one level of a collection its routing table; the level's rows are placed by it.  An empty table changes nothing."""
+        c = self.resolve(handle)
+        if c.strategy != "multilevel" or level not in LEVELS:
+            raise ValueError(f"no level {level} in collection {c.name}")
+        if centroids.isEmpty():
+            return
+        self._fits(c, centroids)
+        if level == 0:
+            c.centroids = centroids
+        else:
+            c.levels[level] = centroids
+        mine = topology.place(c.rows.where(F.col("level") == level).drop("cluster_id", "level"), centroids, c.metric, level)
+        c.rows = self._cut(c.rows.where(F.col("level") != level).unionByName(mine.select(*c.rows.columns)))
+
+    @staticmethod
+    def _fits(c: Collection, centroids: DataFrame) -> None:
+        if not centroids.where(F.coalesce(F.size("centroid"), F.lit(-1)) != c.dim).isEmpty():
+            raise ValueError(f"centroids of collection {c.name} must have {c.dim} components")
 
     def train(self, handle: int | str, rows_per_cluster: int = topology.ROWS_PER_CLUSTER) -> None:
         """Learns a routing table from a collection's rows."""
@@ -170,6 +196,15 @@ class Engine:
             return [float(x) for x in data]
         return json.dumps(data, sort_keys=True, ensure_ascii=False) if isinstance(data, (dict, list)) else None if data is None else str(data)
 
+    def add(self, kind: str, index: int | str, items: Any, **named: Any) -> Any:
+        """Queues a request of a kind by name; one that isn't known is skipped, with a warning."""
+        known = {"insert": self.add_insert, "update": self.add_update, "delete_ids": self.add_delete_ids, "delete_knn": self.add_delete_knn, "search": self.add_search}
+        kind = kind.value if isinstance(kind, Op) else kind
+        if kind not in known:
+            warnings.warn(f"skipped a request of unknown kind {kind}", stacklevel=2)
+            return None
+        return known[kind](index, items, **named)
+
     def add_insert(self, index: int | str, items: Any) -> None:
         self.queue.append(Request(Op.INSERT, self.resolve(index).index_id, *self._rows(items)))
 
@@ -288,11 +323,7 @@ class Engine:
         for x in logs[1:]:
             log = log.unionByName(x)
         rows = fold(c.rows, log, self.insert_if_absent)
-        if c.strategy == "ivf":
-            old, new = rows.where("cluster_id is not null"), rows.where("cluster_id is null").drop("cluster_id", "level")
-            rows = old.unionByName(self._placed(c, new, 2).select(*old.columns))
-        elif c.strategy == "multilevel":
-            rows = self._grown(c, self._cut(rows))
+        rows = STRATEGIES[c.strategy].settle(self, c, rows)
         c.rows = self._cut(rows)
         if c.loaded is not None:
             last = log.groupBy("ext_id").agg(F.max_by("op", F.struct("seq", "pos")).alias("op")).where(F.col("op") == Op.DELETE_IDS.value)
@@ -300,36 +331,18 @@ class Engine:
         for hook in self.hooks:
             hook(c, log)
 
-    def _placed(self, c: Collection, rows: DataFrame, level: int) -> DataFrame:
-        return topology.place(rows, c.centroids, c.metric, level)
-
-    def _grown(self, c: Collection, rows: DataFrame) -> DataFrame:
-        """New rows go to the fresh level, whose clusters grow with them, in order of their ids."""
-        old, new = rows.where("cluster_id is not null"), rows.where("cluster_id is null")
-        o = c.options
-        placed, moved, _ = topology.grow(
-            new.drop("cluster_id", "level"), c.centroids, self._cut(topology.cluster_sizes(old.where("level = 0"))), "ext_id", c.metric,
-            float(o.get("new_threshold", np.inf)), float(o.get("merge_threshold", np.inf)), int(o.get("max_clusters", 0)) or max(int(o.get("clusters", 1)), 1),
-        )
-        placed = self._cut(placed.withColumn("level", F.lit(0)).select(*old.columns))
-        c.centroids = self._cut(moved)
-        return old.unionByName(placed)
-
     def promote(self, handle: int | str) -> None:
         """An extension: the fresh level's rows become settled ones."""
         c = self.resolve(handle)
-        c.rows = self._cut(c.rows.withColumn("level", F.lit(2)))
+        rows = c.rows.withColumn("level", F.lit(2))
+        if 2 in c.levels:
+            rows = topology.place(rows.drop("cluster_id", "level"), c.levels[2], c.metric, 2).select(*c.rows.columns)
+        c.rows = self._cut(rows)
 
     def _hits(self, c: Collection, request: Request, queries: DataFrame) -> DataFrame:
         """HITS rows of one search."""
         rows = c.rows.withColumnRenamed("ext_id", "id")
-        nprobe = request.nprobe or self.nprobe
-        if c.strategy == "exact":
-            found = search.search(rows, queries, request.k, c.metric)
-        elif c.strategy == "ivf":
-            found = search.search_probes(rows, c.centroids, queries, request.k, nprobe, c.metric)
-        else:
-            found = search.search_levels(rows.where("level = 0"), rows.where("level = 2"), queries, request.k, float(c.options.get("search_threshold", -np.inf)), c.metric)
+        found = STRATEGIES[c.strategy].search(c, rows, queries, request.k, request.nprobe or self.nprobe)
         if "distance" not in found.columns:
             found = found.withColumn("distance", F.lit(None).cast("double"))
         named = search.with_payload(found.join(rows.select("id", "metadata", "payload"), "id"))
@@ -343,7 +356,7 @@ class Engine:
 
     def _forget(self) -> None:
         """Deletes the written tables that no collection and no result holds any more."""
-        used = {tables.path_of(t) for c in self.collections.values() for t in (c.rows, c.loaded, c.centroids)} | {tables.path_of(t) for t in self.results}
+        used = {tables.path_of(t) for c in self.collections.values() for t in (c.rows, c.loaded, c.centroids, *c.levels.values())} | {tables.path_of(t) for t in self.results}
         gone = [t for t in self.written if tables.path_of(t) not in used]
         tables.drop(*gone)
         self.written = [t for t in self.written if tables.path_of(t) in used]
@@ -383,7 +396,7 @@ class Engine:
         c.metric, c.dim = d.metric, d.dim
         have = set(d.vectors.columns)
         rows = d.vectors.select("ext_id", "vector", *(F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (("metadata", "map<string,string>"), ("payload", "string"))), "cluster_id")
-        if c.strategy == "exact":
+        if not STRATEGIES[c.strategy].placed:
             c.rows = self._cut(rows.drop("cluster_id"))
         else:
             c.centroids, c.rows = d.centroids, self._cut(rows.withColumn("level", F.lit(2)))
