@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..encoders import Encoder
 from ..functions import keys
-from ..operators import mutate, search, topology
+from ..operators import mutate, search, stats, topology
 from ..sources import docstore, dumps
 from ..types import CATALOG, DOCS, HITS, VECTORS, Metric, Op
 from .fold import fold
@@ -219,9 +219,14 @@ class Engine:
         self.queue.append(Request(Op.DELETE_KNN, self.resolve(index).index_id, *self._rows(queries), k))
 
     def add_search(self, index: int | str, queries: Any, k: int, request_id: str | None = None, nprobe: int | None = None) -> str:
-        """Queues a search and gives its request id; nprobe, if given, is positive."""
+        """Queues a search and gives its request id; nprobe, if given, is positive.
+
+        Queries of a DataFrame without pos are numbered without gaps.
+        """
         if nprobe is not None and nprobe <= 0:
             raise ValueError("nprobe must be positive")
+        if isinstance(queries, DataFrame) and "pos" not in queries.columns:
+            queries = stats.numbered(self._cut(queries.withColumn("__at", F.monotonically_increasing_id())), "__at").withColumnRenamed("row", "pos")
         request_id = request_id or uuid.uuid4().hex
         self.queue.append(Request(Op.SEARCH, self.resolve(index).index_id, *self._rows(queries), k, nprobe, request_id))
         return request_id

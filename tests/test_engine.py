@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestore.encoders import HashingEncoder, PassthroughEncoder, TransformerEncoder
 from lodestore.operators import mutate
+from lodestore.plans import strategies
 from lodestore.plans.engine import Engine
 from lodestore.plans.fold import fold
 from lodestore.sources import docstore, dumps
 from lodestore.streaming.ingest import LOG, Ingest, Pace
-from lodestore.types import VECTORS
+from lodestore.streaming.maintenance import Maintenance
+from lodestore.types import CENTROIDS, VECTORS
 
 
 def vec(x):
@@ -235,3 +237,89 @@ def test_pace():
     for _ in range(4):
         p.wait()
     assert time.monotonic() - t > 0.05
+
+
+def test_offers_to_a_full_queue(spark, tmp_path):
+    one = lambda key, at: spark.createDataFrame(log_rows([("insert", key, at)], at), LOG)
+    s = Ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), capacity=2, block=False)
+    assert s.offer(one("a", 0)) and s.offer(one("b", 1)) and not s.offer(one("c", 2)) and s.waiting() == 2
+    s.flush()
+    assert s.waiting() == 0 and s.offer(one("c", 3))
+    s.stop()
+    assert not s.offer(one("d", 4))
+    s.flush()
+    assert s.offer(one("d", 5))
+    t = Ingest(spark, str(tmp_path / "in2"), str(tmp_path / "out2"), capacity=1)
+    assert all(t.offer(one(key, at)) for at, key in enumerate("abc")) and t.waiting() == 1
+    assert set(state(t.snapshot())) == {"a", "b"}
+
+
+def test_routed_stream_and_maintenance(spark, tmp_path):
+    table = spark.createDataFrame([(0, [0.0, 1.0]), (1, [100.0, 1.0])], CENTROIDS)
+    s = Ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), centroids=table)
+    homes = lambda: {r["ext_id"]: r["cluster_id"] for r in s.snapshot().collect()}
+    s.offer(spark.createDataFrame(log_rows([("insert", "a", 3), ("insert", "b", 90), ("insert", "c", 1)]), LOG))
+    s.flush()
+    assert homes() == {"a": 0, "b": 1, "c": 0}
+    s.offer(spark.createDataFrame(log_rows([("update", "a", 99), ("delete_ids", "c", None), ("update", "x", 1)], 10), LOG))
+    s.flush()
+    assert homes() == {"a": 1, "b": 1}
+    quiet = Ingest(spark, str(tmp_path / "in3"), str(tmp_path / "out3"))
+    m = Maintenance({"leveled": [s, quiet], "one": quiet}, period=0.1)
+    assert m.once() == {"leveled": 1, "one": 0} and homes() == {"a": 1, "b": 1}
+    m.start()
+    m.stop()
+    m.collections = {"broken": None}
+    m.start()
+    m._thread.join(10)
+    with pytest.raises(TypeError):
+        m.stop()
+
+
+def test_strategy_of_ones_own(spark):
+    class First(strategies.Strategy):
+        def search(self, c, rows, queries, k, nprobe):
+            return queries.crossJoin(rows.groupBy().agg(F.min("id").alias("id"))).select("query_id", F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
+
+    strategies.register("first", First())
+    try:
+        e = Engine(spark, PassthroughEncoder(2, normalize=False), "first")
+        index = e.create_index("f", "l2")
+        e.add("insert", index, [("b", vec(1)), ("a", vec(2))])
+        with pytest.warns(UserWarning):
+            e.add("rename", index, [])
+        e.add("search", index, [vec(1)], k=1, request_id="q")
+        assert [h[0] for h in e.run().searches()["q"][0]] == ["a"]
+    finally:
+        del strategies.STRATEGIES["first"]
+
+
+def test_levels_have_routing_tables(spark):
+    e = Engine(spark, PassthroughEncoder(2, normalize=False), "multilevel", nprobe=1)
+    index = e.create_index("l", "l2")
+    table = spark.createDataFrame([(0, [0.0, 1.0]), (1, [10.0, 1.0])], CENTROIDS)
+    e.add_insert(index, [(str(i), vec(i)) for i in range(12)])
+    e.run()
+    e.set_level_centroids(index, 1, table)
+    e.set_level_centroids(index, 2, spark.createDataFrame([], CENTROIDS))
+    assert set(e.resolve(index).levels) == {1}
+    e.set_level_centroids(index, 2, table)
+    e.promote(index)
+    assert {r["ext_id"]: r["cluster_id"] for r in e.resolve(index).rows.collect()} == {str(i): int(i > 5) for i in range(12)}
+    e.add_search(index, [vec(5)], 3, "q")  # of the nearest cluster alone
+    assert [h[0] for h in e.run().searches()["q"][0]] == ["5", "4", "3"]
+    e.set_level_centroids(index, 0, table)
+    for bad in (lambda: e.set_level_centroids(index, 3, table), lambda: e.set_centroids(index, spark.createDataFrame([(0, [1.0])], CENTROIDS)), lambda: Engine(spark, PassthroughEncoder(0))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_queries_of_a_table_without_positions(spark):
+    e = Engine(spark, PassthroughEncoder(2, normalize=False))
+    index = e.create_index("t", "l2")
+    e.add_insert(index, [(str(i), vec(i)) for i in range(6)])
+    rows = spark.createDataFrame([(vec(i),) for i in range(6)], "data array<float>").repartition(4)
+    e.add_search(index, rows, 1, "q")
+    e.add_search(index, rows, 1, "q")  # runs together with the one before
+    found = e.run().searches()["q"]
+    assert len(found) == 12 and sorted(h[0][0] for h in found) == sorted([*map(str, range(6))] * 2)
