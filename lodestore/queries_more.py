@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, metrics, text
 from .operators import memories, mutate, search, stats, topology
-from .queries import COSINE, FIRST, IP, L2, ORACLE, PAIRS, QUERIES, V, W, _conversations, asked, asking, fixed_centroids, query, scaled, table, vectors
+from .queries import ASSIGN, COSINE, FIRST, IP, L2, ORACLE, PAIRS, QUERIES, V, W, _conversations, asked, asking, fixed_centroids, query, scaled, table, vectors
 from .tables import new_path
 from .types import VECTORS, Op
 
@@ -278,6 +278,46 @@ def engine_multilevel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine_hits(spark, sf_dir, "multilevel", clusters=1, max_clusters=8, new_threshold=0.2)
 
 
+@query(f"{V}, {ASSIGN} SELECT id::VARCHAR AS ext_id, cluster_id::INT AS cluster_id FROM p WHERE label <> 3")
+def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, streamed to the clusters of their nearest centroids, then those of a label deleted, with a maintenance pass after each."""
+    from .streaming.ingest import Ingest
+    from .streaming.maintenance import Maintenance
+
+    rows = vectors(spark, sf_dir)
+    s = Ingest(spark, new_path(spark, "query"), new_path(spark, "query"), capacity=1, centroids=fixed_centroids(rows))
+    m = Maintenance({"routed": s}, ratio=1.0)
+    none = F.lit(None)
+    log = rows.select(F.col("id").alias("seq"), F.lit(0).alias("pos"), F.lit(Op.INSERT.value).alias("op"), F.col("id").cast("string").alias("ext_id"), "vector", none.cast("map<string,string>").alias("metadata"), none.cast("string").alias("payload"), "label")
+    gone = log.where("label = 3").withColumns({"seq": F.col("seq") + 10**9, "op": F.lit(Op.DELETE_IDS.value), "vector": none.cast("array<float>")})
+    for part in (log, gone):
+        s.offer(part.drop("label"))
+        s.flush()
+        m.once()
+    return s.snapshot().select("ext_id", "cluster_id")
+
+
+@query(f"""{V}, u AS (SELECT id, CASE WHEN id % 3 = 0 THEN list_transform(e, lambda x: -x) ELSE e END AS e FROM v WHERE id % 7 <> 0),
+s AS (SELECT q.id AS query_id, u.id, list_inner_product(u.e, q.e) AS score FROM u, v q WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM s)
+SELECT id::VARCHAR AS ext_id, round(e[1], 5) + 0.0 AS first_part FROM u WHERE id NOT IN (SELECT id FROM r WHERE rank <= 3)""")
+def engine_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors inserted; a third updated, and as many ids that aren't there; a seventh deleted; then the nearest of each query."""
+    from .encoders import PassthroughEncoder
+    from .plans.engine import Engine
+
+    items = vectors(spark, sf_dir).select("id", F.col("vector").alias("data"))
+    turned = items.where("id % 3 = 0").withColumn("data", F.transform("data", lambda x: -x))
+    e = Engine(spark, PassthroughEncoder(64, normalize=False))
+    index = e.create_index("i", "ip")
+    e.add("insert", index, items)
+    e.add("update", index, turned)
+    e.add("update", index, turned.withColumn("id", F.concat(F.lit("absent-"), "id")))
+    e.add("delete_ids", index, items.where("id % 7 = 0").drop("data"))
+    e.add("delete_knn", index, asking(items), k=3)
+    e.run()
+    return e.resolve(index).rows.select("ext_id", (F.round(F.get("vector", F.lit(0)).cast("double"), 5) + 0.0).alias("first_part"))
+
+
 @query()
 def workload_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latencies of a workload that inserts all rows and searches every other one, in a ratio of one to two, in 32 batches of each."""
