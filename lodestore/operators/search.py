@@ -1,10 +1,12 @@
 """Top-k search: exact, on chosen clusters, by probes, by levels.
 
-Vectors stay where they are.  Queries travel to them as one matrix, scored a batch
-of vectors at a time; each task keeps its best k of each query, and only those meet
+Vectors stay where they are.  Queries travel to them as one matrix, scored a tile of
+queries and vectors at a time; each task keeps its best k of each query, and only those meet
 in a shuffle by query.  Where queries probe clusters, a cluster's vectors meet its own
-queries only, and only probed clusters are read.  Scores are in double precision, ties go to the smaller id,
-vectors whose score is not finite are never found.
+queries only, and only probed clusters are read.  Products of matrices only tell which pairs
+may count, with a bound on what they round off; the scores of those are sums in the order of
+components, in double precision, as metrics.score() has them.  So equal vectors have equal
+scores, ties go to the smaller id, and vectors whose score is not finite are never found.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from ..functions import metrics
 from ..types import Metric
 
 QUERY_BLOCK = 4_096  # queries that go to the vectors at once
+QUERY_TILE, ROW_TILE = 256, 2_048  # queries and vectors that are scored at once
 ALL = 0  # nprobe: every cluster
 
 
@@ -35,15 +38,51 @@ class Asked:
     probes: dict[int, np.ndarray] | None = None  # for each cluster, which queries ask for it
 
 
-def numpy_scores(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
-    """Scores of queries (rows) with vectors (columns); larger is better."""
-    with np.errstate(all="ignore"):
-        inner = q @ x.T
-        if metric is Metric.IP:
-            return inner
-        if metric is Metric.COSINE:
-            return inner / ((np.linalg.norm(q, axis=1) + metrics.EPSILON)[:, None] * (np.linalg.norm(x, axis=1) + metrics.EPSILON)[None])
-        return -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * inner, 0))
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def rough_scores(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
+    """Scores of queries (rows) with vectors (columns) by one product of matrices, of L2 the negative square; see rounding()."""
+    inner = q @ x.T
+    if metric is Metric.IP:
+        return inner
+    if metric is Metric.COSINE:
+        inner /= (_norms(q) + metrics.EPSILON)[:, None]
+        inner /= (_norms(x) + metrics.EPSILON)[None]
+        return inner
+    inner *= 2
+    inner -= (q * q).sum(1)[:, None]
+    inner -= (x * x).sum(1)[None]
+    return inner
+
+
+def rounding(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
+    """For each query, how far rough_scores() may be from exact_scores(), at most; infinite where norms overflow."""
+    share = 4 * (x.shape[1] + 8) * np.finfo(float).eps
+    if metric is Metric.COSINE:
+        out = np.where(np.isfinite(_norms(q)) & np.isfinite(_norms(x)).all(), share, np.inf)
+    else:
+        far, longest = _norms(q), _norms(x).max()
+        out = share * (far * longest if metric is Metric.IP else (far + longest) ** 2)
+    return np.nan_to_num(out, nan=np.inf, posinf=np.inf) + np.finfo(float).tiny
+
+
+def exact_scores(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
+    """Scores of pairs (columns of x and q; rows are components), larger is better: sums in the order of components."""
+
+    def total(values: Iterator[np.ndarray]) -> np.ndarray:
+        out = np.zeros(x.shape[1])
+        for v in values:
+            out += v
+        return out
+
+    if metric is Metric.L2:
+        return -np.sqrt(total((a - b) ** 2 for a, b in zip(x, q, strict=True)))
+    inner = total(a * b for a, b in zip(x, q, strict=True))
+    if metric is Metric.IP:
+        return inner
+    return inner / ((np.sqrt(total(a * a for a in x)) + metrics.EPSILON) * (np.sqrt(total(b * b for b in q)) + metrics.EPSILON))
 
 
 def numpy_distance(score: np.ndarray, metric: Metric) -> np.ndarray:
@@ -79,61 +118,103 @@ def _codes(ids: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The best k of each of n queries so far: flat arrays of query, score and id."""
+    """The best k of each of n queries so far: flat arrays of query, score and id, and of vectors if they are carried."""
 
-    def __init__(self, n: int, k: int, ids: np.ndarray) -> None:
-        self.k, self.query, self.score, self.id = k, np.zeros(0, np.int64), np.zeros(0), ids[:0]
+    def __init__(self, n: int, k: int, ids: np.ndarray, dim: int = 0) -> None:
+        self.k, self.query, self.score, self.id, self.x = k, np.zeros(0, np.int64), np.zeros(0), ids[:0], np.zeros((0, dim))
         self.worst = np.full(n, -np.inf)  # the k-th score of queries that have k
 
-    def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of queries (rows) with ids (columns); not finite ones are passed over."""
-        low = self.worst[queries][:, None]
-        if scores.shape[1] > 4 * self.k:  # ties with the k-th stay
-            finite = np.where(np.isfinite(scores), scores, -np.inf)
-            low = np.maximum(low, np.partition(finite, -self.k, axis=1)[:, -self.k][:, None])
-        row, col = np.nonzero(np.isfinite(scores) & (scores >= low))
-        if len(row):
-            query, score, name = np.concatenate([self.query, queries[row]]), np.concatenate([self.score, scores[row, col]]), np.concatenate([self.id, ids[col]])
-            order = np.lexsort((_codes(name), -score, query))
-            query, score, name = query[order], score[order], name[order]
-            place = np.arange(len(query)) - np.searchsorted(query, query)
-            top = place < self.k
-            self.query, self.score, self.id = query[top], score[top], name[top]
-            last = place == self.k - 1
-            self.worst[query[last]] = score[last]
-
-
-def _scan(vectors: DataFrame, asked: Asked, k: int, metric: Metric, cluster: str | None) -> DataFrame:
-    """The best k of each query in each task: (query_id, id, score)."""
+    def offer(self, queries: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: Metric) -> None:
+        """Vectors x, named ids, for queries: numbers, and their vectors q."""
+        with np.errstate(all="ignore"):
+            rough, off, worst = rough_scores(x, q, metric), rounding(x, q, metric), self.worst[queries]
+            low = (-worst * worst * (1 + 8 * np.finfo(float).eps) if metric is Metric.L2 else worst) - off
+            near = ~(rough < low[:, None])  # those that overflow too
+            many = np.flatnonzero(near.sum(1) > 4 * self.k)
+            if len(many):
+                some = np.where(np.isfinite(rough[many]), rough[many], -np.inf)
+                low[many] = np.maximum(low[many], np.partition(some, -self.k, axis=1)[:, -self.k] - 2 * off[many])
+                near[many] = ~(rough[many] < low[many, None])
+            row, col = np.nonzero(near)
+            if not len(row):
+                return
+            score = self._scores(x, q, row, col, metric)
+            fine = np.flatnonzero(np.isfinite(score) & (score >= worst[row]))  # ties with the k-th stay
+        if len(fine):
+            self._take(queries[row[fine]], score[fine], ids[col[fine]], x[col[fine]] if self.x.shape[1] else np.zeros((len(fine), 0)))
+
+    @staticmethod
+    def _scores(x: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray, metric: Metric) -> np.ndarray:
+        """Exact scores of some pairs, a bounded number of them at a time."""
+        parts = []
+        for i in range(0, len(row), 2_048):
+            parts.append(exact_scores(x[col[i : i + 2_048]].T, q[row[i : i + 2_048]].T, metric))
+        return np.concatenate(parts)
+
+    def _take(self, query: np.ndarray, score: np.ndarray, name: np.ndarray, x: np.ndarray) -> None:
+        touched = np.zeros(len(self.worst), bool)
+        touched[query] = True
+        old = touched[self.query]
+        query, score, name, x = (np.concatenate([a[old], b]) for a, b in ((self.query, query), (self.score, score), (self.id, name), (self.x, x)))
+        order = np.lexsort((_codes(name), -score, query))
+        query, score = query[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        top = place < self.k
+        kept = order[top]
+        self.query, self.score = np.concatenate([self.query[~old], query[top]]), np.concatenate([self.score[~old], score[top]])
+        self.id, self.x = np.concatenate([self.id[~old], name[kept]]), np.concatenate([self.x[~old], x[kept]])
+        last = place == self.k - 1
+        self.worst[query[last]] = score[last]
+
+
+def _tiles(queries: np.ndarray, rows: np.ndarray, size: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Queries (numbers, ascending) and rows, as tiles of bounded size: number of the queries' tile, queries, rows."""
+    for some in np.split(queries, np.flatnonzero(np.diff(queries // size[0])) + 1):
+        for i in range(0, len(rows), size[1]):
+            yield int(some[0]) // size[0], some, rows[i : i + size[1]]
+
+
+def _scan(vectors: DataFrame, asked: Asked, k: int, metric: Metric, cluster: str | None, carry: bool = False) -> DataFrame:
+    """The best k of each query in each task: (query_id, id, score), or (query_id, id, vector, q) if vectors are carried."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     held = vectors.sparkSession.sparkContext.broadcast(asked)  # QUERY_BLOCK vectors at most
-    out = T.StructType([T.StructField("query_id", _kind(asked.ids)), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    schema = to_arrow_schema(out)
+    out = _found_type(vectors, isinstance(_kind(asked.ids), T.StringType), carry)
+    schema, size = to_arrow_schema(out), (QUERY_TILE, ROW_TILE)
 
     def names(column: pa.Array) -> np.ndarray:
         return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist(), object)
 
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, tops = held.value, None
-        every = np.arange(len(a.ids))
+        a = held.value
+        tops: dict[int, Best] = {}
+        every = np.flatnonzero(np.isfinite(a.x).all(1))
         for b in batches:
             x, at = _matrix(b.column("vector"), a.x.shape[1])
-            if not len(at):
+            fine = np.isfinite(x).all(1)
+            x, at = x[fine], at[fine]
+            if not len(at) or not len(every):
                 continue
             ids = names(b.column("id").take(pa.array(at)))
-            tops = tops or Best(len(a.ids), k, ids)
             if cluster is None:
-                groups = [(every, slice(i, i + 1_024)) for i in range(0, len(ids), 1_024)]
+                groups = [(every, np.arange(len(ids)))]
             else:
                 place = b.column(cluster).take(pa.array(at)).fill_null(-1).to_numpy(zero_copy_only=False)
                 order = np.argsort(place, kind="stable")
                 cuts = np.flatnonzero(np.diff(place[order], prepend=place[order[0]] - 1))
-                groups = [(a.probes[c], rows) for rows in np.split(order, cuts[1:]) if (c := int(place[rows[0]])) in a.probes]
+                groups = [(np.intersect1d(a.probes[c], every), rows) for rows in np.split(order, cuts[1:]) if (c := int(place[rows[0]])) in a.probes]
             for queries, rows in groups:
-                tops.offer(queries, numpy_scores(x[rows], a.x[queries], metric), ids[rows])
-        if tops is not None and len(tops.query):
-            yield pa.RecordBatch.from_arrays([pa.array(a.ids[tops.query], schema.field(0).type), pa.array(tops.id, schema.field(1).type), pa.array(tops.score)], ["query_id", "id", "score"])
+                for tile, some, part in _tiles(queries, rows, size) if len(queries) else ():
+                    if tile not in tops:
+                        tops[tile] = Best(min(size[0], len(a.ids) - tile * size[0]), k, ids, a.x.shape[1] if carry else 0)
+                    tops[tile].offer(some - tile * size[0], a.x[some], x[part], ids[part], metric)
+        for tile, top in tops.items():
+            at = top.query + tile * size[0]
+            left = [pa.array(a.ids[at], schema.field(0).type), pa.array(top.id, schema.field(1).type)]
+            yield pa.RecordBatch.from_arrays([*left, *([lists(top.x), lists(a.x[at])] if carry else [pa.array(top.score)])], schema.names)
 
     return vectors.select("id", "vector", *([cluster] if cluster else [])).mapInArrow(best, out)
 
@@ -142,23 +223,21 @@ def _kind(ids: np.ndarray) -> T.DataType:
     return T.StringType() if ids.dtype == object else T.LongType()
 
 
+def _found_type(vectors: DataFrame, text: bool, carry: bool) -> T.StructType:
+    found = [("vector", T.ArrayType(T.DoubleType())), ("q", T.ArrayType(T.DoubleType()))] if carry else [("score", T.DoubleType())]
+    return T.StructType([T.StructField(n, t) for n, t in (("query_id", T.StringType() if text else T.LongType()), ("id", vectors.schema["id"].dataType), *found)])
+
+
 def rank(found: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """Numbers (query_id, id, score) from 1 within each query, best first, and keeps k."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, probes: DataFrame | None = None, cluster: str = "cluster_id") -> DataFrame:
-    """(query_id, rank, id, score, distance): the k best vectors (id, vector) of each query (query_id, vector).
-
-    probes: (query_id, cluster_id) limits a query to vectors of its clusters; of a
-    table that tables.cut_parts() wrote, only those clusters' files are read.  k of 0
-    or less finds nothing; k above the number of vectors finds all.
-    """
-    metric = Metric.parse(metric)
-    spark = vectors.sparkSession
+def _found(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric, probes: DataFrame | None = None, cluster: str = "cluster_id", carry: bool = False) -> DataFrame:
+    """What _scan() finds for all queries, a block of them at a time."""
     text = isinstance(queries.schema["query_id"].dataType, T.StringType)
-    found = spark.createDataFrame([], T.StructType([T.StructField("query_id", T.StringType() if text else T.LongType()), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
+    found = vectors.sparkSession.createDataFrame([], _found_type(vectors, text, carry))
     asked = queries.select("query_id", "vector").where("vector is not null")
     if probes is not None:
         asked = asked.join(probes.groupBy("query_id").agg(F.collect_set(cluster).alias("clusters")), "query_id")
@@ -178,25 +257,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str
                             pairs.setdefault(c, []).append(i)
                     some.probes = {c: np.array(i) for c, i in pairs.items()}
                     source = tables.in_parts(vectors, cluster, sorted(pairs))
-                found = found.unionAll(_scan(source, some, k, metric, cluster if probes is not None else None))
-    out = rank(found, k)
+                found = found.unionAll(_scan(source, some, k, metric, cluster if probes is not None else None, carry))
+    return found
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, probes: DataFrame | None = None, cluster: str = "cluster_id") -> DataFrame:
+    """(query_id, rank, id, score, distance): the k best vectors (id, vector) of each query (query_id, vector).
+
+    probes: (query_id, cluster_id) limits a query to vectors of its clusters; of a
+    table that tables.cut_parts() wrote, only those clusters' files are read.  k of 0
+    or less finds nothing; k above the number of vectors finds all.
+    """
+    metric = Metric.parse(metric)
+    out = rank(_found(vectors, queries, k, metric, probes, cluster), k)
     sides = {Metric.L2: F.col("score") * F.col("score"), Metric.COSINE: 1 - F.col("score"), Metric.IP: -F.col("score")}
     return out.select("query_id", "rank", "id", "score", sides[metric].alias("distance"))
 
 
+def nearest_pairs(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:
+    """(query_id, id, vector, q): the k best vectors of each query in each task, beside the query's own, for expressions to score.
+
+    They hold the k best of all, ties to the smaller id.
+    """
+    return _found(vectors, queries, k, Metric.parse(metric), carry=True)
+
+
 def search_expr(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:
-    """search() in column expressions alone: each query is joined with every vector, a block of queries at a time."""
-    asked = queries.select("query_id", "vector")
-
-    def pairs(block: list) -> DataFrame:
-        some = vectors.sparkSession.createDataFrame(block, asked.schema).withColumnRenamed("vector", "__q")
-        both = vectors.select("id", "vector").crossJoin(F.broadcast(some))
-        return both.select("query_id", "id", metrics.score(F.col("vector"), F.col("__q"), metric).alias("score"))
-
-    scored = pairs([])
-    for block in _blocks(asked):
-        scored = scored.unionAll(pairs(block))
-    return rank(scored.where(F.col("score").isNotNull() & ~F.isnan("score")), k).select("query_id", "rank", "id", "score")
+    """search() with scores that are column expressions, of the pairs that may be among a query's k best."""
+    pairs = nearest_pairs(vectors, queries, k, metric)
+    scored = pairs.select("query_id", "id", metrics.score(F.col("vector"), F.col("q"), metric).alias("score"))
+    return rank(scored, k).select("query_id", "rank", "id", "score")
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, metric: Metric | str = Metric.L2, normalized: bool = False) -> DataFrame:

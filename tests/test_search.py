@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodestore.functions import metrics
 from lodestore.operators import search, topology
 
 R = np.random.default_rng(4)
@@ -135,3 +137,32 @@ def test_split(spark, rows):
     placed = search.assign(rows, topology.zero_centroids(spark, 1, 8)).selectExpr("id as ext_id", "vector", "cluster_id", "2 as level")
     again, table = topology.split_large(placed, topology.zero_centroids(spark, 1, 8), most=100)
     assert topology.nlist(table) == 2 and again.count() == 300 and again.select("cluster_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_scores_are_those_of_expressions_and_copies_tie(spark, monkeypatch, metric):
+    """Of 700 copies, whose products of matrices may differ in the last places, the smallest ids are found."""
+    monkeypatch.setattr(search, "QUERY_TILE", 7)
+    monkeypatch.setattr(search, "ROW_TILE", 97)
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 63)), 700, 0), r.normal(size=(303, 63)), np.zeros((1, 63)), np.full((1, 63), np.nan)])[r.permutation(1005)]
+    rows = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "id long, vector array<float>").repartition(3)
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    pairs = rows.crossJoin(asked.withColumnRenamed("vector", "q")).select("query_id", "id", metrics.score(F.col("vector"), F.col("q"), metric).alias("score"))
+    want = [tuple(r) for r in search.rank(pairs.where(~F.isnan("score")), 9).select("query_id", "rank", "id", "score").orderBy("query_id", "rank").collect()]
+    assert len(want) > 150
+    for found in (search.search(rows, asked, 9, metric), search.search_expr(rows, asked, 9, metric)):
+        assert [tuple(r) for r in found.select("query_id", "rank", "id", "score").orderBy("query_id", "rank").collect()] == want
+
+
+@pytest.mark.parametrize("metric", [search.Metric.IP, search.Metric.L2])
+def test_overflowing_norms(metric):
+    x = np.array([[1e200, 0.0], [1e200, 1.0], [0.0, 1.0]])
+    top = search.Best(1, 1, np.arange(0))
+    top.offer(np.array([0]), np.array([[1e200, 1.0]]) if metric is search.Metric.L2 else np.array([[1e-200, 1.0]]), x, np.arange(3), metric)
+    assert top.id.tolist() == [1]
+
+
+def test_expressions_score_only_what_may_be_found(rows, asked):
+    """300 vectors and 6 queries are 1800 pairs; each task gives k of a query at most."""
+    assert search.nearest_pairs(rows, asked, 4, "l2").count() <= 5 * 6 * 4
