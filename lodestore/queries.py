@@ -106,8 +106,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank
 SELECT query_id, rank::INT AS rank, id, round(d, 4) AS distance FROM r WHERE rank <= 10""")
 def knn_unified_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(spark, sf_dir)
-    pairs = rows.select("id", "vector").crossJoin(F.broadcast(asked(rows).select("query_id", F.col("vector").alias("q"))))
-    far = pairs.select("query_id", "id", metrics.distance(F.col("vector"), F.col("q"), Metric.L2).alias("far"))
+    pairs = search.nearest_pairs(rows, asked(rows), 10, Metric.L2)
+    far = pairs.select("query_id", "id", F.pow(metrics.score(F.col("vector"), F.col("q"), Metric.L2), 2).alias("far"))  # of the root, as the SQL
     return search.smallest(far, "query_id", 10, F.col("far"), F.col("id")).select("query_id", "rank", "id", F.round("far", 4).alias("distance"))
 
 

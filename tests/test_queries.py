@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from lodestore import queries, queries_more
+from lodestore.operators import search
 from lodestore.plans import workload
 from lodestore.types import LATENCY
 
@@ -34,3 +35,13 @@ def test_workload_drives_all_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workload, "drive", lambda e, i, rows, asked, *a, **k: seen.extend([rows, asked]) or spark.createDataFrame([], LATENCY))
     queries_more.workload_latency(spark, embeddings(spark, tmp_path, range(150, 250)))
     assert [i for i, _ in seen[0]] == [str(i) for i in range(150, 250)] and len(seen[1]) == 50
+
+
+def test_unified_distance_scores_only_what_may_be_found(spark, tmp_path, monkeypatch):
+    """Each task hands on ten vectors of a query at most, so no row is made for every pair."""
+    seen, near = [], search.nearest_pairs
+    monkeypatch.setattr(search, "nearest_pairs", lambda *a: seen.append(near(*a)) or seen[-1])
+    folder = embeddings(spark, tmp_path, range(900))
+    got = queries.knn_unified_l2sq(spark, folder).collect()
+    assert seen[0].count() <= 10 * 9 * spark.read.parquet(f"{folder}/embeddings.parquet").rdd.getNumPartitions()
+    assert len(got) == 90 and all(r["distance"] == 0 for r in got if r["rank"] == 1)
