@@ -155,6 +155,22 @@ def test_scores_are_those_of_expressions_and_copies_tie(spark, monkeypatch, metr
         assert [tuple(r) for r in found.select("query_id", "rank", "id", "score").orderBy("query_id", "rank").collect()] == want
 
 
+def test_scan_holds_tiles_alone(monkeypatch):
+    """Products of matrices are of a tile, however many queries meet however many vectors."""
+    seen = []
+    rough = search.rough_scores
+    monkeypatch.setattr(search, "rough_scores", lambda x, q, metric: seen.append((len(q), len(x))) or rough(x, q, metric))
+    parts = list(search._tiles(np.arange(0, 4_096, 3), np.arange(10_000), (search.QUERY_TILE, search.ROW_TILE)))
+    assert max(len(q) for _, q, _ in parts) <= search.QUERY_TILE and max(len(r) for _, _, r in parts) <= search.ROW_TILE
+    assert sum(len(q) * len(r) for _, q, r in parts) == 1_366 * 10_000
+    top = search.Best(256, 3, np.arange(0))
+    x, q = R.normal(size=(5_000, 8)), R.normal(size=(20, 8))
+    for i, some, rows in search._tiles(np.arange(20), np.arange(5_000), (256, 2_048)):
+        top.offer(some, q[some], x[rows], rows, search.Metric.IP)
+    assert [int(i) for i in top.id[np.lexsort((-top.score, top.query))]] == [int(i) for i in np.argsort(-(q @ x.T), axis=1)[:, :3].ravel()]
+    assert max(r for _, r in seen) <= search.ROW_TILE
+
+
 @pytest.mark.parametrize("metric", [search.Metric.IP, search.Metric.L2])
 def test_overflowing_norms(metric):
     x = np.array([[1e200, 0.0], [1e200, 1.0], [0.0, 1.0]])
