@@ -259,8 +259,8 @@ def kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     q = asked(rows)
     table_ = topology.train(rows, "l2", max(1, rows.count() // 16))
-    placed = search.assign(rows, table_, "l2")
-    true = search.search(rows, q, 10, "l2").select("query_id", "id")
+    placed = tables.cut_parts(search.assign(rows, table_, "l2"), "cluster_id")
+    true = tables.cut(search.search(rows, q, 10, "l2").select("query_id", "id"))
     out = None
     for nprobe in (1, 4, 16):
         got = search.search_probes(placed, table_, q, 10, nprobe, "l2").select("query_id", "id")

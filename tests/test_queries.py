@@ -45,3 +45,13 @@ def test_unified_distance_scores_only_what_may_be_found(spark, tmp_path, monkeyp
     got = queries.knn_unified_l2sq(spark, folder).collect()
     assert seen[0].count() <= 10 * 9 * spark.read.parquet(f"{folder}/embeddings.parquet").rdd.getNumPartitions()
     assert len(got) == 90 and all(r["distance"] == 0 for r in got if r["rank"] == 1)
+
+
+def test_recall_finds_true_neighbours_and_places_rows_once(spark, tmp_path, monkeypatch):
+    """Each number of probes reads the same tables; before, all of it was computed again for each."""
+    made = []
+    for name in ("cut", "cut_parts"):
+        monkeypatch.setattr(queries.tables, name, lambda df, *a, f=getattr(queries.tables, name), n=name: made.append((n, df.columns[0])) or f(df, *a))
+    plan = queries.kmeans_recall(spark, embeddings(spark, tmp_path, range(250, 450)))._jdf.queryExecution().optimizedPlan().toString()
+    assert ("cut", "query_id") in made and ("cut_parts", "id") in made
+    assert plan.count("MapInArrow") == 3
