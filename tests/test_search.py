@@ -182,3 +182,10 @@ def test_overflowing_norms(metric):
 def test_expressions_score_only_what_may_be_found(rows, asked):
     """300 vectors and 6 queries are 1800 pairs; each task gives k of a query at most."""
     assert search.nearest_pairs(rows, asked, 4, "l2").count() <= 5 * 6 * 4
+
+
+def test_one_large_cluster_meets_its_queries_in_tiles():
+    """Queries that probe a cluster are some of a block; a batch's 10,000 rows of it met 4,096 of them at once before."""
+    parts = list(search._tiles(np.arange(1, 4_096, 2), np.arange(10_000), (search.QUERY_TILE, search.ROW_TILE)))
+    assert all((q // search.QUERY_TILE == tile).all() and len(q) * len(r) * 8 <= 4 << 20 for tile, q, r in parts)
+    assert sum(len(q) * len(r) for _, q, r in parts) == 2_048 * 10_000
