@@ -102,7 +102,12 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(queries: DataFrame) -> Iterator[list]:
     """Queries on the driver, a block of bounded size at a time."""
-    block: list = []
+    block = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(block) <= QUERY_BLOCK:  # without a job for each partition
+        if block:
+            yield block
+        return
+    block = []
     for row in queries.toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .. import tables
+from ..operators import stats
 from ..streaming.ingest import Pace
 from ..types import LATENCY
 from .engine import Engine
@@ -15,6 +19,36 @@ from .engine import Engine
 MODES = ("paired", "searches_first", "head_search", "search_only", "insert_only", "search_then_last_insert", "ratio")
 
 
+@dataclass(frozen=True, eq=False)
+class Stored(Sequence):
+    """Items (id, data) that stay in a table, in the order of their numbers; a slice is one of the same table."""
+
+    rows: DataFrame  # row, id, data
+    at: range
+
+    @classmethod
+    def of(cls, rows: DataFrame, order: str) -> Stored:
+        """Rows (id, data, and perhaps others), in the order of a column with distinct values."""
+        named = stats.numbered(rows, order).select("row", F.col("id").cast("string").alias("id"), "data")
+        kept = tables.cut(named.repartitionByRange("row").sortWithinPartitions("row"))
+        return cls(kept, range(kept.count()))
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: Any) -> Any:
+        return Stored(self.rows, self.at[i]) if isinstance(i, slice) else next(iter(Stored(self.rows, range(self.at[i], self.at[i] + 1))))
+
+    def __iter__(self) -> Iterator[tuple[str, Any]]:
+        return ((r["id"], r["data"]) for r in self.frame().orderBy("pos").toLocalIterator())
+
+    def frame(self) -> DataFrame:
+        """(pos, id, data): these items, with their places in the slice."""
+        low, high = sorted((self.at[0], self.at[-1])) if self.at else (0, -1)
+        some = self.rows.where(F.col("row").between(low, high)).withColumn("pos", (F.col("row") - self.at.start) / self.at.step)
+        return some.where(F.col("pos") == F.floor("pos")).select(F.col("pos").cast("long").alias("pos"), "id", "data")
+
+
 def batches(items: Sequence[Any], size: int) -> list[Sequence[Any]]:
     """Items in order, `size` at a time."""
     return [items[i : i + size] for i in range(0, len(items), size)]
@@ -47,16 +81,21 @@ def schedule(mode: str, inserts: Sequence[int], searches: Sequence[int], ratio:
 def drive(engine: Engine, index: int | str, items: Sequence[Any], queries: Sequence[Any], mode: str, k: int = 5, nprobe: int | None = None, insert_batch: int = 256, search_batch: int = 256, ratio: tuple[int, int] = (1, 1), ops_per_run: int = 1, qps: float = 0.0) -> DataFrame:
     """Replays a workload and gives LATENCY rows, one for each run, under its first operation's kind.
 
-    A run starts after ops_per_run operations; qps paces runs, 0 doesn't.
+    A run starts after ops_per_run operations; qps paces runs, 0 doesn't.  Items and
+    queries that are Stored stay where they are.
     """
+
+    def given(batch: Sequence[Any]) -> Any:
+        return batch.frame() if isinstance(batch, Stored) else batch
+
     held, asked = batches(items, insert_batch), batches(queries, search_batch)
     pace, out, waiting = Pace(qps), [], []
     order = list(schedule(mode, [len(b) for b in held], [len(b) for b in asked], ratio))
     for n, (kind, at) in enumerate(order):
         if kind == "search":
-            engine.add_search(index, asked[at], k, f"search-{at}", nprobe)
+            engine.add_search(index, given(asked[at]), k, f"search-{at}", nprobe)
         else:
-            engine.add_insert(index, held[at])
+            engine.add_insert(index, given(held[at]))
         waiting.append(kind)
         if len(waiting) == ops_per_run or n == len(order) - 1:
             pace.wait()

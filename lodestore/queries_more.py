@@ -325,7 +325,7 @@ def workload_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans import workload
     from .plans.engine import Engine
 
-    rows = [(str(r["id"]), list(map(float, r["vector"]))) for r in vectors(spark, sf_dir).orderBy("id").collect()]
+    rows = workload.Stored.of(vectors(spark, sf_dir).select("id", F.col("vector").alias("data")), "id")
     size = max(16, -(-len(rows) // 64))
     e = Engine(spark, PassthroughEncoder(64, normalize=False))
-    return stats.latency_summary(workload.drive(e, e.create_index("w", "ip"), rows, [v for _, v in rows[::2]], "ratio", insert_batch=2 * size, search_batch=size, ratio=(1, 2)))
+    return stats.latency_summary(workload.drive(e, e.create_index("w", "ip"), rows, rows[::2], "ratio", insert_batch=2 * size, search_batch=size, ratio=(1, 2)))

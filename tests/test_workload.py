@@ -30,3 +30,21 @@ def test_drive(spark):
     out = workload.drive(e, index, items, [[0.0, 1.0]], "ratio", insert_batch=2, search_batch=1, ops_per_run=2)
     assert e.resolve(index).rows.count() == 4
     assert {r["kind"] for r in latency_summary(out).collect()} <= {"insert", "search"}
+
+
+def test_stored_items_stay_in_their_table(spark):
+    """Slices are numbered like those of a list; the driver holds none of the rows."""
+    rows = spark.range(300, 340).selectExpr("id", "array(cast(id as float), 1f) as data").repartition(3)
+    kept, plain = workload.Stored.of(rows, "id"), [(str(i), [float(i), 1.0]) for i in range(300, 340)]
+    assert len(kept) == 40 and list(kept) == plain and kept[7] == plain[7] and kept[-1] == plain[-1]
+    for part in (slice(3, 9), slice(None, None, 2), slice(35, 99), slice(50, 60)):
+        assert list(kept[part]) == plain[part] and len(kept[part]) == len(plain[part])
+    assert list(kept[::2][5:8]) == plain[::2][5:8]
+    e = Engine(spark, PassthroughEncoder(2, normalize=False))
+    index, hits = e.create_index("s", "l2"), []
+    run = e.run
+    e.run = lambda: hits.append(run()) or hits[-1]
+    workload.drive(e, index, kept, kept[::2], "ratio", insert_batch=20, search_batch=10, ratio=(1, 2))
+    assert e.resolve(index).rows.count() == 40
+    found = [{(r["query_idx"], r["ext_id"]) for r in h.hits.where("rank = 1").collect()} for h in hits if h.requested.get("search")]
+    assert found == [{(i, str(300 + 2 * i)) for i in range(10)}, {(i, str(320 + 2 * i)) for i in range(10)}]
