@@ -242,7 +242,7 @@ def rank(found: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 def _found(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric, probes: DataFrame | None = None, cluster: str = "cluster_id", carry: bool = False) -> DataFrame:
     """What _scan() finds for all queries, a block of them at a time."""
     text = isinstance(queries.schema["query_id"].dataType, T.StringType)
-    found = vectors.sparkSession.createDataFrame([], _found_type(vectors, text, carry))
+    found = tables.local(vectors.sparkSession, [], _found_type(vectors, text, carry))
     asked = queries.select("query_id", "vector").where("vector is not null")
     if probes is not None:
         asked = asked.join(probes.groupBy("query_id").agg(F.collect_set(cluster).alias("clusters")), "query_id")

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS, PART = 1024, "__part"
 
@@ -46,6 +48,15 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A DataFrame of a few rows or none, which no executor's Python reads; one made of a list starts a Python process for each core."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    named = [dict(zip(kind.names, r, strict=True)) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, to_arrow_schema(kind)), kind)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes a DataFrame as a table and reads it from there."""
     path = new_path(df.sparkSession)
