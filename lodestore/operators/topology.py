@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import metrics
 from ..types import CENTROIDS, Metric
 from .search import assign
@@ -117,13 +118,15 @@ def _far(x: np.ndarray, c: np.ndarray, metric: Metric, normalized: bool) -> np.n
     return np.where(size > 0, 1 - inner / np.maximum(size, 1e-300), 1.0)
 
 
-def grow(rows: DataFrame, centroids: DataFrame, live: DataFrame, order: str, metric: Metric | str, new_threshold: float, merge_threshold: float = float("inf"), cap: int = 1, normalized: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grow(rows: DataFrame, centroids: DataFrame, live: DataFrame, order: str, metric: Metric | str, new_threshold: float, merge_threshold: float = float("inf"), cap: int = 1, normalized: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """grow_online() of a batch of any size: rows (order, vector, ...) with cluster_id, new centroids, new (cluster_id, live).
 
     Only rows that open a cluster depend on those before them, and no more than `cap`
     do.  Each round finds the first row, in order, that opens one next to those there
     are; rounds are passes over the batch where it lies, and none of it comes to the
     driver but the vectors that become centroids.  Values of `order` are distinct.
+    keep: writes the placed rows, once; without it each of the three results places
+    them anew, with twice as many Python processes where rows are summed as well.
     """
     metric = Metric.parse(metric)
     names, table, opened = [], [], []
@@ -167,9 +170,9 @@ def grow(rows: DataFrame, centroids: DataFrame, live: DataFrame, order: str, met
         names.append(max(names, default=-1) + 1)
         table.append([float(x) for x in found["vector"]])
         opened.append(found[order])
-    spark = rows.sparkSession
     placed = rows.drop("cluster_id").withColumn("__near", nearest((names, table, opened))).withColumn("cluster_id", F.nullif(F.col("__near.cluster_id"), F.lit(-1))).drop("__near")
-    every = spark.createDataFrame(list(zip(names, table, strict=True)), CENTROIDS)
+    placed = placed if keep is None else keep(placed)
+    every = tables.local(rows.sparkSession, list(zip(names, table, strict=True)), CENTROIDS)
     new = cluster_sizes(placed.where("cluster_id is not null")).withColumnRenamed("live", "added")
     counts = every.select("cluster_id").join(live, "cluster_id", "left").join(new, "cluster_id", "left")
     counts = counts.select("cluster_id", (F.coalesce("live", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("live"))

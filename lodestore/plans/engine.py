@@ -108,7 +108,7 @@ class Engine:
     def create_index(self, name: str, metric: Metric | str = Metric.COSINE, **options: Any) -> int:
         """A new collection; a name used again leads to the new one."""
         index_id = len(self.collections)
-        empty = self.spark.createDataFrame([], VECTORS)
+        empty = tables.local(self.spark, [], VECTORS)
         made = Collection(index_id, str(name), Metric.parse(metric), self.encoder.dim, self.strategy, options, empty)
         if STRATEGIES[self.strategy].placed:
             made.centroids = topology.zero_centroids(self.spark, 1, made.dim)
@@ -236,7 +236,7 @@ class Engine:
     def run(self) -> RunResult:
         """Replays the queue in order and empties it."""
         queue, self.queue = self.queue, []
-        result = RunResult(hits=self.spark.createDataFrame([], HITS))
+        result = RunResult(hits=tables.local(self.spark, [], HITS))
         pending: dict[int, list[DataFrame]] = {}
         for request, rows, n in self._encoded(self._coalesced(queue)):
             c = self.collections[request.index_id]
@@ -372,7 +372,7 @@ class Engine:
         """(doc_id, data, metadata) of a collection: loaded documents, and over them its rows' payloads."""
         c = self.resolve(handle)
         own = c.rows.select(keys.doc_id(F.col("ext_id")).alias("doc_id"), F.col("payload").alias("data"), "metadata").dropDuplicates(["doc_id"])
-        return mutate.record(c.loaded if c.loaded is not None else self.spark.createDataFrame([], DOCS), own)
+        return mutate.record(c.loaded if c.loaded is not None else tables.local(self.spark, [], DOCS), own)
 
     def get_doc(self, handle: int | str, doc_id: str) -> dict | None:
         row = self.docs(handle).where(F.col("doc_id") == str(doc_id)).first()

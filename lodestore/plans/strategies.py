@@ -59,11 +59,10 @@ class Multilevel(Strategy):
         old, new = rows.where("cluster_id is not null"), rows.where("cluster_id is null")
         placed, moved, _ = topology.grow(
             new.drop("cluster_id", "level"), c.centroids, engine._cut(topology.cluster_sizes(old.where("level = 0"))), "ext_id", c.metric,
-            float(o.get("new_threshold", np.inf)), float(o.get("merge_threshold", np.inf)), int(o.get("max_clusters", 0)) or max(int(o.get("clusters", 1)), 1),
+            float(o.get("new_threshold", np.inf)), float(o.get("merge_threshold", np.inf)), int(o.get("max_clusters", 0)) or max(int(o.get("clusters", 1)), 1), keep=engine._cut,
         )
-        placed = engine._cut(placed.withColumn("level", F.lit(0)).select(*old.columns))
         c.centroids = engine._cut(moved)
-        return old.unionByName(placed)
+        return old.unionByName(placed.withColumn("level", F.lit(0)).select(*old.columns))
 
     def search(self, c: Collection, rows: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         threshold = float(c.options.get("search_threshold", -np.inf))

@@ -294,6 +294,20 @@ def test_strategy_of_ones_own(spark):
         del strategies.STRATEGIES["first"]
 
 
+def test_levels_run_one_python_step_at_a_time(spark, monkeypatch):
+    """Placing rows and summing them in the same tasks took two Python processes a core; rows to start from, none, one more."""
+    plans, cut = [], Engine._cut
+    monkeypatch.setattr(Engine, "_cut", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(self, df))
+    e = Engine(spark, PassthroughEncoder(2, normalize=False), "multilevel")
+    index = e.create_index("i", "ip", clusters=1, max_clusters=4, new_threshold=0.2)
+    e.add_insert(index, spark.range(40).select("id", F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("data")))
+    e.run()
+    assert any("ArrowEvalPython" in p for p in plans) and any("MapInArrow" in p for p in plans)
+    assert not any(("ArrowEvalPython" in p and "MapInArrow" in p) or "LogicalRDD" in p for p in plans)
+    assert e.resolve(index).rows.where("level = 0 and cluster_id is not null").count() == 40
+    e.close()
+
+
 def test_levels_have_routing_tables(spark):
     e = Engine(spark, PassthroughEncoder(2, normalize=False), "multilevel", nprobe=1)
     index = e.create_index("l", "l2")

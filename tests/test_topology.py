@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestore import tables
 from lodestore.operators import mutate, stats, topology
 from lodestore.sources import datasets
 from lodestore.types import CENTROIDS
@@ -30,6 +31,16 @@ def test_growing_from_nothing(spark):
     assert {r["cluster_id"]: r["centroid"] for r in centroids.collect()} == {0: [5.0], 1: [1.0]}
 
 
+def test_kept_rows_are_placed_once(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(60)], "id long, vector array<float>")
+    start = spark.createDataFrame([], CENTROIDS), spark.createDataFrame([], "cluster_id int, live long"), "id", "l2", 4.0, float("inf"), 5
+    kept = []
+    got = topology.grow(rows, *start, keep=lambda placed: kept.append(tables.cut(placed)) or kept[-1])
+    assert len(kept) == 1 and all("ArrowEvalPython" not in df._jdf.queryExecution().optimizedPlan().toString() for df in got)
+    for a, b, key in zip(got, topology.grow(rows, *start), ("id", "cluster_id", "cluster_id"), strict=True):
+        assert a.orderBy(key).collect() == b.orderBy(key).collect()
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 400])
 def test_percentiles_are_exact(spark, n):
     r = np.random.default_rng(n)
