@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
 A text is cut into the pieces of a vocabulary so that their scores sum to the most
-(Viterbi).  No piece runs across the start of a word, so short texts fall apart
-into words that are solved once and remembered.  Giant texts are split into chunks
+(Viterbi).  No piece runs across the start of a word, so texts fall apart into
+words; the different ones of a few MB of text are solved together, with numpy, place
+by place from their ends.  Giant texts are split into chunks
 anywhere: each chunk yields a transfer matrix, the best score from every state at
 its left edge to every state at its right edge, where a state says how far a piece
 reaches over the edge.  Matrices combine associatively under (max, +); a scan from
@@ -19,8 +20,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cached_property
 from math import log
 from struct import pack
@@ -32,17 +33,66 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import aside, cut, cuts, replace
+from .common import aside, cut, cuts, give_back, replace, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
-CACHED = 350_000  # words that a worker remembers, twice
-LONGEST = 48  # characters of those
+AT_ONCE = 1 << 22  # bytes of text whose words are solved together
+FEW = 128  # places that fewer words have than this are left to plain Python
 OFFSET = 100.0  # added to the ranks of pieces
+BLOCK = 1 << 14  # words that stand side by side
 NONE = -np.inf
 BLANK = "▁"
 
 
+@dataclass
+class Trie:
+    """The bytes of pieces: byte c leads from node s to base[s] + c, if that node's owner is s; node 0 is the root."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    score: np.ndarray  # of the piece that ends at a node, if any
+    ids: np.ndarray  # its id, else -1
+    deepest: int
+
+    @classmethod
+    def of(cls, v: Vocabulary) -> Trie:
+        spelled = {p.encode(): p for p in v.score if p}
+        below: dict[bytes, set[int]] = {b"": set()}
+        for p in spelled:
+            for n in range(len(p)):
+                below.setdefault(p[:n], set()).add(p[n])
+        # nodes with many children choose their places first, the others fill the gaps
+        free, low, placed, window = np.ones(1 << 16, bool), 256, {}, 4096
+        free[:256] = False
+        for name, children in sorted(below.items(), key=lambda x: (-len(x[1]), x[0])):
+            some, at = sorted(children), low
+            while True:
+                if at + window + 256 > len(free):
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+                fits = free[at : at + window].copy()
+                for c in some[1:]:
+                    fits &= free[at + c - some[0] : at + c - some[0] + window]
+                first = int(fits.argmax())
+                if fits[first]:
+                    break
+                at += window
+            placed[name] = at + first - some[0] if some else 0
+            free[[placed[name] + c for c in some]] = False
+            low += int(free[low : low + window].argmax()) if free[low : low + window].any() else window
+        size = max(placed.values()) + 256
+        out = cls(np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, NONE), np.full(size, -1, np.int32), max(map(len, spelled), default=0))
+        where = {b"": 0} | {name + bytes([c]): placed[name] + c for name, children in below.items() for c in children}
+        for name, at in where.items():
+            if name in placed:
+                out.base[at] = placed[name]
+            if name:
+                out.owner[at] = where[name[:-1]]
+            if name in spelled:
+                out.score[at], out.ids[at] = v.score[spelled[name]], v.ids[spelled[name]]
+        return out
+
+
 @dataclass
 class Vocabulary:
     """Pieces with their ids and scores; characters without a piece are spelled in bytes."""
@@ -51,8 +101,6 @@ class Vocabulary:
     ids: dict[str, int]
     bytes_: list[int]
     unknown: float
-    memory: dict[str, bytes] = field(default_factory=dict)
-    before: dict[str, bytes] = field(default_factory=dict)  # what memory held before it was full
 
     @cached_property
     def starts(self) -> dict[str, float | None]:
@@ -63,10 +111,19 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.score), default=1)
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie.of(self)
+
+    @cached_property
+    def alone(self) -> str:
+        """Line ends and tabs, if no piece holds them."""
+        return "".join(c for c in "\n\r\t" if not any(c in p for p in self.score))
+
     @cached_property
     def unit(self) -> re.Pattern[str]:
         """What can be solved on its own: blanks with the word after them; line ends and tabs, which no piece holds."""
-        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.score))
+        alone = self.alone
         return re.compile(f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
 
     def reach(self, text: str, edge: int, wide: bool) -> list:
@@ -148,22 +205,108 @@ class Vocabulary:
         # every way passes the starts of units
         return np.array([found[0]] * self.longest if starts else found[: self.longest])
 
-    def word(self, unit: str) -> bytes:
-        """Packed ids of a unit; short ones are remembered for a while."""
-        got = self.before.get(unit)
-        if got is None:
-            got = self.solve(unit)[1]
-            if len(unit) > LONGEST:
-                return got
-        if len(self.memory) >= CACHED:
-            self.before, self.memory = self.memory, {}
-        self.memory[unit] = got
-        return got
+    def units(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where units begin in the bytes of texts that begin at given places: as `unit` finds them."""
+        begins = np.zeros(len(data), bool)
+        blank = data == 0x20
+        begins[1:] = blank[1:] & ~blank[:-1]
+        for c in self.alone:
+            same = data == ord(c)
+            begins |= same
+            begins[1:] |= same[:-1]
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        return np.flatnonzero(begins)
+
+    def solve_all(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units, given by their bytes and where each begins, one after another, and their number for each.
+
+        The same cuttings as of solve().  Units stand side by side, aligned at their
+        ends; a step finds for all of them how best to go on from the place so many
+        bytes before the end, by walking the trie.
+        """
+        size = np.diff(at)
+        order = np.argsort(-size, kind="stable")
+        most = int(size[order[FEW - 1]]) if len(size) >= FEW else 0
+        ids, there = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
+        alone = int((size > most).sum())
+        for u in order[:alone].tolist():
+            got = np.frombuffer(self.solve(data[at[u] : at[u + 1]].tobytes().decode())[1], np.uint32)
+            ids[at[u] : at[u] + len(got)], there[at[u] : at[u] + len(got)] = got, True
+        for lo in range(alone, len(order), BLOCK):
+            some = order[lo : lo + BLOCK]
+            self._side_by_side(data, at[some + 1], size[some], ids, there)
+        count = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(there, out=count[1:])
+        return ids[there], np.diff(count[at])
+
+    def _side_by_side(self, data: np.ndarray, ends: np.ndarray, size: np.ndarray, ids: np.ndarray, there: np.ndarray) -> None:
+        """Marks where the pieces of units begin, and their ids; sizes in bytes, the largest first."""
+        trie, top = self.trie, int(size[0])
+        base, owner, score = trie.base, trie.owner, trie.score
+        have = [int(np.searchsorted(-size, -p, "right")) for p in range(top + 1)]  # units with so many bytes
+        up = np.concatenate([np.zeros(1, np.int64), np.cumsum(have)])
+        step, node = np.ones(up[-1], np.uint8), np.zeros(up[-1], np.int32)
+        sums, byte = [np.zeros(len(size))], [np.zeros(0, np.uint8)]
+        for p in range(1, top + 1):
+            n = have[p]
+            byte.append(data[ends[:n] - p])
+            to, best_node = step[up[p] : up[p + 1]], node[up[p] : up[p + 1]]
+            best = sums[p - 1][:n] + self.unknown
+            if byte[p].max() >= 0xC0:
+                for k, (a, b) in {2: (0xC0, 0xE0), 3: (0xE0, 0xF0), 4: (0xF0, 0x100)}.items():
+                    wide = np.flatnonzero((byte[p] >= a) & (byte[p] < b))
+                    if k <= p and len(wide):
+                        best[wide], to[wide] = sums[p - k][wide] + self.unknown, k
+            now = base[0] + byte[p].astype(np.int32)
+            live = np.flatnonzero(owner[now] == 0)
+            now = now[live]
+            for k in range(1, p + 1):
+                own = score[now] + sums[p - k][live]
+                won = np.flatnonzero(own >= best[live])  # later ones are longer
+                if len(won):
+                    at = live[won]
+                    best[at], to[at], best_node[at] = own[won], k, now[won]
+                if k == p:
+                    break
+                after = base[now] + byte[p - k][live]
+                on = np.flatnonzero(owner[after] == now)
+                live, now = live[on], after[on]
+                if not len(live):
+                    break
+            sums.append(best)
+        spelled = np.array(self.bytes_, np.int32)
+        left, who = size, np.arange(len(size))
+        while len(who):
+            at = up[left] + who
+            k, where = step[at].astype(np.int64), ends[who] - left
+            found = trie.ids[node[at]]
+            ids[where], there[where] = found, True
+            bare = np.flatnonzero(found < 0)
+            for j in range(int(k[bare].max()) if len(bare) else 0):
+                place = where[bare[k[bare] > j]] + j
+                ids[place], there[place] = spelled[data[place]], True
+            left = left - k
+            on = left > 0
+            left, who = left[on], who[on]
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """Lists of ids of texts, as they stand; null and empty texts have none."""
+        data, at = textnp.raw(texts)
+        starts = self.units(data, at)
+        edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words, code = textnp.raw(units.dictionary), units.indices.to_numpy()
+        ids, count = self.solve_all(*words)
+        first = np.cumsum(count) - count
+        n = count[code]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        where = np.repeat((first[code] - ends[:-1]).astype(np.int32), n)
+        where += np.arange(ends[-1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends[np.searchsorted(starts, at)].astype(np.int32)), pa.array(ids[where], pa.int32()))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as it stands."""
-        known, word = self.memory.get, self.word
-        return np.frombuffer(b"".join([known(u) or word(u) for u in self.unit.findall(text)]), np.uint32)
+        return self.encode_all(pa.array([text], pa.string())).values.to_numpy().astype(np.uint32)
 
     def transfer(self, body: str, ahead: str) -> np.ndarray:
         """Best sums from a piece's reach over the left edge of body to a piece's reach over its right edge.
@@ -239,10 +382,9 @@ def load(path: str = MODEL, offset: float = OFFSET) -> Vocabulary:
 
 @dataclass
 class Speller:
-    """Bytes of each id, laid end to end."""
+    """Bytes of each id."""
 
-    data: np.ndarray
-    at: np.ndarray
+    parts: list[bytes]
 
     @classmethod
     def of(cls, v: Vocabulary) -> Speller:
@@ -252,32 +394,65 @@ class Speller:
             parts[i] = p.encode()
         for b, i in enumerate(v.bytes_):
             parts[i] = bytes([b])
-        return cls(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+        return cls(parts)
+
+    @cached_property
+    def table(self) -> pa.Array:
+        return pa.array(self.parts, pa.large_binary())
 
     def decode(self, lists: pa.Array) -> pa.Array:
         """Texts of lists of ids; the blank in front of a text goes."""
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), 0)
-        ends = np.cumsum(sizes)
-        length = self.at[flat + 1] - self.at[flat]
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
-        text = self.data[np.repeat(self.at[flat] - total[:-1], length) + np.arange(total[-1])]
-        edges = total[np.concatenate([np.zeros(1, np.int64), ends])]
-        return pa.array([bytes(text[a + (b > a) : b]).decode(errors="replace") for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.string())
+        data, at = textnp.raw(self.table.take(lists.flatten()))
+        edges = at[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
+        full = edges[1:] > edges[:-1]
+        data, edges = np.delete(data, edges[:-1][full]), edges - np.concatenate([np.zeros(1, np.int64), np.cumsum(full)])
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that spell no text
+            return pa.array([t.decode(errors="replace") for t in texts.to_pylist()], pa.string())
 
 
 _loaded: dict[str, Vocabulary] = {}
 
 
 def _worker(held, token: str) -> Vocabulary:
-    """This worker's copy of a vocabulary, with the words that it has solved."""
+    """This worker's copy of a vocabulary, with what it has derived from it."""
     if token not in _loaded:
         _loaded.clear()
         _loaded[token] = held.value
     return _loaded[token]
 
 
+_last: list[tuple[str, pa.Array, pa.Array]] = []  # texts that this worker has encoded last, and their ids
+
+
+def _once(held, token: str, texts: pa.Array) -> pa.Array:
+    """Ids of a batch of texts, with a blank in front.
+
+    Where ids and what is made of them are both asked for, Spark calls this twice for
+    each batch, one after the other; the second call takes what the first has found.
+    """
+    if _last and _last[0][0] == token and _last[0][1].equals(texts):
+        return _last.pop()[2]
+    _last.clear()
+    _last.append((token, texts, _encoded(_worker(held, token), texts, _blank_in_front)))
+    give_back()
+    return _last[0][2]
+
+
+def _blank_in_front(texts: pa.Array) -> pa.Array:
+    texts = texts.fill_null("")
+    return pa.compute.if_else(pa.compute.equal(texts, ""), texts, pa.compute.binary_join_element_wise(" ", texts, ""))
+
+
+def _encoded(v: Vocabulary, texts: pa.Array, change: Callable[[pa.Array], pa.Array] = lambda x: x) -> pa.Array:
+    """Ids of texts, changed before, a few MB at a time."""
+    return pa.concat_arrays([_lists([]), *(v.encode_all(change(texts[a:b])) for a, b in cuts(texts, AT_ONCE))])
+
+
 KEY = "__id string, __x long, __y int"
 
 
@@ -325,10 +500,10 @@ def _giants(docs: DataFrame, held, token: str, chunk: int) -> DataFrame:
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _worker(held, token)
-        for b in batches:
+        for b in sliced(batches, "body", AT_ONCE):
             parts = zip(*(b.column(c).to_pylist() for c in ("body", "ahead", "left", "right")), strict=True)
-            ids = [v.encode((body + ahead[:right])[left:]).astype(np.int32) for body, ahead, left, right in parts]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", "__x", "__y", "no")), _lists(ids)], ["__id", "__x", "__y", "no", "ids"])
+            texts = pa.array([(body + ahead[:right])[left:] for body, ahead, left, right in parts], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", "__x", "__y", "no")), _encoded(v, texts)], ["__id", "__x", "__y", "no", "ids"])
 
     by = ["__id", "__x", "__y"]
     rows = docs.select(*(c.alias(n) for n, c in _key(docs).items()), "text")
@@ -363,12 +538,13 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     input columns with an output's name give way; an empty table stays empty.
     """
     spark = docs.sparkSession
-    held, token = spark.sparkContext.broadcast(load(path)), uuid.uuid4().hex  # a vocabulary of fixed size
+    vocabulary = load(path)
+    vocabulary.trie  # noqa: B018  made once, here
+    held, token = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex  # a vocabulary of fixed size
 
     @F.arrow_udf("array<int>")
     def encoded(text: pa.Array) -> pa.Array:
-        v = _worker(held, token)
-        return _lists([v.encode(" " + t).astype(np.int32) if t else np.zeros(0, np.int32) for a, b in cuts(text) for t in text[a:b].to_pylist()])
+        return _once(held, token, text)
 
     size = F.coalesce(F.length("text"), F.lit(0))
     short = replace(docs.where(size < chunk), ids=encoded(F.col("text")))

@@ -110,3 +110,39 @@ def test_texts_fall_into_about_as_many_pieces_as_the_library_gives(vocabulary):
     texts = ["Sharks have roamed the oceans for hundreds of millions of years, long before trees grew on land.", "Der schnelle Fuchs springt über den faulen Hund, und niemand sieht ihn."]
     own, theirs = (sum(map(len, x)) for x in ([vocabulary.encode(" " + t) for t in texts], [library.encode(t) for t in texts]))
     assert abs(own / theirs - 1) < 0.1
+
+
+def test_different_words_of_a_text_are_solved_together(vocabulary, monkeypatch):
+    r = random.Random(4)
+    names = ["the", "ing", "tion", "é", "漢", "😀", "▁", "q", "--", "\u0000", "ß", "<s>", "\t", "  "]
+    words = list({"".join(r.choice(names) for _ in range(r.randint(1, 12))) for _ in range(4000)})
+    text = " " + " ".join(words) + " " + "=" * 500
+    want = np.frombuffer(b"".join(vocabulary.solve(u)[1] for u in vocabulary.unit.findall(text)), np.uint32).tolist()
+    calls, alone = [], pieces.Vocabulary.solve
+    monkeypatch.setattr(pieces.Vocabulary, "solve", lambda self, unit: calls.append(unit) or alone(self, unit))
+    assert vocabulary.encode(text).tolist() == want
+    assert len(calls) < 200
+
+
+def test_lists_of_texts_are_those_of_each(vocabulary):
+    texts = pa.array([None, "", " a", "", "\n", " a b " * 300, None, "é" * 400, *[f"x{i} ▁{i}" for i in range(500)], ""])
+    got = vocabulary.encode_all(texts[1:])
+    assert got.to_pylist() == [vocabulary.encode(t or "").tolist() for t in texts[1:].to_pylist()]
+    assert vocabulary.encode_all(texts[:0]).to_pylist() == [] and vocabulary.encode_all(texts[:1]).to_pylist() == [[]]
+
+
+def test_a_batch_is_encoded_once_if_its_ids_are_decoded_too(vocabulary, monkeypatch):
+    class Held:
+        value = vocabulary
+
+    calls, own = [], pieces.Vocabulary.encode_all
+    monkeypatch.setattr(pieces.Vocabulary, "encode_all", lambda self, texts: calls.append(len(texts)) or own(self, texts))
+    one, two = pa.array(["a b", None, ""]), pa.array(["a b", None, "c"])
+    first, again, other = (pieces._once(Held, "test", x) for x in (one, pa.array(one.to_pylist()), two))
+    assert first.equals(again) and not first.equals(other) and calls == [3, 3]
+    assert other.to_pylist() == [vocabulary.encode(" a b").tolist(), [], vocabulary.encode(" c").tolist()]
+
+
+def test_ids_that_spell_no_text_are_decoded_all_the_same(vocabulary):
+    lists = pa.array([[vocabulary.bytes_[0x20], vocabulary.bytes_[0xFF]], None, [], [vocabulary.ids[" a"]], [vocabulary.ids["a"]]], pa.list_(pa.int32()))
+    assert pieces.Speller.of(vocabulary).decode(lists).to_pylist() == ["\ufffd", "", "", "a", ""]
