@@ -27,13 +27,12 @@ from math import log
 from struct import pack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import aside, cut, cuts, give_back, replace, sliced
+from .common import aside, cut, cuts, give_back, grouped, replace, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
@@ -480,11 +479,12 @@ def _giants(docs: DataFrame, held, token: str, chunk: int) -> DataFrame:
             matrices = [v.transfer(x, y).tobytes() for x, y in zip(b.column("body").to_pylist(), b.column("ahead").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", "__x", "__y", "no")), pa.array(matrices, pa.binary())], ["__id", "__x", "__y", "no", "matrix"])
 
-    def reached(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("no")
-        n = int(np.sqrt(len(rows["matrix"].iloc[0]) // 8))
-        found = rests(np.stack([np.frombuffer(m).reshape(n, n) for m in rows["matrix"]]))
-        return rows[["__id", "__x", "__y", "no"]].assign(rest=[r.tobytes() for r in found])
+    def reached(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("no")
+        matrices = [np.frombuffer(m) for m in rows["matrix"].to_pylist()]
+        n = int(np.sqrt(len(matrices[0])))
+        found = rests(np.stack(matrices).reshape(-1, n, n))
+        return rows.drop_columns("matrix").append_column("rest", pa.array([r.tobytes() for r in found], pa.binary()))
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _worker(held, token)
@@ -493,10 +493,11 @@ def _giants(docs: DataFrame, held, token: str, chunk: int) -> DataFrame:
             maps = [v.leads(x, y, np.frombuffer(r)).astype(np.int32).tobytes() for x, y, r in parts]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", "__x", "__y", "no")), pa.array(maps, pa.binary())], ["__id", "__x", "__y", "no", "map"])
 
-    def through(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("no")
-        found = states(np.stack([np.frombuffer(m, np.int32) for m in rows["map"]]))
-        return rows[["__id", "__x", "__y", "no"]].assign(left=[a for a, _ in found], right=[b for _, b in found])
+    def through(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("no")
+        found = states(np.stack([np.frombuffer(m, np.int32) for m in rows["map"].to_pylist()]))
+        rows = rows.drop_columns("map")
+        return rows.append_column("left", pa.array([a for a, _ in found], pa.int32())).append_column("right", pa.array([b for _, b in found], pa.int32()))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _worker(held, token)
@@ -514,8 +515,11 @@ def _giants(docs: DataFrame, held, token: str, chunk: int) -> DataFrame:
         return chunks.join(ways, same)
 
     # a matrix and a map for each chunk of one document meet in one task: a few hundredths of that document's text
-    ways = chunks.mapInArrow(transfers, f"{KEY}, no int, matrix binary").groupBy(*by).applyInPandas(reached, f"{KEY}, no int, rest binary")
-    ways = met(ways).select(*by, "no", "body", "ahead", "rest").mapInArrow(lead, f"{KEY}, no int, map binary").groupBy(*by).applyInPandas(through, f"{KEY}, no int, left int, right int")
+    # they are small, so their number of tasks is given: left to Spark, all documents' would go to one
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ways = grouped(chunks.mapInArrow(transfers, f"{KEY}, no int, matrix binary"), by, reached, f"{KEY}, no int, rest binary", parts)
+    ways = met(ways).select(*by, "no", "body", "ahead", "rest").mapInArrow(lead, f"{KEY}, no int, map binary")
+    ways = grouped(ways, by, through, f"{KEY}, no int, left int, right int", parts)
     traced = met(ways).select(*by, "no", "body", "ahead", "left", "right").mapInArrow(trace, f"{KEY}, no int, ids array<int>")
     whole = traced.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     return whole.select(F.col("__id").alias("__i"), F.col("__x").alias("__u"), F.col("__y").alias("__v"), F.col("ids").alias("__ids"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from lodestore.llm import pieces, textnp
+from lodestore.llm.common import grouped
 
 TEXTS = ["Hello  world a b c", "", None, "  x\ty ", "one two three four five", "HELLO world a b c", "q", "é ß\n漢 a", "w" * 3_000_000 + " x"]
 
@@ -146,3 +147,9 @@ def test_a_batch_is_encoded_once_if_its_ids_are_decoded_too(vocabulary, monkeypa
 def test_ids_that_spell_no_text_are_decoded_all_the_same(vocabulary):
     lists = pa.array([[vocabulary.bytes_[0x20], vocabulary.bytes_[0xFF]], None, [], [vocabulary.ids[" a"]], [vocabulary.ids["a"]]], pa.list_(pa.int32()))
     assert pieces.Speller.of(vocabulary).decode(lists).to_pylist() == ["\ufffd", "", "", "a", ""]
+
+
+def test_groups_of_little_data_are_dealt_to_as_many_tasks_as_asked(spark):
+    rows = spark.range(40).selectExpr("id % 20 AS g", "id")
+    out = grouped(rows, ["g"], lambda t: t.slice(0, 1), "g long, id long", 4)
+    assert out.rdd.getNumPartitions() == 4 and sorted(r["g"] for r in out.collect()) == list(range(20))
